@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import ids, net, text
+from ruleloom.session import local_table
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed lookup table; its size is that of the constants, so it may be broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(local_table(spark, rows, schema))
 
 
 def runs(df: DataFrame, column: str, pattern: str, out: str = "value") -> DataFrame:

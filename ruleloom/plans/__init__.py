@@ -4,6 +4,9 @@ from ruleloom.plans.registry import QUERIES
 from ruleloom.plans import (  # noqa: F401
     q_sources,
     q_extract,
+    q_predicates,
+    q_composites,
+    q_findings,
 )
 
 __all__ = ["QUERIES"]

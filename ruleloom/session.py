@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "ruleloom", cores: int | None = None) -> SparkSession:
@@ -43,6 +47,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder so iteration does not re-run them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the checkpoint folder and read that instead.
+
+    Lost executors then cost a re-read, not a re-run of every earlier step. Unlike an
+    RDD checkpoint this runs the plan once, with adaptive execution.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A small table of literal rows, kept in the plan instead of a job of its own."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    names = arrow.names
+    return spark.createDataFrame(
+        pa.Table.from_pylist([dict(zip(names, tuple(r))) for r in rows], schema=arrow), schema
+    )
