@@ -203,7 +203,9 @@ def has_shell_command(s: Column) -> Column:
 
 
 def has_sql(s: Column) -> Column:
-    return count_present(F.upper(s), K.SQL_MARKERS) >= 2
+    """At least two markers; they are only counted in strings that hold one."""
+    any_marker = s.rlike("(?i)" + alternation(K.SQL_MARKERS))
+    return F.when(any_marker, count_present(F.upper(s), K.SQL_MARKERS) >= 2).otherwise(F.lit(False))
 
 
 def is_script_text(s: Column) -> Column:

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom import constants as K
 from ruleloom.functions import net, text as T
 from ruleloom.operators import matching, predicates as P
+from ruleloom.session import local_table
+
+# So few rules are cheaper to test on every value than to look up by the grams it holds.
+MAX_DIRECT_RULES = 64
+# Catalogs up to this many rules are matched in one pass over the values.
+MAX_COMBINED_RULES = 20_000
 
 RULE_SCHEMA = (
     "rule_id string, crit int, conf double, ctype string, how string, pattern string, "
@@ -17,52 +24,137 @@ RULE_SCHEMA = (
 )
 
 
-def _as_regex(rules: DataFrame) -> DataFrame:
-    """Regex and word matchers as one kind of pattern."""
-    word = F.concat(F.lit(r"\b\Q"), "pattern", F.lit(r"\E\b"))
-    body = F.when(F.col("how") == "word", word).otherwise(F.col("pattern"))
-    flagged = F.when(F.col("case_insensitive"), F.concat(F.lit("(?i)"), body)).otherwise(body)
-    return rules.filter(F.col("how").isin("regex", "word")).select("rule_id", flagged.alias("pattern"))
+def as_regex(how: Column, pattern: Column, case_insensitive: Column) -> Column:
+    """Regex and word matchers as one kind of pattern, null for the others."""
+    word = F.concat(F.lit(r"\b\Q"), pattern, F.lit(r"\E\b"))
+    body = F.when(how == "word", word).when(how == "regex", pattern)
+    return F.when(case_insensitive, F.concat(F.lit("(?i)"), body)).otherwise(body)
 
 
-def _literals(rules: DataFrame, how: str, case_insensitive: bool) -> DataFrame:
-    mine = rules.filter((F.col("how") == how) & (F.col("case_insensitive") == case_insensitive))
-    return mine.select("rule_id", (F.lower("pattern") if case_insensitive else F.col("pattern")).alias("pattern"))
+def _marked(mark: str, grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.concat(F.lit(mark), g))
 
 
-def string_hits(strings: DataFrame, rules: DataFrame) -> DataFrame:
-    """(file_id, rule_id, hits, sample) for rules on string facts.
+def _direct_test(value: Column, rule) -> Column:
+    """One rule as a test of one value."""
+    if rule["how"] == "external_ip":
+        return value.rlike(K.IP_RE) & net.contains_external_ip(value)
+    if rule["regex"] is not None:
+        return value.rlike(rule["regex"])
+    return P.matcher(value, case_insensitive=rule["case_insensitive"], **{rule["how"]: rule["pattern"]})
+
 
-    Equal strings of a file are counted first, so each is tested once.
+def _anchor_keys(rows: list) -> list[tuple]:
+    """(rule, matcher, pattern, regex, key) per rule; the key says what a value must hold.
+
+    `=` and `~` stand for the value and its lower case, `.` and `,` for grams of them,
+    and `!` for a test that is run on every value.
+    """
+    literals = []
+    direct = len(rows) <= MAX_DIRECT_RULES
+    for r in rows:
+        if direct:
+            literals.append(("!", r["rule_id"]))
+        elif r["how"] == "exact":
+            literals.append(("~" if r["case_insensitive"] else "=", r["pattern"]))
+        elif r["how"] in ("substr", "word"):
+            literals.append(("," if r["case_insensitive"] else ".", r["pattern"]))
+        else:
+            literals.append(("." if r["literal"] else "!", r["literal"] or r["rule_id"]))
+    folded = [(mark, text.lower() if mark in "~," else text) for mark, text in literals]
+    grams = matching.rarest_grams([{"pattern": text} for _, text in folded])
+    out = []
+    for r, (mark, text), gram in zip(rows, folded, grams):
+        pattern = r["pattern"]
+        if r["how"] in ("exact", "substr") and r["case_insensitive"]:
+            pattern = pattern.lower()
+        out.append((r["rule_id"], r["how"], r["case_insensitive"], pattern, r["regex"], mark + (gram if mark in ".," else text)))
+    return out
+
+
+def combined_hits(values: DataFrame, rules: DataFrame, column: str) -> DataFrame | None:
+    """Pairs (values row, rule) for rules of every matcher in one pass over the values.
+
+    Each value is exploded into the keys it holds and meets the rules by an equi-join
+    with the broadcast catalog; the rule's own test then decides. None when the catalog
+    is too large to send.
     """
-    facts = strings.groupBy("file_id", "value").agg(F.count("*").alias("n"))
-    keys = ["file_id", "value"]
-    low = facts.withColumn("folded", F.lower("value"))
+    regex = as_regex(F.col("how"), F.col("pattern"), F.col("case_insensitive"))
+    rows = matching.small_rows(
+        rules.select(
+            "rule_id", "how", "pattern", "case_insensitive", regex.alias("regex"),
+            F.when(F.col("how") == "regex", matching.regex_literal(regex)).alias("literal"),
+        ),
+        MAX_COMBINED_RULES,
+    )
+    if rows is None:
+        return None
+    anchors = _anchor_keys(rows)
+    catalog = local_table(
+        values.sparkSession, anchors,
+        "rule_id string, how string, case_insensitive boolean, pattern string, regex string, _key string",
+    )
+    value, low = F.col(column), F.lower(column)
+    marks = {a[5][0] for a in anchors}
+    probes = []
+    for mark, form in (("=", value), ("~", low)):
+        if mark in marks:
+            probes.append(F.array(F.concat(F.lit(mark), form)))
+    for mark, form in ((".", value), (",", low)):
+        for k in sorted({len(a[5]) - 1 for a in anchors if a[5][0] == mark}):
+            probes.append(_marked(mark, matching.grams(form, k)))
+    tests = [F.when(_direct_test(value, r), F.lit(a[5])) for r, a in zip(rows, anchors) if a[5][0] == "!"]
+    if tests:
+        probes.append(F.array_compact(F.array(*tests)))
+    keys = F.concat(*probes) if probes else F.array().cast("array<string>")
+    verified = (
+        F.col("_key").rlike("^[=~!]")
+        | ((F.col("how") == "substr") & F.when(F.col("case_insensitive"), low).otherwise(value).contains(F.col("pattern")))
+        | (F.col("regex").isNotNull() & F.regexp(value, F.col("regex")))
+    )
+    return values.withColumn("_key", F.explode(keys)).join(F.broadcast(catalog), "_key").filter(verified).drop("_key")
+
+
+def _by_family(values: DataFrame, rules: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The same pairs for a catalog too large to send, one join per matcher family."""
+    def literals(how: str, folded: bool) -> DataFrame:
+        mine = rules.filter((F.col("how") == how) & (F.col("case_insensitive") == folded))
+        return mine.select("rule_id", (F.lower("pattern") if folded else F.col("pattern")).alias("pattern"))
+
+    low = values.withColumn("_low", F.lower(column))
+    regex = as_regex(F.col("how"), F.col("pattern"), F.col("case_insensitive"))
+    regexes = rules.filter(F.col("how").isin("regex", "word")).select("rule_id", regex.alias("pattern"))
+    public = rules.filter(F.col("how") == "external_ip").select("rule_id", F.lit(1).alias("_one"))
     found = [
-        matching.exact_hits(facts, _literals(rules, "exact", False)),
-        matching.exact_hits(facts, _literals(rules, "exact", True), case_insensitive=True),
-        matching.literal_hits(facts, _literals(rules, "substr", False), keys),
-        matching.literal_hits(low, _literals(rules, "substr", True), keys, "folded"),
-        matching.regex_hits(facts, _as_regex(rules), keys),
+        matching.exact_hits(values, literals("exact", False), column=column),
+        matching.exact_hits(values, literals("exact", True), True, column),
+        matching.literal_hits(values, literals("substr", False), keys, column),
+        matching.literal_hits(low, literals("substr", True), keys, "_low"),
+        matching.regex_hits(values, regexes, keys, column),
+        values.filter(net.contains_external_ip(F.col(column))).join(F.broadcast(public), F.col("_one") == 1),
     ]
-    public = facts.filter(net.contains_external_ip(F.col("value")))
-    ip_rules = rules.filter(F.col("how") == "external_ip").select("rule_id")
-    found.append(public.join(F.broadcast(ip_rules.withColumn("_", F.lit(1))), F.lit(1) == F.col("_")))
-    rows = reduce(lambda a, b: a.unionByName(b), [f.select("file_id", "rule_id", "value", "n") for f in found])
-    return rows.groupBy("file_id", "rule_id").agg(F.sum("n").alias("hits"), F.min("value").alias("sample"))
+    pairs = reduce(lambda a, b: a.unionByName(b), [f.select(*values.columns, "rule_id") for f in found])
+    return pairs.join(rules.select("rule_id", "how", "case_insensitive", "pattern", regex.alias("regex")), "rule_id")
+
+
+def hits_of(values: DataFrame, rules: DataFrame, keys: list[str], column: str) -> DataFrame:
+    found = combined_hits(values, rules, column)
+    return found if found is not None else _by_family(values, rules, keys, column)
+
+
+def string_hits(strings: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_id, rule_id, hits, sample) for rules on string facts."""
+    found = hits_of(strings.select("file_id", "value"), rules, ["file_id", "value"], "value")
+    return found.groupBy("file_id", "rule_id").agg(F.count("*").alias("hits"), F.min("value").alias("sample"))
 
 
 def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, rule_id, hits, sample) for rules on whole content; one row per pair."""
-    doc = files.select("file_id", "text")
-    count = T.count_literal(F.col("text"), F.col("pattern"))
-    literal = matching.literal_hits(doc, _literals(rules, "substr", False), ["file_id"], "text").select(
-        "file_id", "rule_id", count.alias("hits"), "pattern"
-    )
-    regex = matching.regex_hits(doc, _as_regex(rules), ["file_id"], "text").select(
-        "file_id", "rule_id", F.regexp_count("text", F.col("pattern")).cast("bigint").alias("hits"), "pattern"
-    )
-    return literal.unionByName(regex).withColumnRenamed("pattern", "sample")
+    text = F.col("text")
+    found = hits_of(files.select("file_id", "text"), rules, ["file_id"], "text")
+    folded = F.when(F.col("case_insensitive"), F.lower(text)).otherwise(text)
+    hits = F.coalesce(F.regexp_count(text, F.col("regex")).cast("bigint"), T.count_literal(folded, F.col("pattern")))
+    return found.select("file_id", "rule_id", hits.alias("hits"), F.coalesce("regex", "pattern").alias("sample"))
 
 
 def atomic_findings(files: DataFrame, strings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from ruleloom.plans import (  # noqa: F401
     q_predicates,
     q_composites,
     q_findings,
+    q_metrics,
 )
 
 __all__ = ["QUERIES"]
