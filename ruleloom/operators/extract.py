@@ -116,6 +116,19 @@ def paths_in(df: DataFrame, column: str) -> DataFrame:
     return runs(df, column, K.SCRIPT_PATH_RE).filter(F.octet_length("value") > 3)
 
 
+def _valid_ips(value: Column) -> Column:
+    hits = F.regexp_extract_all(value, F.lit(K.IP_WORD_RE), F.lit(0))
+    return F.filter(hits, lambda v: net.valid_octets(v) & ~v.isin("0.0.0.0", "127.0.0.1"))
+
+
+# What manifest scripts name, as arrays per script.
+SCRIPT_FACTS = {
+    "url": lambda s: F.regexp_extract_all(s, F.lit(K.SCRIPT_URL_RE), F.lit(0)),
+    "ip": _valid_ips,
+    "path": lambda s: F.filter(F.regexp_extract_all(s, F.lit(K.SCRIPT_PATH_RE), F.lit(0)), lambda v: F.octet_length(v) > 3),
+}
+
+
 # -- environment names ---------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ from ruleloom.plans import (  # noqa: F401
     q_composites,
     q_findings,
     q_metrics,
+    q_joins,
+    q_manifests,
 )
 
 __all__ = ["QUERIES"]
