@@ -111,11 +111,12 @@ def rarest_grams(rows: list) -> list[str]:
 def regex_literal(regex: Column) -> Column:
     """Leading literal of a regex, null when it has fewer than three characters.
 
-    A last character under `*`, `?` or `{` may be absent, so it is not part of the
-    literal; a pattern with a top-level choice has none.
+    A start or word anchor before it is skipped. A last character under `*`, `?` or `{`
+    may be absent, so it is not part of the literal; a pattern with a choice has none.
     """
-    lead = F.regexp_extract(regex, r"^((?:[A-Za-z0-9_/ -]|\\[.*+?\[\](){}|^$\\/-])*)", 1)
-    rest = F.substr(regex, F.char_length(lead) + 1)
+    head = r"^(?:\^|\\b)?((?:[A-Za-z0-9_/ -]|\\[.*+?\[\](){}|^$\\/-])*)"
+    lead = F.regexp_extract(regex, head, 1)
+    rest = F.substr(regex, F.char_length(F.regexp_extract(regex, head, 0)) + 1)
     trimmed = F.when(rest.rlike(r"^[*?{]"), F.regexp_replace(lead, r"(?s)\\?.\z", "")).otherwise(lead)
     plain = F.regexp_replace(trimmed, r"\\(.)", "$1")
     return F.when((F.char_length(plain) >= 3) & ~regex.contains("|") & ~regex.rlike(r"\(\?"), plain)

@@ -10,6 +10,8 @@ from ruleloom.plans import (  # noqa: F401
     q_metrics,
     q_joins,
     q_manifests,
+    q_catalog,
+    q_streaming,
 )
 
 __all__ = ["QUERIES"]
