@@ -34,16 +34,38 @@ def clause_hits(seen: DataFrame, resolved: DataFrame) -> DataFrame:
     return seen.join(F.broadcast(r), seen.rule_id == r.target_id).select("file_id", "comp", "clause", "idx", "target_id")
 
 
-def _hit(clause: str) -> Column:
-    return F.size(F.collect_set(F.when(F.col("clause") == clause, F.col("idx"))))
+MASK_BITS = 62
 
 
-def clause_counts(hits: DataFrame) -> DataFrame:
-    """Distinct conditions met per file, composite and clause, and the ids that met them."""
-    positive = F.when(F.col("clause").isin("all", "any"), F.col("target_id"))
-    return hits.groupBy("file_id", "comp").agg(
-        *[_hit(c).alias(f"n_{c}") for c in GATING], F.array_sort(F.collect_set(positive)).alias("trait_refs")
-    )
+def mask_blocks(highest_idx: int) -> int:
+    return highest_idx // MASK_BITS + 1
+
+
+def _hit(clause: str, blocks: int) -> Column:
+    """Distinct conditions of a clause that were met, as set bits of one mask per 62.
+
+    A mask is a plain number, so the counts combine before the shuffle in a hash
+    aggregation, which sets of values would not.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(idx % {MASK_BITS} as int))")
+    total = F.lit(0)
+    for block in range(blocks):
+        mine = (F.col("clause") == clause) & (F.floor(F.col("idx") / MASK_BITS) == block)
+        total = total + F.bit_count(F.coalesce(F.bit_or(F.when(mine, bit)), F.lit(0).cast("bigint")))
+    return total
+
+
+def clause_counts(hits: DataFrame, blocks: int = 1) -> DataFrame:
+    """Number of distinct conditions met per file, composite and clause."""
+    return hits.groupBy("file_id", "comp").agg(*[_hit(c, blocks).alias(f"n_{c}") for c in GATING])
+
+
+def matched_refs(hits: DataFrame, fired: DataFrame) -> DataFrame:
+    """Adds `trait_refs`: the ids that met a positive condition of a fired rule."""
+    positive = hits.filter(F.col("clause").isin("all", "any")).select("file_id", "comp", "target_id").distinct()
+    refs = positive.groupBy("file_id", "comp").agg(F.array_sort(F.collect_list("target_id")).alias("trait_refs"))
+    none = F.array().cast("array<string>")
+    return fired.join(refs, ["file_id", "comp"], "left").withColumn("trait_refs", F.coalesce("trait_refs", none))
 
 
 def all_met() -> Column:
@@ -108,16 +130,16 @@ def near_enough(fired: DataFrame, hits: DataFrame, evidence: DataFrame, near_rul
     return fired
 
 
-def fire(files: DataFrame, seen: DataFrame, evidence: DataFrame, rules: DataFrame, resolved: DataFrame, near_rules: list) -> tuple[DataFrame, DataFrame]:
+def fire(files: DataFrame, seen: DataFrame, evidence: DataFrame, rules: DataFrame, resolved: DataFrame, near_rules: list, blocks: int = 1) -> tuple[DataFrame, DataFrame]:
     """One pass of rules over what is already found: (fired rows, clause hits)."""
     hits = clause_hits(seen, resolved)
     sized = F.broadcast(rules.withColumnRenamed("rule_id", "comp"))
     met = (
-        clause_counts(hits)
+        clause_counts(hits, blocks)
         .join(sized, "comp")
         .filter(has_positive() & all_met() & any_met() & none_met() & (F.col("n_unless") == 0))
     )
-    fired = gated(met, files).select("file_id", "comp", "trait_refs")
+    fired = gated(met, files).select("file_id", "comp")
     return near_enough(fired, hits, evidence, near_rules), hits
 
 
@@ -128,7 +150,7 @@ def fire_none_only(files: DataFrame, hits: DataFrame, rules: DataFrame) -> DataF
     paired = files.select("file_id").join(F.broadcast(listed)).select("file_id", F.explode("r").alias("r"))
     blocked = hits.filter(F.col("clause").isin("none", "unless")).select("file_id", "comp").distinct()
     kept = paired.select("file_id", "r.*").join(blocked, ["file_id", "comp"], "left_anti")
-    return gated(kept, files).select("file_id", "comp", F.array().cast("array<string>").alias("trait_refs"))
+    return gated(kept, files).select("file_id", "comp")
 
 
 def rule_levels(edges: dict[str, set[str]]) -> list[list[str]]:
@@ -150,9 +172,10 @@ def rule_levels(edges: dict[str, set[str]]) -> list[list[str]]:
 
 
 def evaluate_composites(
-    files: DataFrame, findings: DataFrame, evidence: DataFrame, rules: DataFrame, conds: DataFrame
+    files: DataFrame, findings: DataFrame, evidence: DataFrame, rules: DataFrame, conds: DataFrame,
+    with_refs: bool = False,
 ) -> DataFrame:
-    """Composite findings (file_id, rule_id, crit, conf, trait_refs).
+    """Composite findings (file_id, rule_id, crit, conf), with trait_refs if asked for.
 
     Rules without a `none` clause run level by level; each level is one join with the
     broadcast catalog and one aggregation. Rules with `none` run once on the outcome and
@@ -172,6 +195,8 @@ def evaluate_composites(
     catalog_rows = catalog.collect()
     sized = local_table(spark, catalog_rows, ", ".join(f"{n} {t}" for n, t in catalog.dtypes))
 
+    blocks = mask_blocks(max((r["idx"] for r in found_refs), default=0))
+
     negative = {r["rule_id"] for r in catalog_rows if r["size_none"] > 0}
     positive = {r["rule_id"] for r in catalog_rows} - negative
     edges: dict[str, set[str]] = {r: set() for r in positive}
@@ -195,8 +220,8 @@ def evaluate_composites(
     parts: list[DataFrame] = []
     for names in rule_levels(edges):
         mine = resolved.filter(F.col("rule_id").isin(names) & ~F.col("target_id").isin(sorted(negative)))
-        fired, hits = fire(files, seen, located, sized.filter(F.col("rule_id").isin(names)), mine, [near[n] for n in names if n in near])
-        fired = cut_lineage(fired)
+        fired, hits = fire(files, seen, located, sized.filter(F.col("rule_id").isin(names)), mine, [near[n] for n in names if n in near], blocks)
+        fired = cut_lineage(matched_refs(hits, fired) if with_refs else fired)
         parts.append(fired)
         seen = seen.unionByName(fired.select("file_id", F.col("comp").alias("rule_id")))
         if near and carried & set(names):
@@ -208,20 +233,20 @@ def evaluate_composites(
     if negative:
         mine = resolved.filter(F.col("rule_id").isin(sorted(negative)) & ~F.col("target_id").isin(sorted(negative)))
         sized_negative = sized.filter(F.col("rule_id").isin(sorted(negative)))
-        fired, hits = fire(files, seen, located, sized_negative, mine, [near[n] for n in sorted(negative) if n in near])
-        last = cut_lineage(fired.unionByName(fire_none_only(files, hits, sized_negative)))
+        fired, hits = fire(files, seen, located, sized_negative, mine, [near[n] for n in sorted(negative) if n in near], blocks)
+        last = fired.unionByName(fire_none_only(files, hits, sized_negative))
+        last = cut_lineage(matched_refs(hits, last) if with_refs else last)
         parts.append(last)
         seen = seen.unionByName(last.select("file_id", F.col("comp").alias("rule_id")))
     if not parts:
-        return findings.limit(0).select("file_id", "rule_id").withColumns({
-            "crit": F.lit(0), "conf": F.lit(0.0), "trait_refs": F.array().cast("array<string>")})
+        return findings.limit(0).select("file_id", "rule_id", F.lit(0).alias("crit"), F.lit(0.0).alias("conf"))
     fired = reduce(lambda a, b: a.unionByName(b), parts)
-    return apply_downgrades(fired, seen, sized, resolved)
+    return apply_downgrades(fired, seen, sized, resolved, blocks)
 
 
-def downgrade_counts(seen: DataFrame, resolved: DataFrame) -> DataFrame:
+def downgrade_counts(seen: DataFrame, resolved: DataFrame, blocks: int = 1) -> DataFrame:
     down = clause_hits(seen, resolved.filter(F.col("clause").startswith("down_")))
-    return down.groupBy("file_id", "comp").agg(*[_hit(f"down_{c}").alias(f"d_{c}") for c in ("all", "any", "none")])
+    return down.groupBy("file_id", "comp").agg(*[_hit(f"down_{c}", blocks).alias(f"d_{c}") for c in ("all", "any", "none")])
 
 
 def is_downgraded() -> Column:
@@ -235,17 +260,17 @@ def is_downgraded() -> Column:
     )
 
 
-def apply_downgrades(fired: DataFrame, seen: DataFrame, sized: DataFrame, resolved: DataFrame) -> DataFrame:
+def apply_downgrades(fired: DataFrame, seen: DataFrame, sized: DataFrame, resolved: DataFrame, blocks: int = 1) -> DataFrame:
     """Fired rules with criticality and confidence; a rule with proximity is certain."""
     rules = F.broadcast(sized.withColumnRenamed("rule_id", "comp"))
-    counted = fired.join(rules, "comp").join(downgrade_counts(seen, resolved), ["file_id", "comp"], "left")
+    counted = fired.join(rules, "comp").join(downgrade_counts(seen, resolved, blocks), ["file_id", "comp"], "left")
     boosted = F.when(F.col("near_lines").isNotNull() | F.col("near_bytes").isNotNull(), F.lit(1.0)).otherwise(F.col("conf"))
     return counted.select(
         "file_id",
         F.col("comp").alias("rule_id"),
         F.when(is_downgraded(), ids.downgraded(F.col("crit"))).otherwise(F.col("crit")).alias("crit"),
         F.least(boosted, F.lit(1.0)).alias("conf"),
-        "trait_refs",
+        *[c for c in fired.columns if c == "trait_refs"],
     )
 
 

@@ -25,7 +25,8 @@ def one_clause(spark, sf_dir, rule_id):
     found = base_findings(spark, sf_dir).select("file_id", "rule_id").distinct()
     conds = composite_conds(spark, (rule_id,))
     resolved = matching.resolve_references(conds, found.select("rule_id").distinct())
-    counts = C.clause_counts(C.clause_hits(found, resolved))
+    hits = C.clause_hits(found, resolved)
+    counts = C.matched_refs(hits, C.clause_counts(hits))
     sized = C.clause_sizes(composite_rules(spark, (rule_id,)), conds).withColumnRenamed("rule_id", "comp")
     return counts.join(F.broadcast(sized), "comp")
 
@@ -52,7 +53,7 @@ def composite_any(spark, sf_dir):
 SELECT file_id, CAST({' + '.join(f"max(({sql_ref(r)})::INT)" for r in BY_ID[TWO_OF]['any'])} AS INTEGER) AS n_any FROM found0
 GROUP BY 1 HAVING n_any >= 2""", "found0")
 def composite_needs(spark, sf_dir):
-    return one_clause(spark, sf_dir, TWO_OF).filter(C.any_met()).select("file_id", "n_any")
+    return one_clause(spark, sf_dir, TWO_OF).filter(C.any_met()).select("file_id", F.col("n_any").cast("int").alias("n_any"))
 
 
 @query("agg4_composite_none", """
@@ -72,7 +73,7 @@ def composite_rule(spark, sf_dir):
 
 @query("agg6_composite_levels", "SELECT file_id, rule_id, crit, conf FROM composite_findings", "composite_findings")
 def composite_levels(spark, sf_dir):
-    return evaluated(spark, sf_dir).drop("trait_refs")
+    return evaluated(spark, sf_dir)
 
 
 @query("agg7_downgrade", """

@@ -128,7 +128,7 @@ def doc_findings(spark, sf_dir):
                         "rule_id string, clause string, idx int, ref_id string")
     evidence = atomic.withColumns({"line_no": none, "offset": none})
     combined = composites.evaluate_composites(doc.drop("text"), atomic, evidence, rules, conds)
-    return FD.merge_stages(atomic.select("file_id", "rule_id", "crit", "conf"), combined.drop("trait_refs")).drop("stage")
+    return FD.merge_stages(atomic.select("file_id", "rule_id", "crit", "conf"), combined).drop("stage")
 
 
 view("doc_report", """

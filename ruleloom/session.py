@@ -28,6 +28,18 @@ def build_session(app: str = "ruleloom", cores: int | None = None) -> SparkSessi
     )
 
 
+# Generated methods over 8000 bytes are never compiled by the JVM, which makes wide
+# aggregations several times slower than running without whole-stage code.
+HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "65535", "8000")
+
+
+def tune(spark: SparkSession) -> None:
+    """Lower the limit for generated methods, unless the session sets its own."""
+    key, default, better = HUGE_METHOD
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, better)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's setting wins, always.
 

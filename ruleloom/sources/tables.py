@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.session import tune
+
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread_small_scan(df) if name in TEXT_TABLES else df
 

@@ -48,7 +48,7 @@ def rows_of(names, rows):
 
 KINDS = {
     "bigint": "i64", "int": "i32", "integer": "i32", "double": "f64", "string": "str",
-    "varchar": "str", "boolean": "bool", "timestamp": "ts", "tinyint": "i8", "smallint": "i16",
+    "varchar": "str", "boolean": "bool", "timestamp": "ts", "timestamp_ntz": "ts", "tinyint": "i8", "smallint": "i16",
     "hugeint": "i128", "float": "f32", "date": "date",
 }
 
