@@ -143,13 +143,25 @@ def fire(files: DataFrame, seen: DataFrame, evidence: DataFrame, rules: DataFram
     return near_enough(fired, hits, evidence, near_rules), hits
 
 
-def fire_none_only(files: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules with only a `none` clause hold for every file that meets none of it."""
-    only = rules.filter(~has_positive() & (F.col("size_none") > 0)).withColumnRenamed("rule_id", "comp")
-    listed = only.groupBy().agg(F.collect_list(F.struct("comp", "for_types", "size_min", "size_max")).alias("r"))
-    paired = files.select("file_id").join(F.broadcast(listed)).select("file_id", F.explode("r").alias("r"))
+def fire_none_only(files: DataFrame, hits: DataFrame, none_rules: list) -> DataFrame:
+    """Rules with only a `none` clause hold for every file that meets none of it.
+
+    Each file is given these rules as an array, so no join multiplies the files.
+    """
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(r["rule_id"]).alias("comp"),
+                F.array(*map(F.lit, r["for_types"])).alias("for_types"),
+                F.lit(r["size_min"]).cast("bigint").alias("size_min"),
+                F.lit(r["size_max"]).cast("bigint").alias("size_max"),
+            )
+            for r in none_rules
+        ]
+    )
+    paired = files.select("file_id", F.explode(listed).alias("r")).select("file_id", "r.*")
     blocked = hits.filter(F.col("clause").isin("none", "unless")).select("file_id", "comp").distinct()
-    kept = paired.select("file_id", "r.*").join(blocked, ["file_id", "comp"], "left_anti")
+    kept = paired.join(blocked, ["file_id", "comp"], "left_anti")
     return gated(kept, files).select("file_id", "comp")
 
 
@@ -234,7 +246,8 @@ def evaluate_composites(
         mine = resolved.filter(F.col("rule_id").isin(sorted(negative)) & ~F.col("target_id").isin(sorted(negative)))
         sized_negative = sized.filter(F.col("rule_id").isin(sorted(negative)))
         fired, hits = fire(files, seen, located, sized_negative, mine, [near[n] for n in sorted(negative) if n in near], blocks)
-        last = fired.unionByName(fire_none_only(files, hits, sized_negative))
+        none_rules = [r for r in catalog_rows if r["size_none"] > 0 and not r["size_all"] and not r["size_any"]]
+        last = fired.unionByName(fire_none_only(files, hits, none_rules)) if none_rules else fired
         last = cut_lineage(matched_refs(hits, last) if with_refs else last)
         parts.append(last)
         seen = seen.unionByName(last.select("file_id", F.col("comp").alias("rule_id")))
@@ -281,10 +294,10 @@ def derived_findings(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """
     known = findings.select("rule_id").distinct()
     resolved = resolve_references(rules.select(F.col("rule_id").alias("derived"), "ref_id"), known)
-    hits = findings.join(F.broadcast(resolved), findings.rule_id == resolved.target_id).groupBy("file_id", "derived").agg(
+    hits = findings.join(resolved, findings.rule_id == resolved.target_id).groupBy("file_id", "derived").agg(
         F.sum("hits").alias("hits")
     )
-    own = F.broadcast(rules.select(F.col("rule_id").alias("derived"), F.col("crit"), "count_min"))
+    own = rules.select(F.col("rule_id").alias("derived"), F.col("crit"), "count_min")
     return hits.join(own, "derived").filter(F.col("hits") >= F.coalesce("count_min", F.lit(1))).select(
         "file_id", F.col("derived").alias("rule_id"), "crit", "hits"
     )

@@ -108,7 +108,7 @@ def without_low_value(findings: DataFrame, rules: DataFrame, conds: DataFrame) -
     """Drops findings of composites that any single condition satisfies."""
     sizes = conds.filter(F.col("clause") == "any").groupBy("rule_id").agg(F.count("*").alias("n"))
     low = rules.join(sizes, "rule_id").filter((F.col("n") == 1) | (F.coalesce("needs", F.lit(1)) <= 1))
-    return findings.join(F.broadcast(low.select("rule_id")), "rule_id", "left_anti")
+    return findings.join(low.select("rule_id"), "rule_id", "left_anti")
 
 
 def import_findings(symbols: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ruleloom.session import local_table
 # Pattern tables up to this many rows are sent to every task; larger ones are joined by
 # shuffling grams, so no result depends on the bound.
 MAX_BROADCAST_PATTERNS = 200_000
+MAX_FILE_TYPES = 1000
 GRAM = 4
 
 
@@ -84,7 +85,8 @@ def literal_hits(values: DataFrame, patterns: DataFrame, keys: list[str], column
         anchors = local_table(values.sparkSession, [(*r, g) for r, g in zip(rows, rarest_grams(rows))], schema + ", _gram string")
         lengths = sorted({min(len(r["pattern"]), GRAM) for r in rows})
         if not lengths:
-            return values.join(F.broadcast(anchors), F.lit(False)).drop("_gram")
+            nothing = [F.lit(None).cast(t).alias(n) for n, t in usable.dtypes]
+            return values.filter(F.lit(False)).select(*values.columns, *nothing)
         probe = F.array_distinct(F.flatten(F.array(*[grams(F.col(column), k) for k in lengths])))
         return (
             values.withColumn("_gram", F.explode(probe))
@@ -149,14 +151,16 @@ def regex_hits(values: DataFrame, patterns: DataFrame, keys: list[str], column:
 def applicable(files: DataFrame, rule_types: DataFrame) -> DataFrame:
     """(file, rule) pairs by file type; a rule for `all` applies to every type.
 
-    The distinct types of the files are few, so universal rules are paired with types,
-    never with files; files then join on their type.
+    The distinct types of the files are few (checked), so a universal rule becomes one
+    row per type, and files join on their type.
     """
-    universal = rule_types.filter(F.col("file_type") == "all").groupBy().agg(F.collect_set("rule_id").alias("ids"))
-    types = files.select("file_type").distinct()
-    everywhere = types.join(F.broadcast(universal)).select("file_type", F.explode("ids").alias("rule_id"))
-    pairs = rule_types.filter(F.col("file_type") != "all").select("file_type", "rule_id").unionByName(everywhere)
-    return files.join(F.broadcast(pairs.distinct()) if is_small(rule_types) else pairs.distinct(), "file_type")
+    types = small_rows(files.select("file_type").distinct(), MAX_FILE_TYPES)
+    if types is None:
+        raise ValueError(f"more than {MAX_FILE_TYPES} file types")
+    concrete = F.array(*[F.lit(r["file_type"]) for r in types]).cast("array<string>")
+    mine = F.when(F.col("file_type") == "all", concrete).otherwise(F.array("file_type"))
+    pairs = rule_types.select("rule_id", F.explode(mine).alias("file_type")).distinct()
+    return files.join(F.broadcast(pairs) if is_small(pairs) else pairs, "file_type")
 
 
 def resolve_references(refs: DataFrame, known: DataFrame) -> DataFrame:

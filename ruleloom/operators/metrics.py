@@ -314,7 +314,7 @@ def import_metrics(imports: DataFrame, stdlib: DataFrame) -> DataFrame:
     per = imports.groupBy("file_id", "file_type", "symbol").agg(
         F.count("*").alias("n"), F.count("library").alias("n_lib")
     )
-    std = F.broadcast(stdlib.select("file_type", F.col("module").alias("_top"), F.lit(True).alias("_std")))
+    std = stdlib.select("file_type", F.col("module").alias("_top"), F.lit(True).alias("_std"))
     joined = per.withColumn("_top", F.substring_index("symbol", ".", 1)).join(std, ["file_type", "_top"], "left")
     n = F.col("n")
     total = lambda test: F.sum(F.when(test, n).otherwise(0))

@@ -187,7 +187,7 @@ def metric_hits(metrics_long: DataFrame, bounds: DataFrame) -> DataFrame:
     """Rules (rule_id, field, v_min, v_max) whose metric is within bounds."""
     v = F.col("value")
     ok = (F.col("v_min").isNull() | (v >= F.col("v_min"))) & (F.col("v_max").isNull() | (v <= F.col("v_max")))
-    return metrics_long.join(F.broadcast(bounds), "field").filter(ok)
+    return metrics_long.join(bounds, "field").filter(ok)
 
 
 # -- sections ----------------------------------------------------------------------------------

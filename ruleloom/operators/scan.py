@@ -16,6 +16,7 @@ from ruleloom.session import local_table
 MAX_DIRECT_RULES = 64
 # Catalogs up to this many rules are matched in one pass over the values.
 MAX_COMBINED_RULES = 20_000
+MAX_ADDRESS_RULES = 2000
 
 RULE_SCHEMA = (
     "rule_id string, crit int, conf double, ctype string, how string, pattern string, "
@@ -124,14 +125,17 @@ def _by_family(values: DataFrame, rules: DataFrame, keys: list[str], column: str
     low = values.withColumn("_low", F.lower(column))
     regex = as_regex(F.col("how"), F.col("pattern"), F.col("case_insensitive"))
     regexes = rules.filter(F.col("how").isin("regex", "word")).select("rule_id", regex.alias("pattern"))
-    public = rules.filter(F.col("how") == "external_ip").select("rule_id", F.lit(1).alias("_one"))
+    public = matching.small_rows(rules.filter(F.col("how") == "external_ip").select("rule_id"), MAX_ADDRESS_RULES)
+    if public is None:
+        raise ValueError(f"more than {MAX_ADDRESS_RULES} rules ask for a public address")
+    address_rules = F.array(*[F.lit(r["rule_id"]) for r in public]).cast("array<string>")
     found = [
         matching.exact_hits(values, literals("exact", False), column=column),
         matching.exact_hits(values, literals("exact", True), True, column),
         matching.literal_hits(values, literals("substr", False), keys, column),
         matching.literal_hits(low, literals("substr", True), keys, "_low"),
         matching.regex_hits(values, regexes, keys, column),
-        values.filter(net.contains_external_ip(F.col(column))).join(F.broadcast(public), F.col("_one") == 1),
+        values.filter(net.contains_external_ip(F.col(column))).withColumn("rule_id", F.explode(address_rules)),
     ]
     pairs = reduce(lambda a, b: a.unionByName(b), [f.select(*values.columns, "rule_id") for f in found])
     return pairs.join(rules.select("rule_id", "how", "case_insensitive", "pattern", regex.alias("regex")), "rule_id")
@@ -162,7 +166,7 @@ def atomic_findings(files: DataFrame, strings: DataFrame, rules: DataFrame) -> D
     hits = string_hits(strings, rules.filter(F.col("ctype") == "string")).unionByName(
         raw_hits(files, rules.filter(F.col("ctype") == "raw"))
     )
-    gate = F.broadcast(rules.drop("how", "pattern", "ctype", "case_insensitive"))
+    gate = rules.drop("how", "pattern", "ctype", "case_insensitive")
     judged = hits.join(gate, "rule_id").join(files.select("file_id", "file_type", "size_bytes"), "file_id")
     c = F.col
     per_kb = c("hits") / F.nullif(c("size_bytes") / 1024.0, F.lit(0.0))

@@ -94,7 +94,7 @@ def trait_reference(spark, sf_dir):
     found = base_findings(spark, sf_dir)
     refs = local_table(spark, [(r,) for r in REFS], "ref_id string")
     resolved = matching.resolve_references(refs, found.select("rule_id").distinct())
-    hits = found.join(F.broadcast(resolved), found.rule_id == resolved.target_id)
+    hits = found.join(resolved, found.rule_id == resolved.target_id)
     return hits.groupBy("file_id", "ref_id").agg(F.count("*").alias("hits"))
 
 
