@@ -150,21 +150,27 @@ def string_metrics(strings: DataFrame) -> DataFrame:
     value = F.col("value")
     size = F.octet_length(value)
     filled = value != ""
-    measured = strings.select("file_id", "value", F.when(filled, T.char_entropy(value)).alias("_entropy"))
-    e = F.col("_entropy")
+    # The generator keeps the tests out of the aggregation, whose code stays small.
+    tested = F.struct(
+        size.alias("size"),
+        F.when(filled, T.char_entropy(value)).alias("entropy"),
+        *[(filled & test(value)).cast("int").alias(name) for name, test in STRING_CLASSES.items()],
+    )
+    measured = strings.select("file_id", F.explode(F.array(tested)).alias("t"))
+    size, e = F.col("t.size"), F.col("t.entropy")
     columns = {
         "total": F.count("*"),
         "total_bytes": F.sum(size),
         "avg_length": F.avg(size),
         "max_length": F.max(size).cast("bigint"),
-        "empty_count": F.count_if(~filled),
+        "empty_count": F.count_if(size == 0),
         "avg_entropy": F.coalesce(F.avg(e), F.lit(0.0)),
         "entropy_stddev": F.coalesce(F.stddev_pop(e), F.lit(0.0)),
         "high_entropy_count": F.count_if(e > 5.0),
         "very_high_entropy_count": F.count_if(e > 6.5),
         "very_long_strings": F.count_if(size > 1000),
     }
-    columns.update({name: F.count_if(filled & test(value)) for name, test in STRING_CLASSES.items()})
+    columns.update({name: F.sum(F.col(f"t.{name}")) for name in STRING_CLASSES})
     return measured.groupBy("file_id").agg(*[c.alias(name) for name, c in columns.items()])
 
 
@@ -210,8 +216,15 @@ def identifier_metrics(identifiers: DataFrame, names: str = "names") -> DataFram
     """
     unique = identifiers.select(
         "file_id", F.size(names).alias("_total"), F.explode(F.array_distinct(names)).alias("name")
-    ).withColumn("_entropy", T.char_entropy(F.col("name")))
-    name, size, n = F.col("name"), F.octet_length("name"), F.count("*")
+    )
+    # The generator keeps the tests out of the aggregation, whose code stays small.
+    tested = F.struct(
+        F.octet_length("name").alias("size"),
+        T.char_entropy(F.col("name")).alias("entropy"),
+        *[test(F.col("name")).cast("int").alias(k) for k, test in IDENTIFIER_TESTS.items()],
+    )
+    unique = unique.select("file_id", "_total", F.explode(F.array(tested)).alias("t"))
+    size, n = F.col("t.size"), F.count("*")
     columns = {
         "total": F.max("_total").cast("bigint"),
         "unique_count": n,
@@ -220,10 +233,10 @@ def identifier_metrics(identifiers: DataFrame, names: str = "names") -> DataFram
         "min_length": F.min(size).cast("bigint"),
         "max_length": F.max(size).cast("bigint"),
         "length_stddev": F.stddev_pop(size),
-        "avg_entropy": F.avg("_entropy"),
-        "high_entropy_count": F.count_if(F.col("_entropy") > 3.5),
+        "avg_entropy": F.avg("t.entropy"),
+        "high_entropy_count": F.count_if(F.col("t.entropy") > 3.5),
     }
-    columns.update({f"{k}_count": F.count_if(test(name)) for k, test in IDENTIFIER_TESTS.items()})
+    columns.update({f"{k}_count": F.sum(F.col(f"t.{k}")) for k in IDENTIFIER_TESTS})
     for k in ("single_char", "all_lowercase", "all_uppercase", "has_digit"):
         columns[f"{k}_ratio"] = columns[f"{k}_count"] / n
     return unique.groupBy("file_id").agg(*[c.alias(k) for k, c in columns.items()])
