@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, media
+from ruleloom.llm import bpe, media, packing, warc
 from ruleloom.llm.common import documents
 from ruleloom.llm.registry import RUN, SQL, query
 
 __all__ = ["RUN", "SQL"]
 
 
+@query("op3_seekable_warc")
+def seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page into seekable bundles and read the records back by their places."""
+    stored = warc.write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_bundles(stored)
+
+
+@query("op4_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the token pieces of every document into sequences of 4096 tokens."""
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 @query("op7_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode its ids, and digest both."""
