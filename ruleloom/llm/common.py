@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_CHARS = 1 << 20
+BROADCAST_ROWS = 400_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +52,14 @@ def map_slices(df: DataFrame, work: Callable[..., dict], schema: str, text: int,
     return df.mapInArrow(run, schema)
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has at most so many rows, else as it is.
+
+    Hand over a stored table of narrow rows: they are counted. Beyond the bound the join
+    is a shuffled one with the same result.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8")

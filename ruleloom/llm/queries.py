@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, media, packing, warc
+from ruleloom.llm import bpe, media, neardup, packing, warc
 from ruleloom.llm.common import documents
 from ruleloom.llm.registry import RUN, SQL, query
 
@@ -25,6 +25,12 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+@query("op6_lsh_forest")
+def lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op7_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode its ids, and digest both."""
