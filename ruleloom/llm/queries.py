@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, media, neardup, packing, warc
+from ruleloom.llm import bpe, linededup, media, neardup, packing, pii, warc
 from ruleloom.llm.common import documents
 from ruleloom.llm.registry import RUN, SQL, query
 
 __all__ = ["RUN", "SQL"]
 
 
+@query("op1_line_dedup", linededup.SPANS_SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages removed: where they were, and the document that keeps them."""
+    done = linededup.dedup_units(documents(spark, sf_dir))
+    spans = done.select("doc_id", F.explode("removed").alias("r"))
+    return spans.select("doc_id", "r.start", "r.end", "r.words", F.col("r.holder").alias("kept_doc_id"))
+
+
 @query("op3_seekable_warc")
 def seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page into seekable bundles and read the records back by their places."""
@@ -25,6 +33,12 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+@query("op5_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of the terms that disclose it, in every document."""
+    return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
+
+
 @query("op6_lsh_forest")
 def lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
