@@ -132,21 +132,35 @@ def piece_starts(kinds: np.ndarray) -> np.ndarray:
 class Merges:
     """Ids of pieces: the pair of lowest rank is merged first, the leftmost on ties."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        # (left, right) -> the rank of both together, for every way to cut a token in two.
+    def __init__(self, pairs: dict[int, int], single: list[int], last: list[int] | None = None, whole: dict[bytes, int] | None = None):
+        """`pairs`: left << 32 | right -> what both become, which is its rank too.
+
+        `single` has the id of each byte, `last` that of a byte that ends its piece, and
+        `whole` the pieces that are tokens as they are.
+        """
+        self.pairs, self.whole = pairs, whole or {}
+        self.single, self.last = np.array(single, np.int64), np.array(last or single, np.int64)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], 1 << 62)
+        self.values = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], NO_RANK)
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Merges:
+        """From a rank file: a pair's rank is that of its bytes, however they were merged."""
         pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        keys = np.fromiter(pairs, np.int64, len(pairs))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], 1 << 62)
-        self.values = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], NO_RANK)
+        return cls(pairs, [ranks[bytes([b])] for b in range(256)], whole=ranks)
+
+    def _ids(self, data: bytes, ends: np.ndarray) -> np.ndarray:
+        raw = np.frombuffer(data, np.uint8)
+        ids = self.single[raw]
+        ids[ends - 1] = self.last[raw[ends - 1]]
+        return ids
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left << 32 | right
@@ -158,17 +172,17 @@ class Merges:
         out: list[bytes] = [b""] * len(pieces)
         todo = []
         for i, piece in enumerate(pieces):
-            rank = self.ranks.get(piece)
+            rank = self.whole.get(piece)
             if rank is not None:
                 out[i] = rank.to_bytes(4, "little")
             elif len(piece) > SHORT:
-                out[i] = np.array(self._long(self.single[list(piece)].tolist()), "<u4").tobytes()
+                out[i] = np.array(self._long(self._ids(piece, np.array([len(piece)])).tolist()), "<u4").tobytes()
             else:
                 todo.append(i)
         if not todo:
             return out
         sizes = np.array([len(pieces[i]) for i in todo])
-        ids = self.single[np.frombuffer(b"".join([pieces[i] for i in todo]), np.uint8)]
+        ids = self._ids(b"".join([pieces[i] for i in todo]), np.cumsum(sizes))
         owner = np.repeat(np.arange(len(todo)), sizes)
         done_ids, done_owner = [], []
         while len(ids):
@@ -247,7 +261,7 @@ class Tokenizer:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.cache = PieceCache(Merges(self.ranks))
+        self.cache = PieceCache(Merges.of_ranks(self.ranks))
 
     def pieces(self, texts: list[str]) -> list[np.ndarray]:
         """For each text where its pieces start, closed by its length."""

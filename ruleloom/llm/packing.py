@@ -14,7 +14,7 @@ small, is packed by best fit.
 
 from __future__ import annotations
 
-import itertools
+import json
 import zlib
 from array import array
 from collections import Counter
@@ -26,12 +26,18 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleloom.llm.bpe import Merges
 from ruleloom.llm.common import map_slices
+from ruleloom.llm.hashing import span_hashes, word_spans
 from ruleloom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
 CACHE_PIECES = 400_000
+LATIN_END = "\u0130"  # letters below are composed, and have a lower case of one letter
+MARKS, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+MARKS[list(b",.")] = True
+ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 ROUNDS = 6
 EAGERNESS = 1.0
 SPREAD = 1e-3
@@ -41,49 +47,78 @@ LAST_SHARES = (0.15, 0.4, 0.7)
 NUMBERING_ROWS = 20_000
 
 
+def byte_alphabet() -> list[str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the others above 255."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 class WordTokenizer:
     """Ids of a text from a cache of its words.
 
     The vocabulary's own rules drop white space and never join what it separates, so a
-    text's ids are those of its words one after another. Words are cut at blanks and line
-    feeds; other white space stays inside and is left to the tokenizer. The cache has two
-    generations, which bounds its memory.
+    text's ids are those of its words one after another. Words are cut at ASCII white
+    space, for a whole slice of texts at once, and only distinct ones are looked up; a
+    comma or full stop behind a word is a word of its own. Latin words are merged here, all new ones
+    together; any other word goes to the library. The cache has two generations, which
+    bounds its memory.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizers.Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, signs = model["vocab"], byte_alphabet()
+        pairs = {vocab[a] << 32 | vocab[b]: vocab[a + b] for a, b in model["merges"]}
+        if list(pairs.values()) != sorted(pairs.values()):
+            raise ValueError("the ids of merged tokens do not follow the order of the merges")
+        self.merges = Merges(pairs, [vocab[c] for c in signs], [vocab[c + model["end_of_word_suffix"]] for c in signs])
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
         found = {w: self.old[w] for w in words if w in self.old}
-        new = [w for w in words if w not in found]
-        # An ASCII word with one mark behind it is the lower-case word and the mark.
-        marked = {w: (w[:-1].lower(), w[-1]) for w in new if w[-1] in ",." and w[:-1].isascii() and w[-2:-1].isalnum()}
-        plain = {w: w.lower() if w.isascii() else w for w in new if w not in marked}
-        wanted = {p for w in marked for p in marked[w]} | set(plain.values())
-        learn = [w for w in wanted if w not in self.young and w not in found]
-        coded = self.tok.encode_batch_fast(learn, add_special_tokens=False) if learn else []
-        found.update((w, array("I", c.ids).tobytes()) for w, c in zip(learn, coded))
-        get = lambda w: found[w] if w in found else self.young[w]
-        found.update([(w, get(base) + get(mark)) for w, (base, mark) in marked.items()])
-        found.update([(w, get(base)) for w, base in plain.items()])
+        new = [(w, w.decode("utf-8")) for w in words if w not in found]
+        latin = [(w, t) for w, t in new if t.isalpha() and max(t) < LATIN_END]
+        found.update(zip([w for w, _ in latin], self.merges.many([t.lower().encode("utf-8") for _, t in latin])))
+        rest = [(w, t) for w, t in new if w not in found]
+        if rest:
+            coded = self.tok.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+            found.update((w, array("I", c.ids).tobytes()) for (w, _), c in zip(rest, coded))
         self.young.update(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for part in split for w in part]
+        data = [t.encode("utf-8") for t in texts]
+        joined = b"\n".join([*data, b""])
+        whole = np.frombuffer(joined, np.uint8)
+        starts, ends = word_spans(whole)
+        if not len(starts):
+            return [b""] * len(texts)
+        before = np.maximum(ends - 2, 0)
+        mark = (ends - starts > 1) & MARKS[whole[ends - 1]] & ALNUM[whole[before]]
+        place = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(mark)[:-1]))
+        first, last = np.empty((2, len(starts) + int(mark.sum())), np.int64)
+        first[place], last[place] = starts, ends - mark
+        first[place[mark] + 1], last[place[mark] + 1] = ends[mark] - 1, ends[mark]
+        _, examples, which = np.unique(span_hashes(whole, first, last), return_index=True, return_inverse=True)
+        words = [joined[a:b].lower() for a, b in zip(first[examples].tolist(), last[examples].tolist())]
         codes = list(map(self.young.get, words))
         if None in codes:
             self._learn({w for w, c in zip(words, codes) if c is None})
             codes = list(map(self.young.__getitem__, words))
-        ends = list(itertools.accumulate(map(len, split)))
-        out = [b"".join(codes[i:j]) for i, j in zip([0, *ends], ends)]
         if len(self.young) > CACHE_PIECES:
-            self.young, self.old = {"": b""}, self.young
-        return out
+            self.young, self.old = {}, self.young
+        sizes = np.array(list(map(len, codes)), np.int64) // 4
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        each = sizes[which]
+        total = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat(begins[which] - total[:-1], each) + np.arange(total[-1])].tobytes()
+        cuts = (4 * total[np.searchsorted(first, np.cumsum([len(d) + 1 for d in data]))]).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 @lru_cache(1)
