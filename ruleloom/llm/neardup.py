@@ -4,24 +4,26 @@ A signature is sorted in several orders, each beginning with other hash function
 Documents with a long common prefix in an order are candidates: first every document with
 its neighbour in the order, which ties groups of copies together by few comparisons, then
 all documents that share a region (a prefix of the least depth) and are not yet in one
-component. In a dense region the neighbours share a prefix far longer than that, so the
-depth at which documents are compared adapts to the region. Every link is confirmed on
+component. The depth adapts to the region: neighbours in a dense region share a prefix far
+longer than the least one, and a region with many components is cut up further, by the
+rarest shingles of its documents. Every link is confirmed on
 the full shingle sets, so only candidates are approximate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.llm.common import map_slices, small, utf8
 from ruleloom.llm.components import components
+from ruleloom.llm.hashing import mixed, span_hashes, word_spans
 from ruleloom.session import cut_lineage
 
 WORDS = 5
@@ -32,54 +34,19 @@ TAIL = 4
 # A pair is compared on full sets if this share of its signatures agrees. The estimate of
 # a similarity of 0.75 has a standard deviation of 0.038: the bound lies 5 of them below.
 LEAST_AGREEMENT = 0.55
+# Components in one region up to which its members are compared directly.
+DENSE = 16
 PART = 1 << 13
 
 _RNG = np.random.default_rng(20240229)
-BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-BYTE_VALUES[np.arange(ord("A"), ord("Z") + 1)] = BYTE_VALUES[np.arange(ord("a"), ord("z") + 1)]
-POWER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 FOLD = np.uint64(0xD6E8FEB86659FD93)
 FACTORS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-WHITE = np.zeros(256, bool)
-WHITE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-@lru_cache(4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, POWER, np.uint64), np.full(size, INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spread over all 64 bits, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of some bytes; A-Z count as a-z.
-
-    The hash of a word is a polynomial in its bytes' values, taken as the difference of
-    two prefix sums, so no word is looked at by itself.
-    """
-    word = ~WHITE[data]
-    edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(10, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return starts, _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def _folded(parts: list[np.ndarray]) -> np.ndarray:
     out = parts[0]
     for p in parts[1:]:
         out = out * FOLD + p
-    return _mixed(out + np.uint64(len(parts)))
+    return mixed(out + np.uint64(len(parts)))
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -90,7 +57,8 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     """
     data = [utf8(t) for t in texts]
     whole = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
-    starts, hashes = word_hashes(whole)
+    starts, stops = word_spans(whole)
+    hashes = span_hashes(whole, starts, stops)
     ends = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in data]))
     n = len(hashes) - words + 1
     windows = _folded([hashes[i : i + n] for i in range(words)]) if n > 0 else hashes[:0]
@@ -190,39 +158,96 @@ def _confirm(_: object, a: list, b: list, ta: list, tb: list, percent: int) -> d
     return {"a": [x for x, g in zip(a, good) if g], "b": [x for x, g in zip(b, good) if g]}
 
 
+def _texts(contents: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(content, text) of some classes, stored; each is read from the document that holds it."""
+    holders = classes.join(contents, "content", "left_semi").select("content", F.col("holder").alias("doc_id"), "text_hash")
+    return cut_lineage(docs.join(small(cut_lineage(holders)), ["doc_id", "text_hash"]).dropDuplicates(["content"]).select("content", "text"))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough; texts are fetched for these pairs only."""
     pairs = cut_lineage(_agreeing(pairs, classes))
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.col("a").alias("content")).unionAll(pairs.select(F.col("b").alias("content"))).distinct()
-    holders = classes.join(wanted, "content", "left_semi").select("content", F.col("holder").alias("doc_id"), "text_hash")
-    texts = cut_lineage(docs.join(small(cut_lineage(holders)), ["doc_id", "text_hash"]).dropDuplicates(["content"]).select("content", "text"))
+    texts = _texts(wanted, classes, docs)
     left = texts.select(F.col("content").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("content").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return cut_lineage(map_slices(both, partial(_confirm, percent=percent), "a binary, b binary", 2))
 
 
-def _unlike_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a region, lie in different components and have sizes near enough.
+def _mixed_regions(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of regions that more than one component has a part in, stored.
 
-    In each region one component has the most members. Its members are not paired among
-    themselves, and all others meet the whole region; a region within one component, as
-    groups of copies are, gives no pair.
+    `main` is the component with most members there, `parts` the number of components.
     """
-    sizes = classes.select("content", "n_shingles")
     known = members.select("region", "content").join(roots, F.col("content") == F.col("node"), "left")
     placed = known.select("region", "content", F.coalesce("root", "content").alias("root"))
     counts = placed.groupBy("region", "root").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("region").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    inside = cut_lineage(placed.join(mixed.select("region", F.col("most.root").alias("main")), "region").join(sizes, "content"))
+    mixed = counts.groupBy("region").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    inside = placed.join(mixed.select("region", F.col("most.root").alias("main"), "parts"), "region")
+    return cut_lineage(inside.join(classes.select("content", "n_shingles"), "content"))
+
+
+def _across(inside: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a region in different components, of sizes near enough.
+
+    The members of the main component are not paired among themselves, all others meet
+    the whole region; a region within one component, as groups of copies are, is not here.
+    """
     rest = inside.where("root != main").select("region", F.col("content").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
     other = inside.select("region", F.col("content").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), (F.col("root") == F.col("main")).alias("is_main"))
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("ra") != F.col("rb")) & (F.col("is_main") | (F.col("a") < F.col("b")))
     return rest.join(other, "region").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _shingle_rows(_: object, contents: list, texts: list) -> dict:
+    sets = shingle_sets(texts)
+    sizes = [len(s) for s in sets]
+    return {
+        "content": [c for c, n in zip(contents, sizes) for _ in range(n)],
+        "n": np.repeat(sizes, sizes),
+        "region": np.concatenate(sets).view(np.int64) if sets else [],
+    }
+
+
+def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(region, content): as many of each set's rarest shingles as similar sets cannot all lack.
+
+    Two sets that share `percent` of their union share one of the least n - ceil(percent n
+    / 100) + 1 shingles of each, in any one order of all shingles. With the rarest first, a
+    passage that many texts hold brings no pairs. Shingles of one text only come first
+    and pair with nothing; they need no rows.
+    """
+    rows = map_slices(texts, _shingle_rows, "content binary, n long, region long", 1)
+    held = rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("content")
+    ranked = rows.join(held, "region").select(
+        "region",
+        "content",
+        (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "region"))).alias("place"),
+        (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("least"),
+    )
+    return ranked.where("place <= least").select("region", "content")
+
+
+def _unlike_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a region and lie in different components, sizes permitting.
+
+    Where a region has more than DENSE components, which a passage in many texts causes,
+    its members are not paired by the region but by their rarest shingles; that loses
+    no pair.
+    """
+    inside = _mixed_regions(members, classes, roots)
+    pairs = _across(inside.where(F.col("parts") <= DENSE), percent)
+    crowd = cut_lineage(inside.where(F.col("parts") > DENSE).select("content").distinct())
+    if crowd.isEmpty():
+        return pairs
+    rare = _rare_shingles(_texts(crowd, classes, docs), percent)
+    return pairs.unionAll(_across(_mixed_regions(rare, classes, roots), percent)).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for every row of `df`.
 
@@ -261,7 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = ends.groupBy("content").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     links = _links(best, classes, docs, percent)
     roots = components(links, "a", "b")
-    more = _links(_unlike_pairs(members, classes, roots, percent), classes, docs, percent)
+    more = _links(_unlike_pairs(members, classes, roots, docs, percent), classes, docs, percent)
     if not more.isEmpty():
         roots = components(links.unionAll(more), "a", "b")
 

@@ -83,8 +83,9 @@ def test_agreement_estimates_similarity():
     assert abs((sa == sb).mean() - 0.8) < 0.15
 
 
-@pytest.mark.parametrize("most", [common.BROADCAST_ROWS, 0])
-def test_matches_brute_force(spark, folder, monkeypatch, most):
+@pytest.mark.parametrize(("most", "dense"), [(common.BROADCAST_ROWS, neardup.DENSE), (0, 1)])
+def test_matches_brute_force(spark, folder, monkeypatch, most, dense):
+    monkeypatch.setattr(neardup, "DENSE", dense)
     monkeypatch.setattr(neardup, "small", lambda df: common.small(df, most))
     rows = corpus()
     df = spark.createDataFrame([(*r, "c", "s", 0.5) for r in rows], "doc_id long, text string, content string, signature string, region double")
