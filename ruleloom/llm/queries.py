@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, linededup, media, neardup, packing, pii, warc
+from ruleloom.llm import ann, bpe, chat, linededup, media, neardup, packing, pii, toxicity, warc
 from ruleloom.llm.common import documents
 from ruleloom.llm.registry import RUN, SQL, query
+from ruleloom.session import local_table
 
 __all__ = ["RUN", "SQL"]
 
@@ -20,6 +21,15 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "r.start", "r.end", "r.words", F.col("r.holder").alias("kept_doc_id"))
 
 
+@query("op2_tool_calls", chat.SQL)
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls and results of every conversation, linked, ordered, validated and serialised."""
+    calls, results = chat.of_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    schemas = local_table(spark, list(chat.SCHEMAS), "tool string, parameter string, type string, required boolean")
+    linked = chat.link_calls(calls, results, schemas)
+    return linked.select("conv_id", "call_id", "tool", "position", "depth", "result_position", "status", F.array_join("errors", ",").alias("errors"), "json")
+
+
 @query("op3_seekable_warc")
 def seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page into seekable bundles and read the records back by their places."""
@@ -42,7 +52,7 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lsh_forest")
 def lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
-    return neardup.near_duplicates(documents(spark, sf_dir))
+    return neardup.near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
 @query("op7_byte_bpe")
@@ -62,3 +72,19 @@ def png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as a PNG file, read the files back, test and hash them."""
     stored = media.store_media(documents(spark, sf_dir))
     return media.read_media(stored).withColumn("feature", F.lower(F.hex("hash"))).drop("hash")
+
+
+@query("op8_learned_partitions")
+def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every row whose id is divisible by 20."""
+    rows = ann.valid(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ann.search(rows, rows.where(F.col("vec_id") % ann.QUERY_STEP == 0), ann.build(rows))
+
+
+@query("op9_ordinal_toxicity")
+def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, by a model fitted to the labelled ones."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.select("doc_id", toxicity.severity(model, "text").alias("s"))
+    return scored.select("doc_id", F.round("s.severity", 6).alias("severity"), "s.grade", (F.col("s.severity") >= toxicity.TOXIC_FROM).alias("toxic"))
