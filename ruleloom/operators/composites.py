@@ -1,4 +1,4 @@
-"""Composite rules: boolean clauses over findings, level by level, then downgrades."""
+"""Composite rules: boolean clauses over findings, round by round, then downgrades."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from ruleloom.operators.matching import is_small, resolve_references
 from ruleloom.operators.windows import proximity
 from ruleloom.session import cut_lineage, local_table
 
-MAX_LEVELS = 10
-MAX_CATALOG = 100_000
+MAX_ROUNDS = 10
 GATING = ("all", "any", "none", "unless")
 
 
@@ -31,7 +30,8 @@ def clause_sizes(rules: DataFrame, conds: DataFrame) -> DataFrame:
 def clause_hits(seen: DataFrame, resolved: DataFrame) -> DataFrame:
     """(file_id, comp, clause, idx, target_id) for every condition that holds."""
     r = resolved.select(F.col("rule_id").alias("comp"), "clause", "idx", "target_id")
-    return seen.join(F.broadcast(r), seen.rule_id == r.target_id).select("file_id", "comp", "clause", "idx", "target_id")
+    r = F.broadcast(r) if is_small(r) else r
+    return seen.join(r, seen.rule_id == r.target_id).select("file_id", "comp", "clause", "idx", "target_id")
 
 
 MASK_BITS = 62
@@ -165,43 +165,25 @@ def fire_none_only(files: DataFrame, hits: DataFrame, none_rules: list) -> DataF
     return gated(kept, files).select("file_id", "comp")
 
 
-def rule_levels(edges: dict[str, set[str]]) -> list[list[str]]:
-    """Rules in order of dependency; the rules of one level do not refer to each other."""
-    levels: list[list[str]] = []
-    left = dict(edges)
-    done: set[str] = set()
-    while left:
-        ready = sorted(r for r, needs in left.items() if needs <= done)
-        if not ready:
-            raise ValueError("composite rules refer to each other in a cycle: " + ", ".join(sorted(left)[:5]))
-        levels.append(ready)
-        done.update(ready)
-        for r in ready:
-            del left[r]
-    if len(levels) > MAX_LEVELS:
-        raise ValueError(f"composite rules are nested more than {MAX_LEVELS} deep")
-    return levels
-
-
 def evaluate_composites(
     files: DataFrame, findings: DataFrame, evidence: DataFrame, rules: DataFrame, conds: DataFrame,
-    with_refs: bool = False,
+    with_refs: bool = False, max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
     """Composite findings (file_id, rule_id, crit, conf), with trait_refs if asked for.
 
-    Rules without a `none` clause run level by level; each level is one join with the
-    broadcast catalog and one aggregation. Rules with `none` run once on the outcome and
+    Rules without a `none` clause run in rounds: each sees what earlier rounds found, so
+    rules may refer to each other in a circle, and an `unless` does not yet see a rule
+    that fires in the same round. After the first round only rules that refer to
+    something new run again, and it ends when nothing is new or after `max_rounds`
+    (a chain deeper than that stays open). Rules with `none` run once on the outcome and
     do not see each other. Downgrades are decided last, on everything found.
 
-    Only the rule graph, whose size is that of the catalog, is read on the driver.
+    A round is one join with the catalog and one aggregation. The rule graph, whose size
+    is that of the catalog, is read on the driver.
     """
-    if not is_small(conds, MAX_CATALOG):
-        raise ValueError(f"the catalog has more than {MAX_CATALOG} conditions")
     spark = findings.sparkSession
     known = findings.select("rule_id").unionByName(rules.select("rule_id")).distinct()
-    found_refs = resolve_references(conds, known).limit(MAX_CATALOG * 10 + 1).collect()
-    if len(found_refs) > MAX_CATALOG * 10:
-        raise ValueError("references stand for too many rules; name fewer directories")
+    found_refs = resolve_references(conds, known).collect()
     resolved = local_table(spark, found_refs, "rule_id string, clause string, idx int, ref_id string, target_id string")
     catalog = clause_sizes(rules, conds)
     catalog_rows = catalog.collect()
@@ -211,39 +193,52 @@ def evaluate_composites(
 
     negative = {r["rule_id"] for r in catalog_rows if r["size_none"] > 0}
     positive = {r["rule_id"] for r in catalog_rows} - negative
-    edges: dict[str, set[str]] = {r: set() for r in positive}
+    built_on: dict[str, set[str]] = {r: set() for r in positive}
     for row in found_refs:
         rule, target = row["rule_id"], row["target_id"]
-        if row["clause"] in GATING and rule in positive and target in positive and rule != target:
-            edges[rule].add(target)
+        if row["clause"] in ("all", "any") and rule in positive and target in positive and rule != target:
+            built_on[rule].add(target)
     near = {r["rule_id"]: r for r in catalog_rows if r["near_lines"] is not None or r["near_bytes"] is not None}
 
-    targets = F.broadcast(resolved.select(F.col("target_id").alias("rule_id")).distinct())
+    targets = resolved.select(F.col("target_id").alias("rule_id")).distinct()
+    if is_small(targets):
+        targets = F.broadcast(targets)
     seen = cut_lineage(findings.join(targets, "rule_id", "left_semi").select("file_id", "rule_id").distinct())
     located = evidence.join(targets, "rule_id", "left_semi").select("file_id", "rule_id", "line_no", "offset")
     if near:
         located = cut_lineage(located)
 
     # Composites whose evidence a rule with proximity can reach.
-    carried = set(near)
-    for _ in range(MAX_LEVELS):
-        carried |= {t for r in carried for t in edges.get(r, ())}
+    carried, reached = set(near), set(near)
+    while reached:
+        reached = {t for r in reached for t in built_on.get(r, ())} - carried
+        carried |= reached
 
+    usable = resolved.filter(~F.col("target_id").isin(sorted(negative))) if negative else resolved
     parts: list[DataFrame] = []
-    for names in rule_levels(edges):
-        mine = resolved.filter(F.col("rule_id").isin(names) & ~F.col("target_id").isin(sorted(negative)))
-        fired, hits = fire(files, seen, located, sized.filter(F.col("rule_id").isin(names)), mine, [near[n] for n in names if n in near], blocks)
+    names, ran = sorted(positive), set()
+    for _ in range(max_rounds):
+        if not names:
+            break
+        fired, hits = fire(files, seen, located, sized.filter(F.col("rule_id").isin(names)), usable.filter(F.col("rule_id").isin(names)), [near[n] for n in names if n in near], blocks)
+        if ran & set(names):  # only what this round adds
+            fired = fired.join(seen.select("file_id", F.col("rule_id").alias("comp")), ["file_id", "comp"], "left_anti")
         fired = cut_lineage(matched_refs(hits, fired) if with_refs else fired)
+        fresh = {r["comp"] for r in fired.select("comp").distinct().collect()}
+        ran |= set(names)
+        if not fresh:
+            break
         parts.append(fired)
         seen = seen.unionByName(fired.select("file_id", F.col("comp").alias("rule_id")))
-        if near and carried & set(names):
+        if near and carried & fresh:
             passed = hits.filter(F.col("clause").isin("all", "any")).join(fired.select("file_id", "comp"), ["file_id", "comp"], "left_semi")
             inherited = located.withColumnRenamed("rule_id", "target_id").join(
                 passed.select("file_id", "comp", "target_id").distinct(), ["file_id", "target_id"]
             )
             located = located.unionByName(inherited.select("file_id", F.col("comp").alias("rule_id"), "line_no", "offset"))
+        names = sorted(r for r in positive if built_on[r] & fresh)
     if negative:
-        mine = resolved.filter(F.col("rule_id").isin(sorted(negative)) & ~F.col("target_id").isin(sorted(negative)))
+        mine = usable.filter(F.col("rule_id").isin(sorted(negative)))
         sized_negative = sized.filter(F.col("rule_id").isin(sorted(negative)))
         fired, hits = fire(files, seen, located, sized_negative, mine, [near[n] for n in sorted(negative) if n in near], blocks)
         none_rules = [r for r in catalog_rows if r["size_none"] > 0 and not r["size_all"] and not r["size_any"]]

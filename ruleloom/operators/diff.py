@@ -155,7 +155,7 @@ def similar_names(removed: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
-def best_pairs(pairs: DataFrame) -> DataFrame:
+def _mutual_best(pairs: DataFrame) -> DataFrame:
     """Pairs that are each other's best by score, then by path."""
     best_r = pairs.groupBy("baseline_path").agg(F.min(F.struct(-F.col("score"), "target_path")).alias("_r"))
     best_a = pairs.groupBy("target_path").agg(F.min(F.struct(-F.col("score"), "baseline_path")).alias("_a"))
@@ -167,6 +167,21 @@ def best_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """Each file in one pair at most, the best pairs first, until no pair is left.
+
+    Pairs that are each other's best are taken, pairs of their files go, and so on. That
+    is the assignment by descending score, then path; every round works on what is left.
+    """
+    taken, left = None, cut_lineage(pairs)
+    while not left.isEmpty():
+        best = cut_lineage(_mutual_best(left))
+        taken = best if taken is None else taken.unionByName(best)
+        left = left.join(best.select("baseline_path"), "baseline_path", "left_anti").join(best.select("target_path"), "target_path", "left_anti")
+        left = cut_lineage(left.select("baseline_path", "target_path", "score"))
+    return left if taken is None else taken
+
+
 def _unused(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return df.join(pairs.select(F.col(side).alias("path")), "path", "left_anti")
 
@@ -182,7 +197,7 @@ def renames(removed: DataFrame, added: DataFrame) -> DataFrame:
     r, a = _unused(removed, first, "baseline_path"), _unused(added, first, "target_path")
     second = cut_lineage(library_renames(r, a))
     r, a = _unused(r, second, "baseline_path"), _unused(a, second, "target_path")
-    third = best_pairs(cut_lineage(similar_names(r, a)))
+    third = best_pairs(similar_names(r, a))
     return first.unionByName(second).unionByName(third).orderBy(F.col("score").desc(), "baseline_path")
 
 

@@ -14,23 +14,28 @@ BUCKET = 1 << 16
 def containing_section(strings: DataFrame, sections: DataFrame, width: int = BUCKET) -> DataFrame:
     """Adds `section`: the first section, by start then name, that holds the offset.
 
-    Sections are spread over the buckets of offsets they cover and joined on file and
-    bucket, so the rows of one large file are spread as well.
+    Every row stays, equal ones too: the section is found once for each place of a file
+    and joined back. Sections are spread over the buckets of offsets they cover, as far as
+    the file has offsets, and joined on file and bucket, so the rows of one large file
+    are spread as well.
     """
-    covered = sections.filter(F.col("end") > F.col("start")).select(
-        "file_id",
-        F.col("name").alias("section"),
-        F.col("start").alias("_lo"),
-        F.col("end").alias("_hi"),
-        F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_bucket"),
-    )
-    placed = strings.withColumn("_bucket", F.floor(F.col("offset") / width))
-    joined = placed.join(covered, ["file_id", "_bucket"], "left")
-    inside = (F.col("offset") >= F.col("_lo")) & (F.col("offset") < F.col("_hi"))
-    first = F.min(F.when(inside, F.struct("_lo", "section")))
-    return joined.groupBy(*strings.columns).agg(first.alias("_first")).select(
-        *strings.columns, F.col("_first.section").alias("section")
+    places = strings.filter(F.col("file_id").isNotNull() & F.col("offset").isNotNull()).select("file_id", "offset").distinct()
+    reach = places.groupBy("file_id").agg(F.min("offset").alias("_least"), F.max("offset").alias("_most"))
+    low, high = F.greatest("start", "_least"), F.least(F.col("end") - 1, F.col("_most"))
+    covered = (
+        sections.join(reach, "file_id")
+        .filter((F.col("end") > F.col("start")) & (low <= high))
+        .select(
+            "file_id",
+            F.struct(F.col("start").alias("_lo"), F.col("name").alias("section")).alias("_s"),
+            F.col("end").alias("_hi"),
+            F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("_bucket"),
+        )
     )
+    placed = places.withColumn("_bucket", F.floor(F.col("offset") / width))
+    inside = placed.join(covered, ["file_id", "_bucket"]).filter((F.col("offset") >= F.col("_s._lo")) & (F.col("offset") < F.col("_hi")))
+    first = inside.groupBy("file_id", "offset").agg(F.min("_s").alias("_s")).select("file_id", "offset", F.col("_s.section").alias("section"))
+    return strings.join(first, ["file_id", "offset"], "left").select(*strings.columns, "section")
 
 
 def deletions(name: Column) -> Column:

@@ -86,9 +86,9 @@ RULE_TYPES = ("en", "de", "all", "fr", "es")
 
 @query("join5_applicable_rules", f"""
 SELECT file_id, count(*) AS n_rules, min(rule_id) AS first_rule FROM files JOIN (
-  SELECT 'r' || p_partkey AS rule_id, {sql_pick('p_partkey', RULE_TYPES)} AS rule_type FROM part WHERE p_size = 7) ON rule_type IN ('all', file_type) GROUP BY 1""", "files")
+  SELECT 'r' || p_partkey AS rule_id, {sql_pick('p_partkey', RULE_TYPES)} AS rule_type FROM part) ON rule_type IN ('all', file_type) GROUP BY 1""", "files")
 def applicable_rules(spark, sf_dir):
-    rules = read_table(spark, sf_dir, "part").filter(F.col("p_size") == 7).select(
+    rules = read_table(spark, sf_dir, "part").select(
         F.concat(F.lit("r"), "p_partkey").alias("rule_id"), pick(F.col("p_partkey"), RULE_TYPES).alias("file_type")
     )
     pairs = matching.applicable(files(spark, sf_dir).select("file_id", "file_type"), rules)
@@ -108,7 +108,7 @@ def symbol_capability(spark, sf_dir):
 
 
 @query("join8_offset_section", """
-SELECT DISTINCT file_id, value, "offset", line_no, (SELECT arg_min(name, ("start", name)) FROM sections s WHERE s.file_id = l.file_id
+SELECT file_id, value, "offset", line_no, (SELECT arg_min(name, ("start", name)) FROM sections s WHERE s.file_id = l.file_id
   AND l."offset" >= s."start" AND l."offset" < s."end") AS section FROM located l""", "located sections")
 def offset_section(spark, sf_dir):
     return joins.containing_section(located(spark, sf_dir), sections(spark, sf_dir))
@@ -120,7 +120,7 @@ VERSION_NAMES = ("doc_{}.txt", "libmodule{}.so.1", "long-report-name-{}.md", "no
 
 
 def _versions(spark, sf_dir):
-    """Baseline drops every seventh document; target drops every fifth and edits some."""
+    """Every seventh document has a path of its own before, every fifth one after; some are edited."""
     doc = files(spark, sf_dir).select("file_id", "file_type", "text", "sha256")
     key = F.col("file_id")
     halves = [n.split("{}") for n in VERSION_NAMES]
@@ -129,13 +129,12 @@ def _versions(spark, sf_dir):
         before, after = pick(key, [h[0] for h in halves]), pick(key, [h[1] for h in halves])
         return F.concat(F.lit("root/"), folder, F.lit("/"), before, number.cast("string"), after, suffix)
 
-    base = doc.filter(key % 7 != 0).withColumn("path", path(key, F.lit(""), F.col("file_type")))
-    moved = F.when(key % 11 == 0, F.lit("moved")).otherwise(F.col("file_type"))
+    base = doc.withColumn("path", path(key, F.lit(""), F.when(key % 7 == 0, F.lit("retired")).otherwise(F.col("file_type"))))
+    moved = F.when(key % 5 == 0, F.lit("incoming")).when(key % 11 == 0, F.lit("moved")).otherwise(F.col("file_type"))
     suffix = F.when((key % 4 == 1) & (key % 3 == 0), F.lit(".2")).when((key % 4 == 2) & (key % 3 == 0), F.lit("x")).otherwise("")
     edited = key % 6 == 0
     target = (
-        doc.filter(key % 5 != 0)
-        .withColumn("path", path(key, suffix, moved))
+        doc.withColumn("path", path(key, suffix, moved))
         .withColumn("text", F.when(edited, F.concat("text", F.lit("\ncurl http://x.example token"))).otherwise(F.col("text")))
         .withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
     )
@@ -148,12 +147,12 @@ def _sql_path(suffix: str, folder: str) -> str:
             f"{sql_pick('file_id', [h[1] for h in halves])} || {suffix}")
 
 
-view("baseline", f"SELECT file_id, file_type, text, sha256, {_sql_path(sql_text(''), 'file_type')} AS path FROM files WHERE file_id % 7 <> 0", "files")
+view("baseline", f"SELECT file_id, file_type, text, sha256, {_sql_path(sql_text(''), "CASE WHEN file_id % 7 = 0 THEN 'retired' ELSE file_type END")} AS path FROM files", "files")
 view("target", f"""
 SELECT file_id, file_type, path, CASE WHEN file_id % 6 = 0 THEN text || chr(10) || 'curl http://x.example token' ELSE text END AS text,
   CASE WHEN file_id % 6 = 0 THEN sha256(text || chr(10) || 'curl http://x.example token') ELSE sha256 END AS sha256
 FROM (SELECT * EXCLUDE (path), {_sql_path("CASE WHEN file_id % 4 = 1 AND file_id % 3 = 0 THEN '.2' WHEN file_id % 4 = 2 AND file_id % 3 = 0 THEN 'x' ELSE '' END",
-                           "CASE WHEN file_id % 11 = 0 THEN 'moved' ELSE file_type END")} AS path FROM files WHERE file_id % 5 <> 0)""", "files")
+                           "CASE WHEN file_id % 5 = 0 THEN 'incoming' WHEN file_id % 11 = 0 THEN 'moved' ELSE file_type END")} AS path FROM files)""", "files")
 view("removed", "SELECT path FROM baseline EXCEPT SELECT path FROM target", "baseline", "target")
 view("added", "SELECT path FROM target EXCEPT SELECT path FROM baseline", "baseline", "target")
 
@@ -208,10 +207,16 @@ SELECT * FROM (SELECT r.path AS baseline_path, a.path AS target_path, round(1 -
   (SELECT {_base_name} AS n, regexp_replace(path, '/[^/]*$', '') AS d, path FROM removed WHERE path NOT IN (SELECT baseline_path FROM renames1 UNION ALL SELECT baseline_path FROM renames2)) r JOIN
   (SELECT {_base_name} AS n, regexp_replace(path, '/[^/]*$', '') AS d, path FROM added WHERE path NOT IN (SELECT target_path FROM renames1 UNION ALL SELECT target_path FROM renames2)) a USING (d))
 WHERE score >= 0.9""", "removed", "added", "renames1", "renames2")
+# Best score first, then by path: a pair is taken if neither of its files is taken yet.
 view("renames3", """
 SELECT baseline_path, target_path, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY baseline_path ORDER BY score DESC, target_path) AS a,
-    row_number() OVER (PARTITION BY target_path ORDER BY score DESC, baseline_path) AS b FROM similar_pairs) WHERE a = 1 AND b = 1""", "similar_pairs")
+  WITH RECURSIVE ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, baseline_path, target_path) AS k FROM similar_pairs),
+  taken AS (
+    SELECT 0::BIGINT AS k, [''] AS used, NULL::VARCHAR AS baseline_path, NULL::VARCHAR AS target_path, NULL::DOUBLE AS score
+    UNION ALL
+    SELECT n.k, list_append(list_append(t.used, 'b' || n.baseline_path), 't' || n.target_path), n.baseline_path, n.target_path, n.score
+    FROM taken t, LATERAL (SELECT * FROM ranked r WHERE r.k > t.k AND NOT list_contains(t.used, 'b' || r.baseline_path) AND NOT list_contains(t.used, 't' || r.target_path) ORDER BY r.k LIMIT 1) n)
+  SELECT * FROM taken) WHERE k > 0""", "similar_pairs")
 
 
 @query("join11_unique_name_renames", "SELECT * FROM renames1", "renames1")
@@ -243,7 +248,7 @@ def similar_names(spark, sf_dir):
 
 @query("win6_best_rename", "SELECT * FROM renames3", "renames3")
 def best_rename(spark, sf_dir):
-    return D.best_pairs(cut_lineage(D.similar_names(*_after_second(spark, sf_dir))))
+    return D.best_pairs(D.similar_names(*_after_second(spark, sf_dir)))
 
 
 @query("srt1_rename_list", """
@@ -421,7 +426,7 @@ VENDORS = ("elastic", "neo23x0", "other", "bartblaze")
 @query("join17_criticality_override", f"""
 SELECT file_id, rule_id, coalesce(o.crit, s.crit, 'notable') AS crit FROM (
   SELECT l_orderkey AS file_id, 'sig' || (l_partkey % 300) AS rule_id, {sql_pick('l_suppkey', VENDORS)} AS vendor FROM lineitem) m
-LEFT JOIN (SELECT 'sig' || p_partkey AS rule_id, CASE WHEN p_partkey % 2 = 0 THEN 'hostile' END AS crit, p_partkey % 7 = 0 AS disable FROM part WHERE p_partkey < 100) o USING (rule_id)
+LEFT JOIN (SELECT 'sig' || p_partkey AS rule_id, CASE WHEN p_partkey % 2 = 0 THEN 'hostile' END AS crit, p_partkey % 7 = 0 AS disable FROM part) o USING (rule_id)
 LEFT JOIN (VALUES ('elastic', 'suspicious'), ('neo23x0', 'inert')) s(vendor, crit) USING (vendor) WHERE NOT coalesce(disable, FALSE)""")
 def criticality_override(spark, sf_dir):
     from ruleloom.session import local_table
@@ -431,7 +436,7 @@ def criticality_override(spark, sf_dir):
         F.col("l_orderkey").alias("file_id"), F.concat(F.lit("sig"), F.col("l_partkey") % 300).alias("rule_id"), pick(F.col("l_suppkey"), VENDORS).alias("vendor")
     )
     key = F.col("p_partkey")
-    overrides = read_table(spark, sf_dir, "part").filter(key < 100).select(
+    overrides = read_table(spark, sf_dir, "part").select(
         F.concat(F.lit("sig"), key).alias("rule_id"), F.when(key % 2 == 0, "hostile").alias("crit"), (key % 7 == 0).alias("disable")
     )
     sources = local_table(spark, [("elastic", "suspicious"), ("neo23x0", "inert")], "vendor string, crit string")

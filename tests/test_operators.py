@@ -123,10 +123,46 @@ def test_references(spark):
     assert got == {("a/b::x", "a/b::x"), ("x", "a/b::x"), ("x", "d::x"), ("x", "legacy/x"), ("a/b", "a/b::x"), ("a/b", "a/b/c::y")}
 
 
-def test_rule_levels_reject_cycles():
-    assert composites.rule_levels({"a": set(), "b": {"a"}, "c": {"b"}}) == [["a"], ["b"], ["c"]]
-    with pytest.raises(ValueError):
-        composites.rule_levels({"a": {"b"}, "b": {"a"}})
+def _composites(spark, rules, findings, **more):
+    rows = [(name, 1, 1.0, None, None, None, ["all"], None, None) for name in rules]
+    conds = [(name, clause, i, ref) for name, clauses in rules.items() for clause, refs in clauses.items() for i, ref in enumerate(refs)]
+    files = local_table(spark, [(i, "text", 10) for i in (1, 2)], "file_id bigint, file_type string, size_bytes bigint")
+    found = local_table(spark, [(f, r, 1, 0) for f, r in findings], "file_id bigint, rule_id string, line_no bigint, offset bigint")
+    catalog = local_table(spark, rows, "rule_id string, crit int, conf double, needs int, near_lines int, near_bytes int, for_types array<string>, size_min bigint, size_max bigint")
+    out = composites.evaluate_composites(files, found, found, catalog, local_table(spark, conds, "rule_id string, clause string, idx int, ref_id string"), **more)
+    return {(r["file_id"], r["rule_id"]) for r in out.collect()}
+
+
+def test_rules_may_refer_to_each_other(spark):
+    circle = {"d::a": {"any": ["d::b", "x::1"]}, "d::b": {"any": ["d::a"]}, "d::p": {"all": ["d::q"]}, "d::q": {"all": ["d::p"]}, "e/f::self": {"any": ["e/f", "x::1"]}}
+    assert _composites(spark, circle, [(1, "x::1"), (2, "y::1")]) == {(1, "d::a"), (1, "d::b"), (1, "e/f::self")}
+
+
+def test_rounds_end_at_their_limit(spark):
+    chain = {f"d::c{i}": {"all": [f"d::c{i - 1}" if i else "x::1"]} for i in range(12)}
+    names = {(1, f"d::c{i}") for i in range(12)}
+    assert _composites(spark, chain, [(1, "x::1")], max_rounds=12) == names
+    assert _composites(spark, chain, [(1, "x::1")]) == {n for n in names if n[1] not in ("d::c10", "d::c11")}
+
+
+def test_unless_sees_earlier_rounds_only(spark):
+    rules = {"d::first": {"all": ["x::1"]}, "d::same": {"all": ["x::1"], "unless": ["d::first"]}, "d::later": {"all": ["d::first"], "unless": ["d::same"]}, "d::atomic": {"all": ["x::1"], "unless": ["x::2"]}}
+    assert _composites(spark, rules, [(1, "x::1"), (2, "x::1"), (2, "x::2")]) == {(1, "d::first"), (1, "d::same"), (1, "d::atomic"), (2, "d::first"), (2, "d::same")}
+
+
+def test_section_of_every_row(spark):
+    strings = local_table(spark, [(1, 5, "a"), (1, 5, "a"), (1, 70000, "b"), (1, None, "c"), (2, 1, "d")], "file_id bigint, offset bigint, value string")
+    parts = local_table(spark, [(1, ".b", 0, 9223372036854775807), (1, ".a", 0, 10), (1, ".c", 10, 10), (2, ".z", 2, 9)], "file_id bigint, name string, start bigint, end bigint")
+    got = sorted((r["file_id"], r["offset"], r["section"]) for r in joins.containing_section(strings, parts).collect() if r["offset"] is not None)
+    assert got == [(1, 5, ".a"), (1, 5, ".a"), (1, 70000, ".b"), (2, 1, None)]
+    assert joins.containing_section(strings, parts).count() == 5
+
+
+def test_renames_pair_until_none_is_left(spark):
+    pairs = local_table(spark, [("r1", "a1", 0.95), ("r2", "a1", 0.97), ("r1", "a2", 0.92), ("r3", "a2", 0.92)], "baseline_path string, target_path string, score double")
+    got = {(r["baseline_path"], r["target_path"]) for r in diff.best_pairs(pairs).collect()}
+    assert got == {("r2", "a1"), ("r1", "a2")}
+    assert diff.best_pairs(pairs.limit(0)).count() == 0
 
 
 def test_many_conditions_need_several_masks(spark):
