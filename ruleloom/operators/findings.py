@@ -132,9 +132,12 @@ def import_findings(symbols: DataFrame) -> DataFrame:
     single = single.select("file_id", "rule_id", F.lit(None).cast("bigint").alias("n_symbols"), F.lit(None).cast("string").alias("preview"))
     libs = eco.filter(binary & (F.coalesce("library", F.lit("")) != ""))
     per_symbol = libs.groupBy("file_id", "library", "symbol").agg(F.count("*").alias("n"))
+    few = first_n_per_group(per_symbol.filter(F.col("symbol").isNotNull()).select("file_id", "library", "symbol"), ["file_id", "library"], [F.col("symbol")], 5)
+    first = few.groupBy("file_id", "library").agg(F.array_sort(F.collect_list("symbol")).alias("first"))
     per_lib = (
         per_symbol.groupBy("file_id", "library")
-        .agg(F.sum("n").alias("n_symbols"), F.slice(F.array_sort(F.collect_list("symbol")), 1, 5).alias("first"))
+        .agg(F.sum("n").alias("n_symbols"))
+        .join(first, ["file_id", "library"], "left")
         .withColumn("lib", T.normalize_import_name(F.col("library")))
         .filter(F.col("lib") != "")
     )

@@ -13,8 +13,9 @@ from ruleloom.session import local_table
 # Pattern tables up to this many rows are sent to every task; larger ones are joined by
 # shuffling grams, so no result depends on the bound.
 MAX_BROADCAST_PATTERNS = 200_000
-MAX_FILE_TYPES = 1000
 GRAM = 4
+# Regexes without a literal that are tested in one pass over the values.
+TESTS_A_PASS = 200
 
 
 def is_small(df: DataFrame, bound: int = MAX_BROADCAST_PATTERNS) -> bool:
@@ -97,7 +98,8 @@ def literal_hits(values: DataFrame, patterns: DataFrame, keys: list[str], column
     # Too many patterns to send: find candidate keys by shuffled grams, then fetch the text.
     anchors = anchored(usable)
     probe = F.array_distinct(F.flatten(F.array(*[grams(F.col(column), k) for k in range(1, GRAM + 1)])))
-    candidates = values.select(*keys, F.explode(probe).alias("_gram")).join(anchors, "_gram").drop("_gram", "_k")
+    # Equal rows of `values` share their keys: each key is a candidate once, and meets all of its rows again.
+    candidates = values.select(*keys, F.explode(probe).alias("_gram")).distinct().join(anchors, "_gram").drop("_gram", "_k")
     return candidates.join(values, keys).filter(F.col(column).contains(F.col("pattern")))
 
 
@@ -124,42 +126,85 @@ def regex_literal(regex: Column) -> Column:
     return F.when((F.char_length(plain) >= 3) & ~regex.contains("|") & ~regex.rlike(r"\(\?"), plain)
 
 
+def required_literal(regex: str) -> str | None:
+    """The longest run of plain characters that every match contains, if it has three.
+
+    Only what stands outside of groups and classes counts, and a choice outside of them
+    leaves nothing that every match has.
+    """
+    if "(?" in regex or "\\Q" in regex:
+        return None
+    runs, run, i, depth = [], "", 0, 0
+    while i < len(regex):
+        c = regex[i]
+        plain = None
+        if c == "\\":
+            i += 1
+            plain = regex[i] if i < len(regex) and not regex[i].isalnum() else None
+        elif c == "[":
+            i += 1
+            first = i + (regex[i : i + 1] == "^")
+            while i < len(regex) and (regex[i] != "]" or i == first):
+                i += 2 if regex[i] == "\\" else 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return None
+        elif c == "{":
+            i = max(i, regex.find("}", i))
+        elif c not in "|.^$*+?":
+            plain = c
+        if depth == 0 and c in "*?{":
+            run = run[:-1]
+        if plain is not None and depth == 0:
+            run += plain
+        else:
+            runs.append(run)
+            run = ""
+        i += 1
+    best = max([*runs, run], key=len)
+    return best if len(best) >= 3 else None
+
+
 def regex_hits(values: DataFrame, patterns: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
     """Pairs where the value matches the regex in `pattern`.
 
-    Regexes with a leading literal go through the gram join and are verified; the rest
-    become one test each in the row. Those are written by rule authors, so their number
-    is that of the catalog.
+    Regexes with a literal that every match holds, at their head or inside, go through
+    the gram join and are verified. The rest are tested in the row, so many a pass; their
+    number is that of the catalog.
     """
     extra = patterns.columns
     split = patterns.withColumns({"_regex": F.col("pattern"), "pattern": regex_literal(F.col("pattern"))})
-    led = literal_hits(values, split.filter(F.col("pattern").isNotNull()), keys, column)
-    led = led.filter(F.regexp(F.col(column), F.col("_regex"))).withColumn("pattern", F.col("_regex"))
-    led = led.select(*values.columns, *extra)
-    rows = small_rows(split.filter(F.col("pattern").isNull()).drop("pattern").withColumnRenamed("_regex", "pattern"), 2000)
-    if rows is None:
-        raise ValueError("more than 2000 regexes without a leading literal; give them one")
-    if not rows:
-        return led
-    tests = [
-        F.when(F.col(column).rlike(r["pattern"]), F.struct(*[F.lit(r[c]).alias(c) for c in extra])) for r in rows
-    ]
-    found = values.withColumn("_hit", F.explode(F.array_compact(F.array(*tests))))
-    return led.unionByName(found.select(*values.columns, *[F.col(f"_hit.{c}").alias(c) for c in extra]))
+    rest = split.filter(F.col("pattern").isNull()).select(*[F.col("_regex").alias("pattern") if c == "pattern" else c for c in extra]).collect()
+    inner = [(r, literal) for r in rest if (literal := required_literal(r["pattern"]))]
+    rows = [r for r in rest if not required_literal(r["pattern"])]
+    led = split.filter(F.col("pattern").isNotNull())
+    if inner:
+        types = dict(patterns.dtypes)
+        schema = ", ".join(f"`{n}` {types[n]}" for n in extra)
+        inside = local_table(values.sparkSession, [(*r, literal) for r, literal in inner], schema + ", _literal string")
+        led = led.unionByName(inside.withColumn("_regex", F.col("pattern")).withColumn("pattern", F.col("_literal")).drop("_literal"))
+    found = literal_hits(values, led, keys, column)
+    found = found.filter(F.regexp(F.col(column), F.col("_regex"))).withColumn("pattern", F.col("_regex"))
+    found = found.select(*values.columns, *extra)
+    for i in range(0, len(rows), TESTS_A_PASS):
+        tests = [F.when(F.col(column).rlike(r["pattern"]), F.struct(*[F.lit(r[c]).alias(c) for c in extra])) for r in rows[i : i + TESTS_A_PASS]]
+        tested = values.withColumn("_hit", F.explode(F.array_compact(F.array(*tests))))
+        found = found.unionByName(tested.select(*values.columns, *[F.col(f"_hit.{c}").alias(c) for c in extra]))
+    return found
 
 
 def applicable(files: DataFrame, rule_types: DataFrame) -> DataFrame:
     """(file, rule) pairs by file type; a rule for `all` applies to every type.
 
-    The distinct types of the files are few (checked), so a universal rule becomes one
-    row per type, and files join on their type.
+    A universal rule becomes one row for each type that files have, and files join on
+    their type.
     """
-    types = small_rows(files.select("file_type").distinct(), MAX_FILE_TYPES)
-    if types is None:
-        raise ValueError(f"more than {MAX_FILE_TYPES} file types")
-    concrete = F.array(*[F.lit(r["file_type"]) for r in types]).cast("array<string>")
-    mine = F.when(F.col("file_type") == "all", concrete).otherwise(F.array("file_type"))
-    pairs = rule_types.select("rule_id", F.explode(mine).alias("file_type")).distinct()
+    universal = F.lit("all")
+    types = files.select(universal.alias("file_type"), F.col("file_type").alias("_own")).filter("_own is not null").distinct()
+    every = rule_types.filter(F.col("file_type") == "all").select("rule_id", "file_type").distinct()
+    every = every.join(F.broadcast(types) if is_small(types) else types, "file_type").select("rule_id", F.col("_own").alias("file_type"))
+    pairs = rule_types.filter(F.col("file_type") != "all").select("rule_id", "file_type").unionByName(every).distinct()
     return files.join(F.broadcast(pairs) if is_small(pairs) else pairs, "file_type")
 
 

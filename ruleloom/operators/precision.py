@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import text as T
+from ruleloom.session import cut_lineage
 
 UNIT = K.PARAM_UNIT
 FOLDING = ("string", "raw", "encoded", "basename", "kv")
@@ -60,37 +61,55 @@ def sum_of_weakest(values: Column, n: Column) -> Column:
     return T.array_sum(F.slice(F.array_sort(values), F.lit(1), n))
 
 
-def composite_precision(rules: DataFrame, conds: DataFrame, known: DataFrame, levels: int) -> DataFrame:
-    """(rule_id, precision) of composites nested up to `levels` deep.
+def _level(rules: DataFrame, conds: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule_id, precision) of some composites, given that of what they refer to.
 
-    Each level is one join of the conditions with what is known so far and one
-    aggregation. An unknown reference counts as a bare rule; the clause lists of a rule
-    are short, so they may be collected.
+    An unknown reference counts as a bare rule; the clause lists of a rule are short, so
+    they may be collected.
     """
-    base = rules.select("rule_id", F.coalesce("needs", F.lit(1)).alias("needs"), list_score(F.col("for_types")).alias("_types"))
-    out = known
-    for _ in range(levels):
-        target = out.select(F.col("rule_id").alias("ref_id"), "precision")
-        value = F.when(F.col("ref_id").isNull(), F.lit(0.0)).otherwise(F.coalesce("precision", F.lit(K.BASE_PRECISION)))
-        scored = conds.join(target, "ref_id", "left").select("rule_id", "clause", value.alias("v"))
-        of = lambda clause: F.when(F.col("clause") == clause, F.col("v"))
-        sums = scored.groupBy("rule_id").agg(
-            F.sum(of("all")).alias("_all"),
-            F.collect_list(of("any")).alias("_any"),
-            F.sum(of("none")).alias("_none"),
-            F.min(of("unless")).alias("_unless"),
-        )
-        zero = lambda c: F.coalesce(c, F.lit(0.0))
-        total = (
-            F.col("_types")
-            + zero(F.col("_all"))
-            + zero(sum_of_weakest(F.col("_any"), F.greatest("needs", F.lit(1))))
-            + zero(F.col("_none") + UNIT)
-            + zero(F.col("_unless") + UNIT)
-        )
-        level = base.join(sums, "rule_id", "left").select("rule_id", total.alias("precision"))
-        out = known.unionByName(level)
-    return level
+    target = known.select(F.col("rule_id").alias("ref_id"), "precision")
+    value = F.when(F.col("ref_id").isNull(), F.lit(0.0)).otherwise(F.coalesce("precision", F.lit(K.BASE_PRECISION)))
+    scored = conds.join(target, "ref_id", "left").select("rule_id", "clause", value.alias("v"))
+    of = lambda clause: F.when(F.col("clause") == clause, F.col("v"))
+    sums = scored.groupBy("rule_id").agg(
+        F.sum(of("all")).alias("_all"),
+        F.collect_list(of("any")).alias("_any"),
+        F.sum(of("none")).alias("_none"),
+        F.min(of("unless")).alias("_unless"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    total = (
+        list_score(F.col("for_types"))
+        + zero(F.col("_all"))
+        + zero(sum_of_weakest(F.col("_any"), F.greatest(F.coalesce("needs", F.lit(1)), F.lit(1))))
+        + zero(F.col("_none") + UNIT)
+        + zero(F.col("_unless") + UNIT)
+    )
+    return rules.join(sums, "rule_id", "left").select("rule_id", total.alias("precision"))
+
+
+def composite_precision(rules: DataFrame, conds: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule_id, precision) of composites, nested to any depth.
+
+    `known` has the precision of atomic rules. Each round scores the composites whose
+    references are all scored; it is one join and one aggregation. In a circle of
+    references nothing gets ready: a reference that is still open then counts as a bare rule.
+    """
+    open_rules = cut_lineage(rules.select("rule_id", "needs", "for_types"))
+    inner = cut_lineage(conds.select("rule_id", "clause", "ref_id"))
+    names = open_rules.select("rule_id")
+    nested = cut_lineage(inner.join(names.withColumnRenamed("rule_id", "ref_id"), "ref_id", "left_semi").select("rule_id", "ref_id").distinct())
+    done = None
+    while not open_rules.isEmpty():
+        scored = known if done is None else known.unionByName(done)
+        waiting = nested.join(open_rules.select(F.col("rule_id").alias("ref_id")), "ref_id", "left_semi").select("rule_id").distinct()
+        ready = cut_lineage(open_rules.join(waiting, "rule_id", "left_anti"))
+        if ready.isEmpty():
+            ready = open_rules
+        level = cut_lineage(_level(ready, inner.join(ready.select("rule_id"), "rule_id", "left_semi"), scored))
+        done = level if done is None else done.unionByName(level)
+        open_rules = cut_lineage(open_rules.join(ready.select("rule_id"), "rule_id", "left_anti"))
+    return done if done is not None else rules.select("rule_id", F.lit(0.0).alias("precision"))
 
 
 def corrected(rules: DataFrame) -> DataFrame:

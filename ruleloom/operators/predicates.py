@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ruleloom.session import local_table
 from ruleloom import constants as K
 from ruleloom.functions import net, text as T
+from ruleloom.operators.windows import first_n_per_group
 
 
 def quoted(literal: str) -> str:
@@ -226,13 +227,14 @@ def counted_per_file(
     first, so a file with very many rows is reduced before it meets in one group.
     """
     per_value = facts.groupBy("file_id", F.col(sample).alias("_v")).agg(F.count("*").alias("_n"))
-    per_file = per_value.groupBy("file_id").agg(
-        F.sum("_n").alias("_total"), F.slice(F.array_sort(F.collect_list("_v")), 1, 5).alias("sample")
-    )
     total = F.coalesce("_total", F.lit(0)).cast("bigint")
+    totals = per_value.groupBy("file_id").agg(F.sum("_n").alias("_total"))
+    few = first_n_per_group(per_value.filter(F.col("_v").isNotNull()).select("file_id", "_v"), ["file_id"], [F.col("_v")], 5)
+    samples = few.groupBy("file_id").agg(F.array_sort(F.collect_list("_v")).alias("sample"))
     return (
         files.select("file_id")
-        .join(per_file, "file_id", "left")
+        .join(totals, "file_id", "left")
+        .join(samples, "file_id", "left")
         .select("file_id", total.alias("n"), F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
         .filter(within(F.col("n"), low, high))
     )

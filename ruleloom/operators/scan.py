@@ -14,9 +14,8 @@ from ruleloom.session import local_table
 
 # So few rules are cheaper to test on every value than to look up by the grams it holds.
 MAX_DIRECT_RULES = 64
-# Catalogs up to this many rules are matched in one pass over the values.
+# So many rules are matched in one pass over the values; a larger catalog takes more passes.
 MAX_COMBINED_RULES = 20_000
-MAX_ADDRESS_RULES = 2000
 
 RULE_SCHEMA = (
     "rule_id string, crit int, conf double, ctype string, how string, pattern string, "
@@ -45,15 +44,15 @@ def _direct_test(value: Column, rule) -> Column:
     return P.matcher(value, case_insensitive=rule["case_insensitive"], **{rule["how"]: rule["pattern"]})
 
 
-def _anchor_keys(rows: list) -> list[tuple]:
+def _anchor_keys(rows: list, direct: bool) -> list[tuple]:
     """(rule, matcher, pattern, regex, key) per rule; the key says what a value must hold.
 
     `=` and `~` stand for the value and its lower case, `.` and `,` for grams of them,
     and `!` for a test that is run on every value.
     """
     literals = []
-    direct = len(rows) <= MAX_DIRECT_RULES
     for r in rows:
+        literal = None if r["how"] != "regex" else r["literal"] or matching.required_literal(r["regex"])
         if direct:
             literals.append(("!", r["rule_id"]))
         elif r["how"] == "exact":
@@ -61,7 +60,7 @@ def _anchor_keys(rows: list) -> list[tuple]:
         elif r["how"] in ("substr", "word"):
             literals.append(("," if r["case_insensitive"] else ".", r["pattern"]))
         else:
-            literals.append(("." if r["literal"] else "!", r["literal"] or r["rule_id"]))
+            literals.append(("." if literal else "!", literal or r["rule_id"]))
     folded = [(mark, text.lower() if mark in "~," else text) for mark, text in literals]
     grams = matching.rarest_grams([{"pattern": text} for _, text in folded])
     out = []
@@ -73,24 +72,12 @@ def _anchor_keys(rows: list) -> list[tuple]:
     return out
 
 
-def combined_hits(values: DataFrame, rules: DataFrame, column: str) -> DataFrame | None:
-    """Pairs (values row, rule) for rules of every matcher in one pass over the values.
+def _one_pass(values: DataFrame, rows: list, anchors: list[tuple], column: str) -> DataFrame:
+    """Pairs (values row, rule) for some rules in one pass over the values.
 
     Each value is exploded into the keys it holds and meets the rules by an equi-join
-    with the broadcast catalog; the rule's own test then decides. None when the catalog
-    is too large to send.
+    with the broadcast catalog; the rule's own test then decides.
     """
-    regex = as_regex(F.col("how"), F.col("pattern"), F.col("case_insensitive"))
-    rows = matching.small_rows(
-        rules.select(
-            "rule_id", "how", "pattern", "case_insensitive", regex.alias("regex"),
-            F.when(F.col("how") == "regex", matching.regex_literal(regex)).alias("literal"),
-        ),
-        MAX_COMBINED_RULES,
-    )
-    if rows is None:
-        return None
-    anchors = _anchor_keys(rows)
     catalog = local_table(
         values.sparkSession, anchors,
         "rule_id string, how string, case_insensitive boolean, pattern string, regex string, _key string",
@@ -116,46 +103,39 @@ def combined_hits(values: DataFrame, rules: DataFrame, column: str) -> DataFrame
     return values.withColumn("_key", F.explode(keys)).join(F.broadcast(catalog), "_key").filter(verified).drop("_key")
 
 
-def _by_family(values: DataFrame, rules: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """The same pairs for a catalog too large to send, one join per matcher family."""
-    def literals(how: str, folded: bool) -> DataFrame:
-        mine = rules.filter((F.col("how") == how) & (F.col("case_insensitive") == folded))
-        return mine.select("rule_id", (F.lower("pattern") if folded else F.col("pattern")).alias("pattern"))
+def hits_of(values: DataFrame, rules: DataFrame, column: str) -> DataFrame:
+    """Pairs (values row, rule) for rules of every matcher.
 
-    low = values.withColumn("_low", F.lower(column))
+    The catalog is read on the driver. It is cut into passes of a bounded number of rules
+    to send and of tests in the row, which changes nothing but the number of passes.
+    """
     regex = as_regex(F.col("how"), F.col("pattern"), F.col("case_insensitive"))
-    regexes = rules.filter(F.col("how").isin("regex", "word")).select("rule_id", regex.alias("pattern"))
-    public = matching.small_rows(rules.filter(F.col("how") == "external_ip").select("rule_id"), MAX_ADDRESS_RULES)
-    if public is None:
-        raise ValueError(f"more than {MAX_ADDRESS_RULES} rules ask for a public address")
-    address_rules = F.array(*[F.lit(r["rule_id"]) for r in public]).cast("array<string>")
-    found = [
-        matching.exact_hits(values, literals("exact", False), column=column),
-        matching.exact_hits(values, literals("exact", True), True, column),
-        matching.literal_hits(values, literals("substr", False), keys, column),
-        matching.literal_hits(low, literals("substr", True), keys, "_low"),
-        matching.regex_hits(values, regexes, keys, column),
-        values.filter(net.contains_external_ip(F.col(column))).withColumn("rule_id", F.explode(address_rules)),
-    ]
-    pairs = reduce(lambda a, b: a.unionByName(b), [f.select(*values.columns, "rule_id") for f in found])
-    return pairs.join(rules.select("rule_id", "how", "case_insensitive", "pattern", regex.alias("regex")), "rule_id")
-
-
-def hits_of(values: DataFrame, rules: DataFrame, keys: list[str], column: str) -> DataFrame:
-    found = combined_hits(values, rules, column)
-    return found if found is not None else _by_family(values, rules, keys, column)
+    rows = rules.select(
+        "rule_id", "how", "pattern", "case_insensitive", regex.alias("regex"),
+        F.when(F.col("how") == "regex", matching.regex_literal(regex)).alias("literal"),
+    ).collect()
+    pairs = list(zip(rows, _anchor_keys(rows, len(rows) <= MAX_DIRECT_RULES)))
+    tested = [p for p in pairs if p[1][5][0] == "!"]
+    keyed = [p for p in pairs if p[1][5][0] != "!"]
+    size = max(1, MAX_COMBINED_RULES)
+    passes = [keyed[i : i + size] for i in range(0, len(keyed), size)]
+    chunks = [tested[i : i + matching.TESTS_A_PASS] for i in range(0, len(tested), matching.TESTS_A_PASS)]
+    if passes and chunks:  # the first tests ride along
+        passes[-1] = passes[-1] + chunks.pop(0)
+    found = [_one_pass(values, [r for r, _ in p], [a for _, a in p], column) for p in [*passes, *chunks] or [[]]]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def string_hits(strings: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, rule_id, hits, sample) for rules on string facts."""
-    found = hits_of(strings.select("file_id", "value"), rules, ["file_id", "value"], "value")
+    found = hits_of(strings.select("file_id", "value"), rules, "value")
     return found.groupBy("file_id", "rule_id").agg(F.count("*").alias("hits"), F.min("value").alias("sample"))
 
 
 def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, rule_id, hits, sample) for rules on whole content; one row per pair."""
     text = F.col("text")
-    found = hits_of(files.select("file_id", "text"), rules, ["file_id"], "text")
+    found = hits_of(files.select("file_id", "text"), rules, "text")
     folded = F.when(F.col("case_insensitive"), F.lower(text)).otherwise(text)
     hits = F.coalesce(F.regexp_count(text, F.col("regex")).cast("bigint"), T.count_literal(folded, F.col("pattern")))
     return found.select("file_id", "rule_id", hits.alias("hits"), F.coalesce("regex", "pattern").alias("sample"))

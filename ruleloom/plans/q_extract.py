@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ruleloom import constants as K
 from ruleloom.functions import ids, text as T
 from ruleloom.operators import decode, extract
-from ruleloom.plans.registry import query, view
+from ruleloom.plans.registry import SQL_IS_URL, SQL_URLS, query, view
 from ruleloom.plans.tables import (
     env_strings, files, path_strings, pick, sections, sql_list, sql_pick, sql_text, symbols,
 )
@@ -58,7 +58,7 @@ SQL_REAL_IP = f"""({FIRST_IP} <> '' AND NOT regexp_matches(value, {q(K.VERSION_I
 SQL_IS_PATH = r"""(starts_with(value, '/') OR (strlen(value) > 3 AND substr(value, 2, 2) = ':\')
   OR (regexp_matches(value, '[/\\]') AND NOT contains(value, ' ')
       AND regexp_matches(value, '/bin/|/usr/|/etc/|/tmp/|/var/|C:\\|Program')))"""
-SQL_KIND = f"""CASE WHEN regexp_matches(value, {q(K.URL_RE)}) THEN 'url' WHEN {SQL_REAL_IP} THEN 'ip'
+SQL_KIND = f"""CASE WHEN regexp_matches(value, {q(SQL_IS_URL)}) THEN 'url' WHEN {SQL_REAL_IP} THEN 'ip'
   WHEN regexp_matches(value, {q(K.EMAIL_RE)}) THEN 'email' WHEN {SQL_IS_PATH} THEN 'path'
   WHEN strlen(value) >= 16 AND regexp_matches(value, {q(K.BASE64_RE)}) THEN 'base64' ELSE 'const' END"""
 SQL_NORM = r"regexp_replace({}, '^(sym\.imp\.)*(sym\.)*(fcn\.)*_*', '')"
@@ -115,7 +115,7 @@ def section_listing(spark, sf_dir):
 
 
 @query("ext7_urls", f"""
-SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, {q(K.SCRIPT_URL_RE)})) AS value FROM pages""")
+SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, {q(SQL_URLS)})) AS value FROM pages""")
 def urls(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("body"))
     return extract.urls(pages, "body")
@@ -235,7 +235,17 @@ def base64_decode(spark, sf_dir):
     return decode.base64_strings(once, "value").drop("encoded")
 
 
-@query("ext14_decode_layers")
+# What each layer gives, from the plain text inwards out.
+view("layer_truth", """
+SELECT file_id, "offset", unnest([{'depth': 1, 'chain': split_part(full_chain, '-', 1), 'value': CASE full_chain
+    WHEN 'base64' THEN value WHEN 'hex' THEN value WHEN 'base64-base64' THEN b64 WHEN 'hex-base64' THEN b64 || chr(10) ELSE hex(encode(b64 || chr(10))) END},
+  {'depth': 2, 'chain': replace(substr(full_chain, 1, CASE depth WHEN 3 THEN 10 ELSE 99 END), '-', '+'), 'value': CASE WHEN depth = 3 THEN b64 || chr(10) WHEN depth = 2 THEN value END},
+  {'depth': 3, 'chain': replace(full_chain, '-', '+'), 'value': CASE WHEN depth = 3 THEN value END}]) AS layer
+FROM (SELECT *, base64(encode(value)) AS b64 FROM payload_truth WHERE depth > 0 AND first_ok)""", "payload_truth")
+
+
+@query("ext14_decode_layers", """
+SELECT file_id, "offset", layer.depth, layer.chain, layer.value, CAST(strlen(layer.value) AS BIGINT) AS n_bytes FROM layer_truth WHERE layer.value IS NOT NULL""", "layer_truth")
 def decode_layers(spark, sf_dir):
     layers = decode.decode_layers(encoded_strings(spark, sf_dir).drop("plain"))
     return layers.select("file_id", "offset", "depth", F.array_join("chain", "+").alias("chain"), "value", "n_bytes")

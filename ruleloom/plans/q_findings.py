@@ -128,7 +128,7 @@ def doc_findings(spark, sf_dir):
                         "rule_id string, clause string, idx int, ref_id string")
     evidence = atomic.withColumns({"line_no": none, "offset": none})
     combined = composites.evaluate_composites(doc.drop("text"), atomic, evidence, rules, conds)
-    return FD.merge_stages(atomic.select("file_id", "rule_id", "crit", "conf"), combined).drop("stage")
+    return FD.capped(FD.merge_stages(atomic.select("file_id", "rule_id", "crit", "conf"), combined).drop("stage"))
 
 
 view("doc_report", """
@@ -521,15 +521,14 @@ def rule_costs(spark, sf_dir):
     return FD.rule_costs(runs, 100.0).select("rule_id", "total_ms", "hits", "runs")
 
 
-@query("srt3_slowest_rules")
-def slowest_rules(spark, sf_dir):
-    """Measured cost of each document rule: bytes it was run over and hits it had."""
-    doc = files(spark, sf_dir)
-    found = doc_atomic(spark, sf_dir)
-    runs = found.join(doc.select("file_id", "size_bytes"), "file_id").select(
-        "rule_id", (F.col("size_bytes") / 1000.0).alias("elapsed_ms"), "hits"
-    )
-    return FD.rule_costs(runs, 1.0)
+@query("srt3_costliest_rules", """
+SELECT rule_id, CAST(sum(size_bytes) AS BIGINT) AS bytes_matched, CAST(sum(hits) AS BIGINT) AS hits, count(*) AS runs
+FROM doc_atomic JOIN files USING (file_id) GROUP BY 1 HAVING sum(size_bytes) >= 10000 ORDER BY 2 DESC, 1""", "doc_atomic files")
+def costliest_rules(spark, sf_dir):
+    """Rules by the bytes of the files they matched, over a threshold; time is not measured."""
+    found = doc_atomic(spark, sf_dir).join(files(spark, sf_dir).select("file_id", "size_bytes"), "file_id")
+    costs = found.groupBy("rule_id").agg(F.sum("size_bytes").alias("bytes_matched"), F.sum("hits").alias("hits"), F.count("*").alias("runs"))
+    return costs.filter(F.col("bytes_matched") >= 10000).orderBy(F.desc("bytes_matched"), "rule_id")
 
 
 # -- caps, firsts, unions -------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ruleloom import constants as K
 from ruleloom.operators import joins, manifests as M
 from ruleloom.plans.q_extract import any_like
-from ruleloom.plans.registry import query, view
+from ruleloom.plans.registry import SQL_URLS, query, view
 from ruleloom.plans.tables import pick, sql_list, sql_pick, sql_text
 from ruleloom.sources.tables import read_table
 
@@ -50,7 +50,7 @@ _ips = f"list_filter(regexp_extract_all(script, {sql_text(K.IP_WORD_RE)}), lambd
 
 
 @query("ext27_script_strings", f"""
-SELECT file_id, 'scripts.' || hook AS section, unnest(regexp_extract_all(script, {sql_text(K.SCRIPT_URL_RE)})) AS value, 'url' AS string_type FROM script_rows
+SELECT file_id, 'scripts.' || hook AS section, unnest(regexp_extract_all(script, {sql_text(SQL_URLS)})) AS value, 'url' AS string_type FROM script_rows
 UNION ALL SELECT file_id, 'scripts.' || hook, unnest({_ips}), 'ip' FROM script_rows
 UNION ALL SELECT file_id, 'scripts.' || hook, unnest(list_filter(regexp_extract_all(script, {sql_text(K.SCRIPT_PATH_RE)}), lambda v: strlen(v) > 3)), 'path' FROM script_rows""", "script_rows")
 def script_strings(spark, sf_dir):
@@ -68,7 +68,7 @@ _odd = f"""(NOT regexp_matches({_host}, '({"|".join(d.replace(".", "[.]") for d
   OR (strlen({_base}) >= 8 AND len(regexp_extract_all({_base}, '[aeiouAEIOU]')) > 0 AND len(regexp_extract_all({_base}, '(?i)[b-df-hj-np-tv-xz]')) >= 3 * len(regexp_extract_all({_base}, '(?i)[aeiou]')))
   OR (strlen({_base}) >= 8 AND regexp_matches({_base}, '[0-9]') AND regexp_matches({_base}, '[A-Za-z]'))
   OR regexp_matches({_host}, '[.](tk|ml|ga|cf|gq|xyz|top|pw)$') OR (strlen({_base}) >= 10 AND regexp_matches(lower({_base}), 'ptr|mtr|str|spr|scr|thr'))))"""
-_checks.append(f"SELECT DISTINCT file_id, hook, 'command-and-control/suspicious-domain', 2, 0.8 FROM (SELECT file_id, hook, unnest(regexp_extract_all(script, {sql_text(K.SCRIPT_URL_RE)})) AS u FROM script_rows) WHERE {_odd}")
+_checks.append(f"SELECT DISTINCT file_id, hook, 'command-and-control/suspicious-domain', 2, 0.8 FROM (SELECT file_id, hook, unnest(regexp_extract_all(script, {sql_text(SQL_URLS)})) AS u FROM script_rows) WHERE {_odd}")
 
 
 @query("man1_script_findings", " UNION ALL ".join(_checks), "script_rows")

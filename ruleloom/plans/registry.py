@@ -17,6 +17,12 @@ class Query:
     sql: str | None
 
 
+# Addresses as the check finds them: its regexes repeat 1000 times at most, so the bound of
+# 2048 characters is spelled in three parts.
+_URL_CHARS = """[^ \\t\\r\\n'")\\]}>]"""
+SQL_URLS = f"https?://{_URL_CHARS}{{1,1000}}{_URL_CHARS}{{0,1000}}{_URL_CHARS}{{0,48}}"
+SQL_IS_URL = "(?i)(https?|ftp)://[^ \\t\\r\\n<>]"
+
 QUERIES: dict[str, Query] = {}
 _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.operators.findings import capped
+
 VERBOSE_COLUMNS = ("strings", "symbols", "sections", "paths", "env_vars", "metrics")
 
 
 def result_lines(report: DataFrame, findings: DataFrame) -> DataFrame:
     """One JSON line per file, its findings inside, and one summary line at the end.
 
-    Findings of a file are a bounded list (the cap of the findings per file), so they may
-    be collected into its line.
+    Findings of a file are capped first, the most severe ones stay, so they may be
+    collected into its line.
     """
+    findings = capped(findings)
     cols = [c for c in findings.columns if c not in ("file_id", "rule_id")]
     item = F.struct(F.col("rule_id").alias("id"), *cols)
     per_file = findings.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("findings"))
@@ -34,11 +37,11 @@ def write_result_lines(report: DataFrame, findings: DataFrame, path: str) -> Non
 
 def samples(files: DataFrame, findings: DataFrame, min_crit: int) -> DataFrame:
     """Content of files with a finding at a criticality, keyed by hash, each hash once."""
-    wanted = findings.filter(F.col("crit") >= min_crit).select("file_id")
-    kept = files.join(wanted, "file_id", "left_semi")
-    return kept.groupBy("sha256").agg(F.min("file_id").alias("file_id"), F.min_by("text", "file_id").alias("content")).withColumn(
-        "sha_prefix", F.substr("sha256", F.lit(1), F.lit(2))
-    )
+    wanted = findings.filter(F.col("crit") >= min_crit).select("file_id").distinct()
+    # The file that stands for a hash is chosen without its content, which is then read for it only.
+    chosen = files.select("file_id", "sha256").join(wanted, "file_id").groupBy("sha256").agg(F.min("file_id").alias("file_id"))
+    kept = files.select("file_id", "sha256", F.col("text").alias("content")).join(chosen, ["sha256", "file_id"], "left_semi")
+    return kept.withColumn("sha_prefix", F.substr("sha256", F.lit(1), F.lit(2)))
 
 
 def write_samples(files: DataFrame, findings: DataFrame, min_crit: int, path: str) -> None:

@@ -28,9 +28,7 @@ def stateless_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     row, so the stream keeps no state and may append.
     """
     values = files.select("file_id", "sha256", F.explode(T.tokens(F.col("text"))).alias("value"))
-    found = scan.combined_hits(values, rules.filter((F.col("ctype") == "string")), "value")
-    if found is None:
-        raise ValueError("the catalog is too large for a stateless stream; run it per batch")
+    found = scan.hits_of(values, rules.filter((F.col("ctype") == "string")), "value")
     gate = F.broadcast(rules.select("rule_id", "crit", "conf"))
     return found.select("file_id", "rule_id", "value").join(gate, "rule_id")
 
@@ -54,7 +52,7 @@ def scan_batch(files: DataFrame, rules: DataFrame, composites: DataFrame, conds:
         files.select("file_id", "file_type", "size_bytes"), atomic, atomic.withColumns({"line_no": none, "offset": none}), composites, conds
     )
     keep = ["file_id", "rule_id", "crit", "conf"]
-    return FD.merge_stages(atomic.select(keep), combined.select(keep)).drop("stage")
+    return FD.capped(FD.merge_stages(atomic.select(keep), combined.select(keep)).drop("stage"))
 
 
 def scan_stream(

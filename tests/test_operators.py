@@ -1,12 +1,14 @@
 """Operators on small tables, against values worked out by hand or by brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ruleloom import constants as K
 from ruleloom.functions import net, text as T
-from ruleloom.operators import composites, containers, decode, diff, extract, joins, matching, predicates, scan, windows
+from ruleloom.operators import composites, containers, decode, diff, extract, joins, matching, precision, predicates, scan, windows
 from ruleloom.session import local_table
 from ruleloom.sources import catalog, files
 
@@ -101,19 +103,61 @@ def test_regex_literals(spark):
     assert got == cases
 
 
-@pytest.mark.parametrize("direct,combined", [(64, 20_000), (0, 20_000), (0, 0)])
-def test_scan_paths_agree(spark, monkeypatch, direct, combined):
+@pytest.mark.parametrize("direct,combined,tests", [(64, 20_000, 200), (0, 20_000, 200), (0, 0, 1)])
+def test_scan_paths_agree(spark, monkeypatch, direct, combined, tests):
     monkeypatch.setattr(scan, "MAX_DIRECT_RULES", direct)
     monkeypatch.setattr(scan, "MAX_COMBINED_RULES", combined)
+    monkeypatch.setattr(matching, "TESTS_A_PASS", tests)
     none = [None] * 6
+    make = lambda name, ctype, how, pattern, folded, low=None, high=None: (name, 1, 1.0, ctype, how, pattern, folded, ["all"], None, None, low, high, None, None)
     rules = [
         ("exact", 1, 1.0, "string", "exact", "abc", False, ["all"], *none), ("folded", 1, 1.0, "string", "exact", "ABC", True, ["all"], *none),
         ("part", 1, 1.0, "string", "substr", "bc", False, ["all"], *none), ("regex", 1, 1.0, "string", "regex", "^ab+c$", False, ["all"], *none),
         ("word", 1, 1.0, "string", "word", "two", False, ["all"], *none), ("ip", 1, 1.0, "string", "external_ip", None, False, ["all"], *none),
+        make("inner", "string", "regex", "[a-z]+ two", False), make("part-folded", "string", "substr", "BC", True), make("headless", "string", "regex", "^[a-c]{3}$", False),
     ]
-    facts = local_table(spark, [(1, "abc"), (1, "ABC"), (1, "abbc"), (2, "one two"), (2, "twofold"), (3, "at 93.184.216.34"), (3, "10.0.0.8")], "file_id bigint, value string")
+    facts = local_table(spark, [(1, "abc"), (1, "ABC"), (1, "abbc"), (2, "one two"), (2, "twofold"), (3, "at 93.184.216.34"), (3, "10.0.0.8"), *[(4, "abc")] * 3], "file_id bigint, value string")
     got = {(r["file_id"], r["rule_id"], r["hits"]) for r in scan.string_hits(facts, local_table(spark, rules, scan.RULE_SCHEMA)).collect()}
-    assert got == {(1, "exact", 1), (1, "folded", 2), (1, "part", 2), (1, "regex", 2), (2, "word", 1), (3, "ip", 1)}
+    assert got == {(1, "exact", 1), (1, "folded", 2), (1, "part", 2), (1, "part-folded", 3), (1, "regex", 2), (1, "headless", 1), (2, "word", 1), (2, "inner", 1), (3, "ip", 1),
+                   *((4, r, 3) for r in ("exact", "folded", "part", "part-folded", "regex", "headless"))}
+    raw = [make("mail", "raw", "substr", "MAIL", True), make("mails", "raw", "substr", "mail", False, 2), make("few", "raw", "regex", "ma[a-z]+", False, None, 1), make("say", "raw", "word", "say", True)]
+    texts = local_table(spark, [(1, "Mail, mail and MAIL", "text", 19), (2, "say mail", "text", 8)], "file_id bigint, text string, file_type string, size_bytes bigint")
+    found = scan.atomic_findings(texts, facts, local_table(spark, raw, scan.RULE_SCHEMA))
+    assert {(r["file_id"], r["rule_id"], r["hits"]) for r in found.collect()} == {(1, "mail", 3), (1, "few", 1), (2, "mail", 1), (2, "few", 1), (2, "say", 1)}
+
+
+def test_many_regexes_without_a_head(spark):
+    rows = ["x1 yy q", "zz 22 abc5", "abc77", "none of them", "abc5", "abc5"]
+    rules = [(f"r{i}", f"[a-z]+{i}$") for i in range(700)] + [(f"s{i}", f"[a-z ]*{i} abc") for i in range(700)]
+    facts = local_table(spark, [(v,) for v in rows], "value string")
+    hits = matching.regex_hits(facts, local_table(spark, rules, "rule_id string, pattern string"), ["value"])
+    got = sorted((r["value"], r["rule_id"]) for r in hits.collect())
+    assert got == sorted((v, name) for v in rows for name, p in rules if re.search(p, v))
+
+
+def test_required_literals():
+    cases = {"[a-z]+token=": "token=", "abc*d": None, r"\d+\.example\.com": ".example.com", "(x|y)long": "long", "one|other": None, "(?i)word": None, "a[]b]word{2}": "wor", "x{2}abc": "abc", r"\Qab\E": None}
+    assert {r: matching.required_literal(r) for r in cases} == cases
+
+
+def test_addresses_end_at_their_bound(spark):
+    rows = ["see http://a.example/" + "x" * n + " end" for n in (900, 1500, 3000)]
+    got = [r["u"] for r in values(spark, rows).select(F.regexp_extract_all("value", F.lit(K.SCRIPT_URL_RE), F.lit(0)).alias("u")).collect()]
+    assert sorted(len(u[0]) for u in got) == [917, 1517, 2055]
+
+
+def test_precision_of_nested_rules_and_circles(spark):
+    rules = local_table(spark, [(f"c{i}", None, ["all"]) for i in range(6)] + [("x", None, ["all"]), ("y", None, ["all"])], "rule_id string, needs int, for_types array<string>")
+    conds = local_table(spark, [(f"c{i}", "all", f"c{i - 1}" if i else "atom") for i in range(6)] + [("c5", "all", "atom"), ("x", "all", "y"), ("y", "all", "x")], "rule_id string, clause string, ref_id string")
+    known = local_table(spark, [("atom", 2.5)], "rule_id string, precision double")
+    got = {r["rule_id"]: r["precision"] for r in precision.composite_precision(rules, conds, known).collect()}
+    assert got == {**{f"c{i}": 2.5 for i in range(5)}, "c5": 5.0, "x": 1.0, "y": 1.0}
+
+
+def test_samples_are_five_of_very_many(spark):
+    facts = spark.range(3000).select((F.col("id") % 2).alias("file_id"), F.format_string("v%05d", "id").alias("symbol"))
+    got = {r["file_id"]: (r["n"], r["sample"]) for r in predicates.counted_per_file(facts.select("file_id").distinct(), facts, "symbol").collect()}
+    assert got == {f: (1500, [f"v{2 * k + f:05d}" for k in range(5)]) for f in (0, 1)}
 
 
 def test_references(spark):
