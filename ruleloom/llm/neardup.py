@@ -2,7 +2,7 @@
 
 A signature is sorted in several orders, each beginning with other hash functions.
 Documents with a long common prefix in an order are candidates: first every document with
-its neighbour in the order, which ties groups of copies together by few comparisons, then
+its neighbours in the orders, which ties groups of copies together by few comparisons, then
 all documents that share a region (a prefix of the least depth) and are not yet in one
 component. The depth adapts to the region: neighbours in a dense region share a prefix far
 longer than the least one, and a region with many components is cut up further, by the
@@ -18,10 +18,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import map_slices, small, utf8
+from ruleloom.llm.common import fresh, map_slices, small, utf8
 from ruleloom.llm.components import components
 from ruleloom.llm.hashing import mixed, span_hashes, word_spans
 from ruleloom.session import cut_lineage
@@ -177,13 +177,21 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return cut_lineage(map_slices(both, partial(_confirm, percent=percent), "a binary, b binary", 2))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    left = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    placed = pairs.join(left, "a", "left").join(right, "b", "left")
+    return placed.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _mixed_regions(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of regions that more than one component has a part in, stored.
 
     `main` is the component with most members there, `parts` the number of components.
     """
-    known = members.select("region", "content").join(roots, F.col("content") == F.col("node"), "left")
-    placed = known.select("region", "content", F.coalesce("root", "content").alias("root"))
+    known = members.select("region", "content", "place").join(roots, F.col("content") == F.col("node"), "left")
+    placed = known.select("region", "content", "place", F.coalesce("root", "content").alias("root"))
     counts = placed.groupBy("region", "root").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("region").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     inside = placed.join(mixed.select("region", F.col("most.root").alias("main"), "parts"), "region")
@@ -191,14 +199,18 @@ def _mixed_regions(members: DataFrame, classes: DataFrame, roots: DataFrame) ->
 
 
 def _across(inside: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a region in different components, of sizes near enough.
+    """Pairs of a region in different components that can be similar enough.
+
+    If the region is the first thing that both share, and stands at some place in the order
+    of their shingles, they share no more than what comes behind it; that must reach
+    the part of both sizes that a link needs.
 
     The members of the main component are not paired among themselves, all others meet
     the whole region; a region within one component, as groups of copies are, is not here.
     """
-    rest = inside.where("root != main").select("region", F.col("content").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-    other = inside.select("region", F.col("content").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), (F.col("root") == F.col("main")).alias("is_main"))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("ra") != F.col("rb")) & (F.col("is_main") | (F.col("a") < F.col("b")))
+    rest = inside.where("root != main").select("region", F.col("content").alias("a"), F.col("root").alias("ra"), (F.col("n_shingles") - F.col("place")).alias("la"), F.col("n_shingles").alias("na"))
+    other = inside.select("region", F.col("content").alias("b"), F.col("root").alias("rb"), (F.col("n_shingles") - F.col("place")).alias("lb"), F.col("n_shingles").alias("nb"), (F.col("root") == F.col("main")).alias("is_main"))
+    near = ((F.least("la", "lb") + 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.col("ra") != F.col("rb")) & (F.col("is_main") | (F.col("a") < F.col("b")))
     return rest.join(other, "region").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -213,7 +225,7 @@ def _shingle_rows(_: object, contents: list, texts: list) -> dict:
 
 
 def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
-    """(region, content): as many of each set's rarest shingles as similar sets cannot all lack.
+    """(region, content, place): as many of each set's rarest shingles as similar sets cannot all lack.
 
     Two sets that share `percent` of their union share one of the least n - ceil(percent n
     / 100) + 1 shingles of each, in any one order of all shingles. With the rarest first, a
@@ -229,7 +241,7 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
         (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "region"))).alias("place"),
         (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("least"),
     )
-    return ranked.where("place <= least").select("region", "content")
+    return ranked.where("place <= least").select("region", "content", "place")
 
 
 def _unlike_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +251,7 @@ def _unlike_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, docs
     its members are not paired by the region but by their rarest shingles; that loses
     no pair.
     """
-    inside = _mixed_regions(members, classes, roots)
+    inside = _mixed_regions(members.withColumn("place", F.lit(1)), classes, roots)
     pairs = _across(inside.where(F.col("parts") <= DENSE), percent)
     crowd = cut_lineage(inside.where(F.col("parts") > DENSE).select("content").distinct())
     if crowd.isEmpty():
@@ -249,14 +261,14 @@ def _unlike_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, docs
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for every row of `df`.
+    """(doc_id, n_shingles, component_id, kept, text_hash): one row for every row of `df`.
 
     A document's set holds its distinct five-word shingles. Documents are linked if the
     intersection of their sets is at least `percent` of the union; component_id is the
     smallest id reachable over links. Texts without words (null, empty, blank) are linked
     with nothing and keep themselves. Rows with equal sets are one class from the start.
-    Rows without an id belong to their component and are never kept; a component of such
-    rows only has no id. Rows of one id and different texts are separate; those of one id
+    Rows without an id belong to their component; they are kept only if no row of it has
+    an id, and such a component has none either. Rows of one id and different texts are separate; those of one id
     and text are alike. Other columns are not read; an empty table stays empty.
 
     A pair of similarity 0.75 shares none of the 32 regions with a probability of 5e-6.
@@ -286,6 +298,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = ends.groupBy("content").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     links = _links(best, classes, docs, percent)
     roots = components(links, "a", "b")
+    # Then the other neighbours that are still apart, which makes one component of most groups.
+    beside = _links(_apart(met.select("a", "b"), roots), classes, docs, percent)
+    if not beside.isEmpty():
+        links = links.unionAll(beside)
+        roots = components(links, "a", "b")
     more = _links(_unlike_pairs(members, classes, roots, docs, percent), classes, docs, percent)
     if not more.isEmpty():
         roots = components(links.unionAll(more), "a", "b")
@@ -293,9 +310,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rooted = classes.select("content", "holder").join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "holder", F.coalesce("root", "content").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("holder").alias("component_id"))
     of_class = rooted.join(smallest, "root").select("content", "component_id")
-    found = signed.select("doc_id", "n_shingles", "content").join(of_class, "content", "left")
+    found = signed.select("doc_id", "text_hash", "n_shingles", "content").join(of_class, "content", "left")
     component = F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of `df` that are kept, with all their columns; of repeated rows one stays.
+
+    What goes is told by id and text, so texts are only moved where it is too much to be
+    broadcast.
+    """
+    found = cut_lineage(near_duplicates(df, id_col, text_col, percent).select("doc_id", "text_hash", "kept"))
+    ident, key = fresh(df, "ident"), fresh(df, "text_key")
+    names = [F.col("doc_id").alias(ident), F.col("text_hash").alias(key)]
+    gone = small(cut_lineage(found.where("not kept").select(*names).distinct()))
+    twice = cut_lineage(found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").select(*names))
+    keyed = df.withColumn(key, F.xxhash64(text_col))
+
+    def same(other: DataFrame) -> Column:
+        return F.col(id_col).cast("bigint").eqNullSafe(other[ident]) & (keyed[key] == other[key])
+
+    kept = keyed.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        repeats = kept.join(small(twice), same(twice), "left_semi").dropDuplicates([id_col, key])
+        kept = kept.join(small(twice), same(twice), "left_anti").unionAll(repeats)
+    return kept.drop(key)
 
 
 def _sign_with_hash(state: object, ids: list, texts: list, hashes: list) -> dict:
