@@ -67,12 +67,12 @@ def same_name_renames(removed: DataFrame, added: DataFrame) -> DataFrame:
 def _numbered(df: DataFrame, key: str, path: str) -> DataFrame:
     """Rank of each path within its key, from block counts so a hot key is not one task.
 
-    Blocks are the first characters of the path, in path order; ranks count the paths of
-    earlier blocks and then those within the block.
+    Blocks are ranges of key and path of about equal size, whatever the paths have in
+    common; ranks count the paths of earlier blocks and then those within the block.
     """
     from pyspark.sql import Window as W
 
-    blocked = df.withColumn("_block", F.substring(path, 1, 12))
+    blocked = cut_lineage(df.repartitionByRange(key, path).withColumn("_block", F.spark_partition_id()))
     totals = blocked.groupBy(key, "_block").agg(F.count("*").alias("_n"))
     before = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

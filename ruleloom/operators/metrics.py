@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import text as T
+from ruleloom.operators.matching import is_small
 from ruleloom.operators.extract import comment_array
 
 # White space in the Unicode sense, and the part of it that is unusual in text.
@@ -144,27 +145,31 @@ STRING_CLASSES = {
 def string_metrics(strings: DataFrame) -> DataFrame:
     """Metrics of string rows (file_id, value) per file.
 
-    The strings of a file leave one scan task together, so the partial aggregation
-    sends about one row per file over the network.
+    Equal strings of a file are counted first, so each is measured and tested once.
     """
-    value = F.col("value")
+    value, n = F.col("value"), F.col("_n")
     size = F.octet_length(value)
     filled = value != ""
-    measured = strings.select("file_id", "value", F.when(filled, T.char_entropy(value)).alias("_entropy"))
-    e = F.col("_entropy")
+    counted = strings.groupBy("file_id", "value").agg(F.count("*").alias("_n"))
+    tests = [F.when(filled & test(value), n).otherwise(F.lit(0)).alias(name) for name, test in STRING_CLASSES.items()]
+    measured = counted.select("file_id", "value", "_n", F.when(filled, T.char_entropy(value)).alias("_entropy"), *tests)
+    e, filled_n = F.col("_entropy"), F.sum(F.when(filled, n))
+    of = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    mean = F.sum(e * n) / filled_n
+    spread = F.sqrt(F.greatest(F.sum(e * e * n) / filled_n - mean * mean, F.lit(0.0)))
     columns = {
-        "total": F.count("*"),
-        "total_bytes": F.sum(size),
-        "avg_length": F.avg(size),
+        "total": F.sum(n),
+        "total_bytes": F.sum(size * n),
+        "avg_length": F.sum(size * n) / F.sum(F.when(value.isNotNull(), n)),
         "max_length": F.max(size).cast("bigint"),
-        "empty_count": F.count_if(~filled),
-        "avg_entropy": F.coalesce(F.avg(e), F.lit(0.0)),
-        "entropy_stddev": F.coalesce(F.stddev_pop(e), F.lit(0.0)),
-        "high_entropy_count": F.count_if(e > 5.0),
-        "very_high_entropy_count": F.count_if(e > 6.5),
-        "very_long_strings": F.count_if(size > 1000),
+        "empty_count": of(~filled),
+        "avg_entropy": F.coalesce(mean, F.lit(0.0)),
+        "entropy_stddev": F.coalesce(spread, F.lit(0.0)),
+        "high_entropy_count": of(e > 5.0),
+        "very_high_entropy_count": of(e > 6.5),
+        "very_long_strings": of(size > 1000),
     }
-    columns.update({name: F.count_if(filled & test(value)) for name, test in STRING_CLASSES.items()})
+    columns.update({name: F.sum(name) for name in STRING_CLASSES})
     return measured.groupBy("file_id").agg(*[c.alias(name) for name, c in columns.items()])
 
 
@@ -272,6 +277,9 @@ def comment_metrics(files: DataFrame, style: str) -> DataFrame:
 def function_metrics(functions: DataFrame, total_lines: DataFrame) -> DataFrame:
     """Metrics of function rows, with densities from total_lines(file_id, total_lines)."""
     lines, name, params = F.col("line_count"), F.col("name"), F.col("param_names")
+    # Names repeat, so the entropy of each is taken once.
+    odd = functions.select("name").filter(name.isNotNull()).distinct().filter(T.char_entropy(name) > 3.5).withColumn("_odd", F.lit(1))
+    functions = functions.join(F.broadcast(odd) if is_small(odd) else odd, "name", "left")
     named = F.when(name != "", F.octet_length(name))
     flag = lambda c: F.count_if(c)
     agg = functions.groupBy("file_id").agg(
@@ -298,7 +306,7 @@ def function_metrics(functions: DataFrame, total_lines: DataFrame) -> DataFrame:
         F.sum(T.count_where(params, lambda p: F.octet_length(p) == 1)).alias("single_char_params"),
         F.coalesce(F.avg(named), F.lit(0.0)).alias("avg_name_length"),
         flag(F.octet_length(name) == 1).alias("single_char_names"),
-        flag(T.char_entropy(name) > 3.5).alias("high_entropy_names"),
+        F.count("_odd").alias("high_entropy_names"),
         flag(name.rlike("[A-Za-z].*[0-9]$")).alias("numeric_suffix_names"),
         F.max("nesting_depth").cast("bigint").alias("max_nesting_depth"),
         F.avg("nesting_depth").alias("avg_nesting_depth"),

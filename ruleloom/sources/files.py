@@ -10,13 +10,10 @@ from ruleloom.functions import text as T
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under a folder, names starting `.git` skipped; content is read only if used."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .filter(~F.col("path").rlike(r"/\.git"))
-    )
+    """Every file under a folder, names below it starting `.git` skipped; content is read only if used."""
+    top = root.split("://")[-1].rstrip("/")
+    below = F.substr("path", F.locate(top, F.col("path")) + len(top))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(~below.rlike(r"/\.git"))
     return found.select(
         "path",
         F.substring_index("path", "/", -1).alias("basename"),
