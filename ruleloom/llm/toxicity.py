@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ruleloom.llm.common import fresh, slices
 from ruleloom.llm.hashing import span_hashes
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 MIN_DOCUMENTS = 4
 MARKER_SHARE = 0.9
 # Markers from which a toxic document has the second, third ... grade.
@@ -178,13 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(_features, "toxic int, words binary").toArrow()
-    table = [np.frombuffer(b, np.int64) for b in rows.column("words").to_pylist()]
-    toxic = np.array(rows.column("toxic").to_pylist(), bool)
-    # The order in which tasks hand rows in must not change the sums.
-    # Copies count once, or the words of a copied text would all look like evidence.
-    distinct = {(bool(toxic[i]), table[i].tobytes()): i for i in range(len(table))}
-    order = [distinct[key] for key in sorted(distinct)]
-    table, toxic = [table[i] for i in order], toxic[order] if len(order) else toxic
+    # Sorted, as the order in which tasks hand rows in must not change the sums. Copies
+    # count once, or the words of a copied text would all look like evidence.
+    distinct = sorted(set(zip(rows.column("toxic").to_pylist(), rows.column("words").to_pylist())))
+    del rows
+    table, toxic = [np.frombuffer(b, np.int64) for _, b in distinct], np.array([t for t, _ in distinct], bool)
     return fit_ordinal(table, grades_of(table, toxic) if len(table) else np.zeros(0, np.int64))
 
 
