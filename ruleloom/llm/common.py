@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
 BROADCAST_ROWS = 400_000
 
 
@@ -18,13 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
+def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[tuple[list, ...]]:
     """The columns of a batch as lists, a few rows at a time.
 
     `text` is the column that holds the long values; a slice ends once it has `limit`
-    characters, so that memory does not follow the number of rows in an Arrow batch.
+    bytes, so that memory does not follow the number of rows in an Arrow batch.
     """
-    sizes = [len(v) if v is not None else 0 for v in batch.column(text).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes, 1):
         held += size

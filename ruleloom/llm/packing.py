@@ -35,9 +35,9 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_PIECES = 400_000
 LATIN_END = "\u0130"  # letters below are composed, and have a lower case of one letter
-MARKS, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
-MARKS[list(b",.")] = True
+ALNUM, SIGNS = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+SIGNS[ord("!") : 0x7F] = ~ALNUM[ord("!") : 0x7F]
 ROUNDS = 6
 EAGERNESS = 1.0
 SPREAD = 1e-3
@@ -59,8 +59,8 @@ class WordTokenizer:
 
     The vocabulary's own rules drop white space and never join what it separates, so a
     text's ids are those of its words one after another. Words are cut at ASCII white
-    space, for a whole slice of texts at once, and only distinct ones are looked up; a
-    comma or full stop behind a word is a word of its own. Latin words are merged here, all new ones
+    space, for a whole slice of texts at once, and only distinct ones are looked up; the
+    signs behind a word are a word of their own. Latin words are merged here, all new ones
     together; any other word goes to the library. The cache has two generations, which
     bounds its memory.
     """
@@ -97,12 +97,15 @@ class WordTokenizer:
         starts, ends = word_spans(whole)
         if not len(starts):
             return [b""] * len(texts)
-        before = np.maximum(ends - 2, 0)
-        mark = (ends - starts > 1) & MARKS[whole[ends - 1]] & ALNUM[whole[before]]
+        # The signs behind a letter or digit at the end of a word are a piece of their own.
+        last_kept = np.maximum.accumulate(np.where(SIGNS[whole], 0, np.arange(len(whole))))
+        core = last_kept[ends - 1] + 1
+        mark = (core > starts) & (core < ends) & ALNUM[whole[core - 1]]
+        core = np.where(mark, core, ends)
         place = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(mark)[:-1]))
         first, last = np.empty((2, len(starts) + int(mark.sum())), np.int64)
-        first[place], last[place] = starts, ends - mark
-        first[place[mark] + 1], last[place[mark] + 1] = ends[mark] - 1, ends[mark]
+        first[place], last[place] = starts, core
+        first[place[mark] + 1], last[place[mark] + 1] = core[mark], ends[mark]
         _, examples, which = np.unique(span_hashes(whole, first, last), return_index=True, return_inverse=True)
         words = [joined[a:b].lower() for a, b in zip(first[examples].tolist(), last[examples].tolist())]
         codes = list(map(self.young.get, words))
