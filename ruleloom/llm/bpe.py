@@ -290,12 +290,6 @@ class Tokenizer:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(1)
-def tokenizer(path: str) -> Tokenizer:
-    """One for each Python worker, so that its cache outlives a task."""
-    return Tokenizer(path)
-
-
 def _encode(tok: Tokenizer, ids: list, texts: list) -> dict:
     codes, offsets = tok.encode(["" if t is None else t for t in texts])
     return {"doc_id": ids, "ids": codes, "offsets": [o.astype("<u4").tobytes() for o in offsets]}
@@ -317,18 +311,18 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ids. Every row, repeated or not, gives a row; other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_slices(rows, _encode, "doc_id long, ids binary, offsets binary", 1, partial(tokenizer, path or default_path()))
+    return map_slices(rows, _encode, "doc_id long, ids binary, offsets binary", 1, partial(Tokenizer, path or default_path()))
 
 
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, decoded): the bytes that ids stand for; null ids give null."""
-    return map_slices(df.select("doc_id", "ids"), _decode, "doc_id long, decoded binary", 1, partial(tokenizer, path or default_path()))
+    return map_slices(df.select("doc_id", "ids"), _decode, "doc_id long, decoded binary", 1, partial(Tokenizer, path or default_path()))
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): encode and decode in one pass over the texts."""
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_slices(rows, _round_trip, "doc_id long, ids binary, decoded binary", 1, partial(tokenizer, path or default_path()))
+    return map_slices(rows, _round_trip, "doc_id long, ids binary, decoded binary", 1, partial(Tokenizer, path or default_path()))
 
 
 def default_path() -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,16 +36,37 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterat
             start, held = i, 0
 
 
-def map_slices(df: DataFrame, work: Callable[..., dict], schema: str, text: int, start: Callable[[], object] | None = None) -> DataFrame:
+class _Held:
+    """What the running operator keeps in a Python worker from task to task."""
+
+    key: object = None
+    state: object = None
+
+
+def kept_state(start: Callable[[], object] | None) -> object:
+    """The state that `start` builds, kept in the worker until another operator runs there.
+
+    Workers outlive tasks and stages. A tokenizer's cache is worth keeping for the next
+    task of its stage, and must not lie beside what a later stage needs.
+    """
+    key = None if start is None else (start.func, start.args)
+    if key != _Held.key:
+        _Held.key = _Held.state = None
+        if start is not None:
+            _Held.key, _Held.state = key, start()
+    return _Held.state
+
+
+def map_slices(df: DataFrame, work: Callable[..., dict], schema: str, text: int, start: partial | None = None) -> DataFrame:
     """Run `work(state, *columns)` over slices of rows; it returns the output columns as lists.
 
-    `start` runs once in each task and builds the state, so that what a task needs
-    beside its rows (vocabularies, caches) is built where it is used.
+    `start` builds the state, so that what a task needs beside its rows (vocabularies,
+    caches) is built where it is used.
     """
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = start() if start else None
+        state = kept_state(start)
         for batch in batches:
             for columns in slices(batch, text):
                 out = work(state, *columns)

@@ -18,7 +18,7 @@ import json
 import zlib
 from array import array
 from collections import Counter
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +33,7 @@ from ruleloom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 LATIN_END = "\u0130"  # letters below are composed, and have a lower case of one letter
 ALNUM, SIGNS = np.zeros(256, bool), np.zeros(256, bool)
 ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
@@ -124,12 +124,6 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
-@lru_cache(1)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that its cache outlives a task."""
-    return WordTokenizer(path)
-
-
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -158,7 +152,7 @@ def cut_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     work = partial(_cut, capacity=capacity, end_id=end_id, keep_ids=keep_ids)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    return map_slices(rows, work, schema, 1, partial(word_tokenizer, path or default_path()))
+    return map_slices(rows, work, schema, 1, partial(WordTokenizer, path or default_path()))
 
 
 def _price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:

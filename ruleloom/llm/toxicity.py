@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleloom.llm.common import fresh, slices
+from ruleloom.llm.common import fresh, kept_state, slices
 from ruleloom.llm.hashing import span_hashes
 
 SAMPLE_ROWS = 10_000
@@ -161,6 +161,7 @@ def grades_of(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept_state(None)
     for batch in batches:
         for toxic, texts in slices(batch, 1):
             hashes, owner = words(texts)
