@@ -71,6 +71,7 @@ def map_slices(df: DataFrame, work: Callable[..., dict], schema: str, text: int,
             for columns in slices(batch, text):
                 out = work(state, *columns)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker goes on living
 
     return df.mapInArrow(run, schema)
 
