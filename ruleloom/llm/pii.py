@@ -5,7 +5,8 @@ disclose an entity: the share of the entity's information that a word carries is
 pointwise mutual information with the entity over the entity's information content, both
 from counts over all documents. Words above one threshold are replaced by what they are
 in general, those above a higher one are removed. A word is judged only where it stands
-near the entity, so texts without personal data stay as they are.
+near the entity, or with WHOLE anywhere in a document that holds the entity and from one
+such document on; texts without personal data stay as they are.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ WINDOW = 10
 MIN_SUPPORT = 3
 GENERALISE, REMOVE = 0.5, 0.8
 HELD_TERMS = 300_000
+# Every word of a document with an entity, judged from the first document on.
+WHOLE = {"window": None, "min_support": 1}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The patterns of the four kinds, in forms that do not look at a sign twice: no match may
@@ -97,8 +100,8 @@ def entity(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode()) - (1 << 63)
 
 
-def nearby(text: str, spans: list[Span], window: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the words around each span, outside of all spans."""
+def free_words(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """(start, end) of the words outside of all spans."""
     words = [m.span() for m in _WORD.finditer(text)]
     covered = sorted((a, b) for _, a, b in spans)
     merged: list[list[int]] = []
@@ -113,7 +116,12 @@ def nearby(text: str, spans: list[Span], window: int) -> list[tuple[int, str, in
         i = bisect_left(lows, b) - 1
         return i < 0 or merged[i][1] <= a
 
-    words = [w for w in words if free(*w)]
+    return [w for w in words if free(*w)]
+
+
+def nearby(text: str, spans: list[Span], window: int) -> list[tuple[int, str, int, int]]:
+    """(entity, term, start, end) of the words around each span, outside of all spans."""
+    words = free_words(text, spans)
     starts = [a for a, _ in words]
     out = set()
     for kind, a, b in spans:
@@ -122,10 +130,10 @@ def nearby(text: str, spans: list[Span], window: int) -> list[tuple[int, str, in
     return sorted(out)
 
 
-FACTS = "row long, doc_id long, text_hash long, base array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,term:string,start:long,end:long>>, term string, documents long"
+FACTS = "row long, doc_id long, text_hash long, base array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,term:string,start:long,end:long>>, entities array<long>, term string, documents long"
 
 
-def _facts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window: int, held: int) -> Iterator[pa.RecordBatch]:
+def _facts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window: int | None, held: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows with the documents that each term occurs in."""
     number, counts = TaskContext.get().partitionId() << 33, Counter()
 
@@ -140,10 +148,13 @@ def _facts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window: int, he
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, text_hash, text in zip(ids, hashes, texts):
                 spans = base_spans(text)
-                row = (number, doc_id, text_hash, [dict(zip(("kind", "start", "end"), s)) for s in spans], None, None, None)
+                row = (number, doc_id, text_hash, [dict(zip(("kind", "start", "end"), s)) for s in spans], None, None, None, None)
                 for values, value in zip(out.values(), row):
                     values.append(value)
-                if spans:
+                if spans and window is None:
+                    out["near"][-1] = [{"entity": None, "term": text[a:b].lower(), "start": a, "end": b} for a, b in free_words(text, spans)]
+                    out["entities"][-1] = sorted({entity(k, text[a:b]) for k, a, b in spans})
+                elif spans:
                     out["near"][-1] = [dict(zip(("entity", "term", "start", "end"), w)) for w in nearby(text, spans, window)]
                 if text:
                     counts.update(set(_WORD.findall(text.lower())))
@@ -154,9 +165,12 @@ def _facts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window: int, he
     yield flushed()
 
 
-def facts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def facts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW) -> DataFrame:
     """One pass over the texts, stored: spans and the words near them, and term counts.
 
+    Without a window `near` has all words of a document with spans once, and `entities`
+    what they stand beside.
+
     A row with a null `term` is a document, any other one the number of documents of one
     task's texts that hold the term. Each task adds its counts up, so a word that is in
     every text is one row a task.
@@ -166,22 +180,43 @@ def facts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     return cut_lineage(rows.mapInArrow(partial(_facts, schema=schema, window=window, held=HELD_TERMS), FACTS))
 
 
-def disclosing(found: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def meetings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, entity) of the documents that hold an entity, and (row, entity, term, start, end).
+
+    Counted over whole documents, entities of the same documents have the same counts with
+    every term and are one entity here: a list of addresses does not multiply its words.
+    """
+    docs = found.where("term is null and near is not null")
+    words = docs.select("row", F.explode("near").alias("w")).select("row", "w.*")
+    holders = docs.where("entities is not null").select("row", F.explode("entities").alias("entity"))
+    if holders.isEmpty():
+        return words.select("row", "entity").distinct(), words
+    marks = [F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(f"mark{seed}") for seed in (0, 1)]
+    alike = holders.groupBy("entity").agg(*marks, F.count("*").alias("n"))
+    alike = small(cut_lineage(alike.select("entity", F.xxhash64("mark0", "mark1", "n").alias("alike"))))
+    holders = cut_lineage(holders.join(alike, "entity").select("row", F.col("alike").alias("entity")).distinct())
+    return holders, words.drop("entity").join(small(holders), "row").select("row", "entity", "term", "start", "end")
+
+
+def disclosing(found: DataFrame, met: tuple[DataFrame, DataFrame], min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, share, action): the terms that give an entity away.
 
     With N documents, d(e) and d(t) that hold entity and term, and d(e, t) where the term
-    is near the entity, share = log(N d(e,t) / (d(e) d(t))) / log(N / d(e)), 1 at most.
+    is near the entity (or anywhere beside it, see `meetings`), share = log(N d(e,t) / (d(e) d(t))) / log(N / d(e)), 1 at most.
     Terms near the entity in fewer than `min_support` documents are left alone: there is
     no evidence. An entity in every document has nothing to disclose.
     """
     docs = found.where("term is null")
     total = docs.agg(F.count("*").cast("double")).first()[0]
-    near = docs.where("near is not null").select("row", F.explode("near").alias("w")).select("row", "w.entity", "w.term")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= min_support)
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    holders, near = met
+    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= min_support)
+    entities = holders.groupBy("entity").agg(F.count("*").alias("with_entity"))
     terms = found.where("term is not null").groupBy("term").agg(F.sum("documents").alias("with_term"))
     known = cut_lineage(pairs.join(entities, "entity"))
-    joined = terms.join(small(known), "term")
+    few = small(known)
+    # Beyond a broadcast a word that stands beside many entities is a skewed key, which Spark
+    # splits only between tables that lie ready.
+    joined = (terms if few is not known else cut_lineage(terms)).join(few, "term")
     most = F.greatest("with_term", "together")
     share = F.log(F.lit(total) * F.col("together") / (F.col("with_entity") * most)) / F.log(F.lit(total) / F.col("with_entity"))
     judged = joined.where(F.col("with_entity") < total).select("entity", "term", share.alias("share"))
@@ -189,24 +224,23 @@ def disclosing(found: DataFrame, min_support: int = MIN_SUPPORT, generalise: flo
     return judged.where(F.col("share") >= generalise).withColumn("action", action)
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
+def term_spans(near: DataFrame, terms: DataFrame) -> DataFrame:
     """(row, more): for each document the spans of terms near the entities they disclose."""
-    docs = found.where("term is null and near is not null")
-    near = docs.select("row", F.explode("near").alias("w")).select("row", "w.*")
     hits = near.join(terms.select("entity", "term", "action"), ["entity", "term"])
     # A word near two entities counts once, and is removed if it discloses either so far.
     each = hits.groupBy("row", "start", "end").agg(F.max("action").alias("kind"))
     return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
 
 
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW, **limits) -> DataFrame:
     """(doc_id, text_hash, base, more): all spans of each row; `more` is null without any.
 
     Null and empty texts have no spans. Every row is judged by itself, repeated ones
     alike; other columns are not read; an empty table stays empty.
     """
-    found = facts(df, id_col, text_col)
-    more = term_spans(found, disclosing(found, **limits))
+    found = facts(df, id_col, text_col, window)
+    met = meetings(found)
+    more = term_spans(met[1], disclosing(found, met, **limits))
     docs = found.where("term is null").select("row", "doc_id", "text_hash", "base")
     return docs.join(more, "row", "left").drop("row")
 

@@ -49,6 +49,12 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
 
 
+@query("op5_whole_documents")
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_personal_data, with terms judged over whole documents and from one on."""
+    return pii.digest(pii.find_personal_data(documents(spark, sf_dir), **pii.WHOLE))
+
+
 @query("op6_lsh_forest")
 def lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from ruleloom.llm import pii
+from ruleloom.llm.common import small
 from ruleloom.llm.registry import RUN
 import ruleloom.llm.queries  # noqa: F401
 
@@ -125,3 +126,39 @@ def test_awkward_and_empty(spark, docs, folder):
 def test_overlapping_spans():
     assert pii.sanitised("call +1 45.114.23.72 now Bob 7", [("general", 25, 28), ("general", 29, 30)]).startswith("call [PHONE]")
     assert pii.sanitised("x Bob 7", [("general", 2, 5), ("remove", 6, 7)]) == "x [NAME] "
+
+
+def brute_whole(rows):
+    base = [plain(t) for _, t in rows]
+    found, n, out = [], len(rows), []
+    for (_, text), spans in zip(rows, base):
+        names = {(k, re.sub("[^0-9]", "", text[a:b]) if k in ("card", "phone") else text[a:b].lower()) for k, a, b in spans}
+        words = [m.span() for m in re.finditer(r"\w+", text or "") if not any(m.start() < b and a < m.end() for _, a, b in spans)]
+        found.append((names, words))
+    with_term = Counter(t for _, text in rows for t in set(re.findall(r"\w+", (text or "").lower())))
+    with_entity = Counter(e for names, _ in found for e in names)
+    together = Counter((e, t) for (_, text), (names, words) in zip(rows, found) for t in {text[a:b].lower() for a, b in words} for e in names)
+    for (doc_id, text), spans, (names, words) in zip(rows, base, found):
+        more = []
+        for a, b in words:
+            t = text[a:b].lower()
+            shares = [math.log(n * together[e, t] / (with_entity[e] * max(with_term[t], together[e, t]))) / math.log(n / with_entity[e]) for e in names]
+            if max(shares, default=0) >= 0.5:
+                more.append(("remove" if max(shares) >= 0.8 else "general", a, b))
+        out.append((doc_id, pii.spans_text([*spans, *sorted(more)])))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_whole_documents_match_brute_force(spark, folder, monkeypatch, most):
+    monkeypatch.setattr(pii, "small", lambda df: df if most == 0 else small(df))
+    far = "alone.person@one.example.org " + "common " * 40 + "Quartermaine " + "common " * 40 + "10.9.8.7 10.9.8.6"
+    rows = [*documents(), (700, far), (701, "nobody common here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.spans) for r in RUN["op5_whole_documents"](spark, folder(documents=df)).collect()), key=str)
+    assert got == brute_whole(rows)
+    # One document, over ten words away: the windowed query with its least evidence has nothing.
+    at = far.index("Quartermaine")
+    assert f"remove:{at}:{at + 12}" in dict(got)[700] and ":" not in dict(got)[701]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, **pii.WHOLE).collect()}
+    assert "Quartermaine" not in clean[700] and clean[701] == "nobody common here"
