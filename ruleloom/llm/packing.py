@@ -8,8 +8,8 @@ The compositions solve a configuration linear program: cover every length as oft
 occurs, with as few sequences as possible. Multiplicative weights give lengths that lag
 behind a larger price, a knapsack by dynamic programming finds for every length the most
 valuable sequence that holds it, and the fractional solution is rounded down. What is
-left over is solved again; the last part, which no composition fills any more or which is
-small, is packed by best fit.
+left over is solved again; the last part is packed by best fit, a composition at a time,
+from the point of the rounding that needs the fewest sequences.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import json
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -214,59 +215,84 @@ def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds:
 
 
 def _best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """The rest, longest first, each into the fullest sequence with room for it."""
-    rooms: dict[int, list[dict[int, int]]] = {}
+    """The rest, longest first, each into the fullest sequence with room for it.
+
+    Sequences of one composition are one entry with their number. A length fills one after
+    another, as a sequence that has taken an item is then the fullest; so it leaves three
+    new entries at most, and their number follows that of the lengths.
+    """
+    rooms: dict[int, list[tuple[dict[int, int], int]]] = {}
     open_rooms = np.zeros(capacity + 1, bool)
+
+    def put(room: int, items: dict[int, int], n: int) -> None:
+        if n:
+            rooms.setdefault(room, []).append((items, n))
+            open_rooms[room] = room > 0
+
     for length, count in sorted(zip(lengths, counts), reverse=True):
         while count:
             at = length + int(open_rooms[length:].argmax())
             if not open_rooms[at]:
-                at, bin_ = capacity, {}
+                at, items, n = capacity, {}, count
             else:
-                bin_ = rooms[at].pop()
+                items, n = rooms[at].pop()
                 open_rooms[at] = bool(rooms[at])
-            n = min(count, at // length) if at == capacity or at < 2 * length else 1
-            bin_[length] = bin_.get(length, 0) + n
-            count -= n
-            left = at - n * length
-            rooms.setdefault(left, []).append(bin_)
-            open_rooms[left] = left > 0
-    return [(b, 1) for bins in rooms.values() for b in bins]
-
-
-def _rounded(histogram: dict[int, int], capacity: int, rounds: int, last_share: float) -> list[tuple[dict[int, int], int]]:
-    """Solve and round down until `last_share` of all tokens is left, which best fit takes."""
+            each = at // length
+            full = min(n, count // each)
+            put(at - each * length, items | {length: each}, full)
+            count -= full * each
+            n -= full
+            if n and count:  # fewer are left than the next one has room for
+                put(at - count * length, items | {length: count}, 1)
+                n, count = n - 1, 0
+            if items:
+                put(at, items, n)
+    return [entry for entries in rooms.values() for entry in entries]
+
+
+def _rounded(histogram: dict[int, int], capacity: int, rounds: int) -> Iterator[tuple[list[tuple[dict[int, int], int]], dict[int, int]]]:
+    """Solve and round down; (sequences made, items left) as each of LAST_SHARES is reached.
+
+    The last one has the program cover all it can: it ends with no more items than the
+    histogram has lengths, or where it makes no progress.
+    """
     left = {length: n for length, n in histogram.items() if n}
     made: list[tuple[dict[int, int], int]] = []
-    total = sum(length * n for length, n in left.items())
-    while sum(length * n for length, n in left.items()) > last_share * total:
+    total, shares = sum(length * n for length, n in left.items()), sorted(LAST_SHARES)
+    while left and (sum(length * n for length, n in left.items()) > LAST_SHARES[0] * total or sum(left.values()) > len(histogram)):
         lengths = np.array(sorted(left), np.int64)
         counts = np.array([left[x] for x in lengths.tolist()], np.int64)
         weight, rest = int(lengths @ counts), counts.copy()
         uses = _fractional(lengths, counts, capacity, rounds)
         for up in (0, 1):  # round down, then up where the items are left; the longest first
             for filling, use in sorted(uses.items(), key=lambda u: (-u[0][-1][0], -u[1], u[0])):
-                if lengths @ rest <= last_share * total:
-                    break
                 n = min(1 if up else int(use + 1e-6), *(int(rest[j]) // a for j, a in filling))
                 if n > 0:
                     made.append(({int(lengths[j]): a for j, a in filling}, n))
                     for j, a in filling:
                         rest[j] -= n * a
+                    while shares and lengths @ rest <= shares[-1] * total:
+                        shares.pop()
+                        yield made[:], {int(x): int(n) for x, n in zip(lengths, rest) if n}
         left = {int(x): int(n) for x, n in zip(lengths, rest) if n}
         if weight - int(lengths @ rest) < LEAST_PROGRESS * weight:
             break
-    return made + _best_fit(list(left), list(left.values()), capacity)
+    yield made, left
 
 
 def compositions(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Sequences to make: (how many items of each length, how many such sequences).
 
-    Together they hold every item of the histogram exactly once. The rounding stops at
-    different points, and the one that needs the fewest sequences is taken.
+    Together they hold every item of the histogram exactly once. Best fit takes what the
+    program leaves at different points of one run of it, and the point that needs the fewest
+    sequences is taken, the latest of equal ones. One candidate is held besides the best.
     """
-    found = [_rounded(histogram, capacity, rounds, share) for share in LAST_SHARES]
-    return min(found, key=lambda made: sum(n for _, n in made))
+    best: list[tuple[dict[int, int], int]] | None = None
+    for made, left in _rounded(histogram, capacity, rounds):
+        found = made + _best_fit(list(left), list(left.values()), capacity)
+        if best is None or sum(n for _, n in found) <= sum(n for _, n in best):
+            best = found
+    return best
 
 
 def seats(made: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

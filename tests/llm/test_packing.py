@@ -85,3 +85,30 @@ def test_hot_length_and_short_sequences(spark, tok):
     rows = packing.pack_documents(df, capacity=32).collect()
     total = sum(r.length for r in rows)
     assert _check(rows, texts, tok, 32) <= total / 32 * 1.05 + 1
+
+
+def test_best_fit_repeats_compositions():
+    rng = random.Random(5)
+    for _ in range(200):
+        capacity = rng.randrange(5, 60)
+        counts = {rng.randrange(1, capacity + 1): rng.randrange(1, 40) for _ in range(rng.randrange(1, 9))}
+        rooms = []
+        for length in sorted(counts, reverse=True):
+            for _ in range(counts[length]):
+                room = min((r for r in rooms if r >= length), default=None)
+                if room is not None:
+                    rooms.remove(room)
+                rooms.append((capacity if room is None else room) - length)
+        made = packing._best_fit(list(counts), list(counts.values()), capacity)
+        assert sorted(capacity - sum(x * a for x, a in items.items()) for items, n in made for _ in range(n)) == sorted(rooms)
+        assert len(made) <= 3 * len(counts)
+        assert sum((Counter({x: a * n for x, a in items.items()}) for items, n in made), Counter()) == Counter(counts)
+
+
+def test_entries_follow_the_lengths_and_not_the_items():
+    histogram = {x: 20_000 + x for x in range(100, 1500, 7)}
+    made = packing.compositions(histogram)
+    assert len(made) < 40 * len(histogram)
+    assert sum((Counter({x: a * n for x, a in items.items()}) for items, n in made), Counter()) == Counter(histogram)
+    made, left = list(packing._rounded(histogram, 4096, packing.ROUNDS))[-1]
+    assert sum(left.values()) <= len(histogram) or sum(x * n for x, n in left.items()) < 0.02 * sum(x * n for x, n in histogram.items())
