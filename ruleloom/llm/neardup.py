@@ -160,8 +160,9 @@ def _confirm(_: object, a: list, b: list, ta: list, tb: list, percent: int) -> d
 
 def _texts(contents: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(content, text) of some classes, stored; each is read from the document that holds it."""
-    holders = classes.join(contents, "content", "left_semi").select("content", F.col("holder").alias("doc_id"), "text_hash")
-    return cut_lineage(docs.join(small(cut_lineage(holders)), ["doc_id", "text_hash"]).dropDuplicates(["content"]).select("content", "text"))
+    holders = classes.join(contents, "content", "left_semi").select("content", "holder", F.col("text_hash").alias("held_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("text_hash") == F.col("held_hash"))  # some have no id
+    return cut_lineage(docs.join(small(cut_lineage(holders)), same).dropDuplicates(["content"]).select("content", "text"))
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:

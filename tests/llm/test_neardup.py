@@ -130,3 +130,12 @@ def test_components_of_a_long_chain(spark):
     got = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
     want = {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000, **{2000 + i: 2000 for i in range(200)}}
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_near_copies_without_id_are_linked(spark, folder):
+    words = [f"word{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "end"])), (9, " ".join(["begin", *words])), (11, "some other text of a few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = RUN["op6_lsh_forest"](spark, folder(documents=df)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert sum(r.component_id == 9 for r in got) == 3
