@@ -92,13 +92,18 @@ class Router:
     def part(self, vectors: np.ndarray) -> np.ndarray:
         return self.own.probabilities(vectors).argmax(axis=1)
 
-    def routes(self, vectors: np.ndarray, mass: float) -> list[np.ndarray]:
-        """For each query the most probable parts, until they hold `mass`."""
+    def routes(self, vectors: np.ndarray, mass: float, rows: dict[int, int] | None = None, least: int = 0) -> list[np.ndarray]:
+        """For each query the most probable parts, until they hold `mass` and `least` of the
+        rows, and its own part, where copies of it lie. `rows` has the number in each part."""
         p = self.near.probabilities(vectors)
         order = np.argsort(-p, axis=1, kind="stable")
         held = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
         counts = np.minimum((held < mass).sum(axis=1) + 1, p.shape[1])
-        return [o[:c] for o, c in zip(order, counts)]
+        if rows is not None:
+            in_part = np.array([rows.get(i, 0) for i in range(p.shape[1])], np.int64)
+            enough = (np.cumsum(in_part[order], axis=1) < least).sum(axis=1) + 1
+            counts = np.maximum(counts, np.minimum(enough, p.shape[1]))
+        return [o[:c] if k in o[:c] else np.append(o[:c], k) for o, c, k in zip(order, counts, self.part(vectors))]
 
 
 def train(x: np.ndarray, goal: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -154,12 +159,12 @@ def _placed(batches: Iterator[pa.RecordBatch], router: Router) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *batch.columns], names=["part", *batch.schema.names])
 
 
-def _routed(batches: Iterator[pa.RecordBatch], router: Router, mass: float) -> Iterator[pa.RecordBatch]:
+def _routed(batches: Iterator[pa.RecordBatch], router: Router, mass: float, rows: dict[int, int], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            routes = router.routes(_matrix(batch.column("vector")), mass)
-            rows = pa.array(np.repeat(np.arange(len(routes)), [len(r) for r in routes]))
-            taken = batch.take(rows)
+            routes = router.routes(_matrix(batch.column("vector")), mass, rows, least)
+            copies = pa.array(np.repeat(np.arange(len(routes)), [len(r) for r in routes]))
+            taken = batch.take(copies)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(routes), pa.int32()), *taken.columns], names=["part", *batch.schema.names])
 
 
@@ -229,10 +234,11 @@ def search(rows: DataFrame, queries: DataFrame, router: Router, top: int = TOP,
     kinds = rows.schema["vector"].dataType.simpleString()
     schema = f"part int, vec_id long, vector {kinds}"
     placed = rows.mapInArrow(partial(_placed, router=router), schema)
-    routed = queries.mapInArrow(partial(_routed, router=router, mass=mass), schema)
-    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    asked = routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("asked"))
-    plan = {r["part"]: (r["blocks"], r["asked"]) for r in blocks.join(asked, "part").collect()}
+    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count_distinct("vec_id").alias("ids")).collect()
+    held = {r["part"]: r["ids"] for r in blocks}
+    routed = queries.mapInArrow(partial(_routed, router=router, mass=mass, rows=held, least=top + 1), schema)
+    asked = {r["part"]: r["asked"] for r in routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("asked")).collect()}
+    plan = {r["part"]: (r["blocks"], asked[r["part"]]) for r in blocks if r["part"] in asked}
     if not plan:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     count = lambda i: F.element_at(F.create_map(*[F.lit(x) for p, n in plan.items() for x in (p, n[i])]), F.col("part"))

@@ -74,3 +74,17 @@ def test_parts_are_balanced_and_keep_neighbours():
     of = ann.balanced_parts(graph, 8, rng)
     assert np.bincount(of, minlength=8).max() <= 105
     assert (of[graph] == of[:, None]).mean() > 0.5
+
+
+def _always(*bias):
+    return ann.Classifier(1.0, [np.zeros((2, 1)), np.zeros(1), np.zeros((1, len(bias))), np.array(bias, float)])
+
+
+def test_routes_hold_the_own_part_and_enough_rows(spark):
+    router = ann.Router(_always(0, 9, 0), _always(20, 0, 5))
+    x = np.ones((3, 2))
+    assert [r.tolist() for r in router.routes(x, 0.95)] == [[0, 1]] * 3
+    assert [r.tolist() for r in router.routes(x, 0.95, {0: 5, 1: 2, 2: 30}, 21)] == [[0, 2, 1]] * 3
+    assert [r.tolist() for r in router.routes(x, 0.95, {1: 3}, 21)] == [[0, 2, 1]] * 3
+    df = ann.valid(spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)], "vec_id long, embedding array<float>"))
+    assert ann.search(df, df.where("vec_id = 20"), router).count() == 20
