@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import ann, bpe, chat, linededup, media, neardup, packing, pii, toxicity, warc
+from ruleloom.llm import ann, bpe, chat, langid, linededup, media, neardup, packing, pii, toxicity, warc
 from ruleloom.llm.common import documents
 from ruleloom.llm.registry import RUN, SQL, query
 from ruleloom.session import local_table
@@ -94,3 +94,12 @@ def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.select("doc_id", toxicity.severity(model, "text").alias("s"))
     return scored.select("doc_id", F.round("s.severity", 6).alias("severity"), "s.grade", (F.col("s.severity") >= toxicity.TOXIC_FROM).alias("toxic"))
+
+
+@query("op11_language_models")
+def language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by models of the documents that aren't held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    told = langid.predict(docs.drop("lang"), langid.fit(docs))
+    held_out = langid.fold("doc_id") == langid.HELD_OUT
+    return told.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.round("language.score", 6).alias("score"), F.round("language.bits", 6).alias("bits"), "language.rejected")
