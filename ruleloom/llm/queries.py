@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import ann, bpe, chat, langid, linededup, media, neardup, packing, pii, toxicity, warc
+from ruleloom.llm import ann, bpe, chat, langid, linededup, media, neardup, packing, pii, repair, spelling, toxicity, warc
 from ruleloom.llm.common import documents
 from ruleloom.llm.registry import RUN, SQL, query
 from ruleloom.session import local_table
@@ -103,3 +103,15 @@ def language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = langid.predict(docs.drop("lang"), langid.fit(docs))
     held_out = langid.fold("doc_id") == langid.HELD_OUT
     return told.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.round("language.score", 6).alias("score"), F.round("language.bits", 6).alias("bits"), "language.rejected")
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents, the form it is a variant of, and its root."""
+    return spelling.group_variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults and its cheapest repair."""
+    return repair.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
