@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import ids
+from ruleloom.session import cut_lineage
 
 
 def _allowed(directory: Column, namespaces: list[str] | None) -> Column:
@@ -85,3 +88,48 @@ def graph_listing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def heaviest_edges(edges: DataFrame, min_refs: int) -> DataFrame:
     return edges.filter(F.col("weight") >= min_refs).orderBy(F.col("weight").desc(), "src", "dst")
+
+
+def _ends_meet(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Edges left after dropping nodes that nothing leads to or that lead nowhere, again and again."""
+    size = edges.count()
+    while size:
+        starts, ends = edges.select(F.col(src).alias(dst)).distinct(), edges.select(F.col(dst).alias(src)).distinct()
+        edges = cut_lineage(edges.join(starts, dst, "left_semi").join(ends, src, "left_semi"))
+        before, size = size, edges.count()
+        if size == before:
+            break
+    return edges
+
+
+def circle_edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """The distinct edges that lie on a circle: both ends reach each other.
+
+    Every node takes the largest name it can reach, forwards; a node that keeps its own is
+    a root, and what it reaches among the nodes of its name is its strongly connected
+    component. These are taken out and the rest goes on. Each step is a join and an
+    aggregation over the edges; their number grows with the longest way.
+    """
+    edges = cut_lineage(edges.select(src, dst).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
+    found = [edges.limit(0)]
+    while True:
+        edges = _ends_meet(edges, src, dst)
+        if edges.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        names = cut_lineage(edges.select(F.col(src).alias("node")).distinct().withColumn("name", F.col("node")))
+        while True:
+            ahead = edges.join(names.withColumnRenamed("node", dst), dst).groupBy(F.col(src).alias("node")).agg(F.max("name").alias("next"))
+            moved = cut_lineage(names.join(ahead, "node").select("node", F.greatest("name", "next").alias("name"), (F.col("next") > F.col("name")).alias("moved")))
+            names = moved.select("node", "name")
+            if moved.where("moved").isEmpty():
+                break
+        named = edges.join(names.select(F.col("node").alias(src), F.col("name").alias("_a")), src).join(names.select(F.col("node").alias(dst), F.col("name").alias("_b")), dst)
+        inner = cut_lineage(named.where("_a = _b").select(src, dst))
+        reached = fresh = cut_lineage(names.where("node = name").select("node"))
+        while not fresh.isEmpty():
+            ahead = inner.join(fresh.withColumnRenamed("node", src), src).select(F.col(dst).alias("node")).distinct()
+            fresh = cut_lineage(ahead.join(reached, "node", "left_anti"))
+            reached = cut_lineage(reached.unionByName(fresh))
+        member = lambda side: reached.withColumnRenamed("node", side)
+        found.append(cut_lineage(inner.join(member(src), src, "left_semi").join(member(dst), dst, "left_semi")))
+        edges = cut_lineage(edges.join(member(src), src, "left_anti").join(member(dst), dst, "left_anti"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import text as T
+from ruleloom.operators.graph import circle_edges
 from ruleloom.session import cut_lineage
 
 UNIT = K.PARAM_UNIT
@@ -61,55 +64,86 @@ def sum_of_weakest(values: Column, n: Column) -> Column:
     return T.array_sum(F.slice(F.array_sort(values), F.lit(1), n))
 
 
-def _level(rules: DataFrame, conds: DataFrame, known: DataFrame) -> DataFrame:
-    """(rule_id, precision) of some composites, given that of what they refer to.
+SUMS = ("_all", "_any", "_none", "_unless")
 
-    An unknown reference counts as a bare rule; the clause lists of a rule are short, so
-    they may be collected.
-    """
-    target = known.select(F.col("rule_id").alias("ref_id"), "precision")
-    value = F.when(F.col("ref_id").isNull(), F.lit(0.0)).otherwise(F.coalesce("precision", F.lit(K.BASE_PRECISION)))
-    scored = conds.join(target, "ref_id", "left").select("rule_id", "clause", value.alias("v"))
+
+def _sums() -> list[Column]:
+    """What the values `v` of some conditions add to the clauses of their rule."""
     of = lambda clause: F.when(F.col("clause") == clause, F.col("v"))
-    sums = scored.groupBy("rule_id").agg(
+    return [
         F.sum(of("all")).alias("_all"),
         F.collect_list(of("any")).alias("_any"),
         F.sum(of("none")).alias("_none"),
         F.min(of("unless")).alias("_unless"),
-    )
+    ]
+
+
+def _joined(more: str) -> list[Column]:
+    """The sums of a rule together with those of the columns prefixed by `more`."""
+    c = F.col
+    empty = F.array().cast("array<double>")
+    added = lambda name: F.when(c(name).isNull(), c(more + name)).otherwise(c(name) + F.coalesce(c(more + name), F.lit(0.0)))
+    return [
+        added("_all").alias("_all"),
+        F.concat(F.coalesce("_any", empty), F.coalesce(more + "_any", empty)).alias("_any"),
+        added("_none").alias("_none"),
+        F.least("_unless", more + "_unless").alias("_unless"),
+    ]
+
+
+def _total() -> Column:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    total = (
-        list_score(F.col("for_types"))
+    return (
+        F.col("types")
         + zero(F.col("_all"))
         + zero(sum_of_weakest(F.col("_any"), F.greatest(F.coalesce("needs", F.lit(1)), F.lit(1))))
         + zero(F.col("_none") + UNIT)
         + zero(F.col("_unless") + UNIT)
     )
-    return rules.join(sums, "rule_id", "left").select("rule_id", total.alias("precision"))
+
+
+def _with_values(open_rules: DataFrame, values: DataFrame) -> DataFrame:
+    """Open rules after some of their references (rule_id, clause, v) got a value."""
+    more = values.groupBy("rule_id").agg(F.count("*").alias("more_n"), *[s.alias(f"more{n}") for s, n in zip(_sums(), SUMS)])
+    left = (F.col("n_open") - F.coalesce("more_n", F.lit(0))).alias("n_open")
+    return open_rules.join(more, "rule_id", "left").select("rule_id", "needs", "types", left, *_joined("more"))
 
 
 def composite_precision(rules: DataFrame, conds: DataFrame, known: DataFrame) -> DataFrame:
     """(rule_id, precision) of composites, nested to any depth.
 
-    `known` has the precision of atomic rules. Each round scores the composites whose
-    references are all scored; it is one join and one aggregation. In a circle of
-    references nothing gets ready: a reference that is still open then counts as a bare rule.
+    `known` has the precision of atomic rules; a reference to neither counts as a bare
+    rule. What conditions on atomic rules add is summed once. Then each round hands the
+    rules that were finished last to those that refer to them, over the references between
+    composites alone, until no rule waits for one. When only circles and what is behind
+    them are left, the references inside circles count as bare rules; a rule that refers
+    to a circle from outside gets the value of the member it names.
+
+    The clause lists of a rule are short, so they may be collected.
     """
-    open_rules = cut_lineage(rules.select("rule_id", "needs", "for_types"))
-    inner = cut_lineage(conds.select("rule_id", "clause", "ref_id"))
-    names = open_rules.select("rule_id")
-    nested = cut_lineage(inner.join(names.withColumnRenamed("rule_id", "ref_id"), "ref_id", "left_semi").select("rule_id", "ref_id").distinct())
-    done = None
-    while not open_rules.isEmpty():
-        scored = known if done is None else known.unionByName(done)
-        waiting = nested.join(open_rules.select(F.col("rule_id").alias("ref_id")), "ref_id", "left_semi").select("rule_id").distinct()
-        ready = cut_lineage(open_rules.join(waiting, "rule_id", "left_anti"))
-        if ready.isEmpty():
-            ready = open_rules
-        level = cut_lineage(_level(ready, inner.join(ready.select("rule_id"), "rule_id", "left_semi"), scored))
-        done = level if done is None else done.unionByName(level)
-        open_rules = cut_lineage(open_rules.join(ready.select("rule_id"), "rule_id", "left_anti"))
-    return done if done is not None else rules.select("rule_id", F.lit(0.0).alias("precision"))
+    base = F.lit(K.BASE_PRECISION)
+    names = rules.select(F.col("rule_id").alias("ref_id"), F.lit(True).alias("composite")).distinct()
+    target = known.select(F.col("rule_id").alias("ref_id"), "precision")
+    placed = conds.select("rule_id", "clause", "ref_id").join(names, "ref_id", "left").join(target, "ref_id", "left")
+    value = F.when(F.col("ref_id").isNull(), F.lit(0.0)).when(F.col("composite"), F.lit(None)).otherwise(F.coalesce("precision", base))
+    sums = placed.withColumn("v", value).groupBy("rule_id").agg(F.count_if("composite").alias("n_open"), *_sums())
+    head = rules.select("rule_id", "needs", list_score(F.col("for_types")).alias("types"))
+    state = cut_lineage(head.join(sums, "rule_id", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)).cast("long")))
+    edges = cut_lineage(placed.where("composite").select("rule_id", "clause", "ref_id"))
+    finished = state.where("n_open = 0").select("rule_id", _total().alias("precision"))
+    done, state = [finished], state.where("n_open > 0")
+    while not state.isEmpty():
+        if done[-1].isEmpty():
+            waiting = edges.join(state.select("rule_id"), "rule_id", "left_semi").join(state.select(F.col("rule_id").alias("ref_id")), "ref_id", "left_semi")
+            inside = cut_lineage(circle_edges(waiting.select("rule_id", "ref_id"), "rule_id", "ref_id"))
+            values = waiting.join(inside, ["rule_id", "ref_id"], "left_semi").select("rule_id", "clause", base.alias("v"))
+            edges = cut_lineage(edges.join(inside, ["rule_id", "ref_id"], "left_anti"))
+        else:
+            values = edges.join(done[-1].select(F.col("rule_id").alias("ref_id"), F.col("precision").alias("v")), "ref_id").select("rule_id", "clause", "v")
+        state = cut_lineage(_with_values(state, values))
+        done.append(state.where("n_open = 0").select("rule_id", _total().alias("precision")))
+        state = state.where("n_open > 0")
+    return reduce(DataFrame.unionByName, done)
 
 
 def corrected(rules: DataFrame) -> DataFrame:

@@ -254,6 +254,44 @@ def criticality_correction(spark, sf_dir):
     rules = T.composites(spark, sf_dir)
     return P.corrected(rules.join(composite_precision(spark, sf_dir), "rule_id")).select("rule_id", "crit", "corrected")
 
+# Circles of four orders, every tenth four of them, and the rules behind them.
+view("circle_conds", f"""
+SELECT rule_id, clause, idx, ref_id, FALSE AS inside FROM conds
+UNION ALL SELECT {T.choose(T.O, T.DIRECTORIES)} || '::c' || o_orderkey, 'all', -1, {T.choose('(o_orderkey - 1)', T.DIRECTORIES)} || '::c' || (o_orderkey - 1), o_orderkey % 40 IN (1, 2, 3)
+FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 40 = 4
+UNION ALL SELECT {T.choose(T.O, T.DIRECTORIES)} || '::c' || o_orderkey, 'any', -2, {T.choose('(o_orderkey + 3)', T.DIRECTORIES)} || '::c' || (o_orderkey + 3), TRUE
+FROM orders WHERE o_orderkey % 40 = 0""", "conds")
+
+
+def circle_conds(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    name = lambda key: f"{T.choose(key, T.DIRECTORIES)} || '::c' || {key}"
+    extra = spark.sql(f"""
+        SELECT {name('o_orderkey')} AS rule_id, 'all' AS clause, CAST(-1 AS BIGINT) AS idx, {name('(o_orderkey - 1)')} AS ref_id
+        FROM {{o}} WHERE o_orderkey % 4 <> 0 OR o_orderkey % 40 = 4
+        UNION ALL SELECT {name('o_orderkey')}, 'any', CAST(-2 AS BIGINT), {name('(o_orderkey + 3)')} FROM {{o}} WHERE o_orderkey % 40 = 0""", o=o)
+    return T.composite_conds(spark, sf_dir).select("rule_id", "clause", "idx", "ref_id").unionByName(extra)
+
+
+for _n in range(1, 9):  # circles, three rules of the next four, and one more that changes nothing
+    _known = "SELECT rule_id, precision FROM atomic_precision" + (f" UNION ALL SELECT rule_id, precision FROM circle_precision{_n - 1}" if _n > 1 else "")
+    _body = _level("", _known).replace("nested_conds", "circle_conds").replace("WHEN k.ref_id IS NULL THEN 0 ELSE", "WHEN k.ref_id IS NULL THEN 0 WHEN k.inside THEN 1.0 ELSE")
+    view(f"circle_precision{_n}", _body, "composite", "circle_conds", "atomic_precision", *([f"circle_precision{_n - 1}"] if _n > 1 else []))
+
+
+@query("agg28_precision_circles", "SELECT rule_id, CAST(round(precision, 4) AS DOUBLE) AS precision FROM circle_precision8", "circle_precision8")
+def precision_circles(spark, sf_dir):
+    """As agg28_composite_precision, with rules that refer to each other in a circle and rules behind them."""
+    known = P.atomic_precision(T.atomic_rules(spark, sf_dir))
+    return rounded(P.composite_precision(T.composites(spark, sf_dir), circle_conds(spark, sf_dir), known), 4)
+
+
+@query("agg29_correction_circles", """
+SELECT rule_id, crit, CASE WHEN crit = 3 AND round(precision, 4) < 3.5 THEN 2 WHEN crit = 2 AND round(precision, 4) < 2.0 THEN 1 ELSE crit END AS corrected
+FROM composite JOIN circle_precision8 USING (rule_id)""", "composite circle_precision8")
+def correction_circles(spark, sf_dir):
+    return P.corrected(T.composites(spark, sf_dir).join(precision_circles(spark, sf_dir), "rule_id")).select("rule_id", "crit", "corrected")
+
 
 @query("agg30_sum_weakest", """
 SELECT rule_id, CAST(round(sum(precision), 4) AS DOUBLE) AS weakest FROM (
