@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.functions import ids
+from ruleloom.operators import rounds
 from ruleloom.operators.matching import is_small, resolve_references
-from ruleloom.operators.windows import proximity
-from ruleloom.session import cut_lineage, local_table
+from ruleloom.session import cut_lineage
 
 MAX_ROUNDS = 10
 GATING = ("all", "any", "none", "unless")
@@ -77,209 +74,60 @@ def any_met() -> Column:
     return (F.col("size_any") == 0) | (F.col("n_any") >= F.coalesce("needs", F.lit(1)))
 
 
-def none_met() -> Column:
-    return F.col("n_none") == 0
-
-
-def has_positive() -> Column:
-    return (F.col("size_all") > 0) | (F.col("size_any") > 0)
-
-
-def gated(df: DataFrame, files: DataFrame) -> DataFrame:
-    """Keeps (file, rule) rows the rule's file types and size bounds allow."""
-    f = files.select("file_id", "file_type", "size_bytes")
-    types = F.col("for_types")
-    ok = (
-        (F.array_contains(types, "all") | F.array_contains(types, F.col("file_type")))
-        & (F.col("size_min").isNull() | (F.col("size_bytes") >= F.col("size_min")))
-        & (F.col("size_max").isNull() | (F.col("size_bytes") <= F.col("size_max")))
-    )
-    return df.join(f, "file_id").filter(ok).drop("file_type", "size_bytes")
-
-
-def near_enough(fired: DataFrame, hits: DataFrame, evidence: DataFrame, near_rules: list) -> DataFrame:
-    """Drops fired rules whose evidence is not close enough together.
-
-    Rules with the same span and count share one pass; the catalog has few such pairs.
-    """
-    if not near_rules:
-        return fired
-    wanted = [r["rule_id"] for r in near_rules]
-    used = hits.filter(F.col("comp").isin(wanted) & F.col("clause").isin("all", "any")).select(
-        "file_id", "comp", "target_id"
-    ).distinct()
-    located = evidence.withColumnRenamed("rule_id", "target_id").join(used, ["file_id", "target_id"])
-    for position, field in (("line_no", "near_lines"), ("offset", "near_bytes")):
-        groups: dict[tuple[int, int], list[str]] = {}
-        for r in near_rules:
-            if r[field] is not None:
-                groups.setdefault((r[field], max(r["needs"] or 1, 1)), []).append(r["rule_id"])
-        if not groups:
-            continue
-        close = [
-            proximity(located.filter(F.col("comp").isin(names)), ["file_id", "comp"], position, span, needed)
-            for (span, needed), names in groups.items()
-        ]
-        bound = [name for names in groups.values() for name in names]
-        flags = reduce(lambda a, b: a.unionByName(b), close).select("file_id", "comp", F.lit(True).alias("_close"))
-        fired = (
-            fired.join(flags, ["file_id", "comp"], "left")
-            .filter(~F.col("comp").isin(bound) | F.col("_close").isNotNull())
-            .drop("_close")
-        )
-    return fired
-
-
-def fire(files: DataFrame, seen: DataFrame, evidence: DataFrame, rules: DataFrame, resolved: DataFrame, near_rules: list, blocks: int = 1) -> tuple[DataFrame, DataFrame]:
-    """One pass of rules over what is already found: (fired rows, clause hits)."""
-    hits = clause_hits(seen, resolved)
-    sized = F.broadcast(rules.withColumnRenamed("rule_id", "comp"))
-    met = (
-        clause_counts(hits, blocks)
-        .join(sized, "comp")
-        .filter(has_positive() & all_met() & any_met() & none_met() & (F.col("n_unless") == 0))
-    )
-    fired = gated(met, files).select("file_id", "comp")
-    return near_enough(fired, hits, evidence, near_rules), hits
-
-
-def fire_none_only(files: DataFrame, hits: DataFrame, none_rules: list) -> DataFrame:
-    """Rules with only a `none` clause hold for every file that meets none of it.
-
-    Each file is given these rules as an array, so no join multiplies the files.
-    """
-    listed = F.array(
-        *[
-            F.struct(
-                F.lit(r["rule_id"]).alias("comp"),
-                F.array(*map(F.lit, r["for_types"])).alias("for_types"),
-                F.lit(r["size_min"]).cast("bigint").alias("size_min"),
-                F.lit(r["size_max"]).cast("bigint").alias("size_max"),
-            )
-            for r in none_rules
-        ]
-    )
-    paired = files.select("file_id", F.explode(listed).alias("r")).select("file_id", "r.*")
-    blocked = hits.filter(F.col("clause").isin("none", "unless")).select("file_id", "comp").distinct()
-    kept = paired.join(blocked, ["file_id", "comp"], "left_anti")
-    return gated(kept, files).select("file_id", "comp")
-
-
 def evaluate_composites(
     files: DataFrame, findings: DataFrame, evidence: DataFrame, rules: DataFrame, conds: DataFrame,
-    with_refs: bool = False, max_rounds: int = MAX_ROUNDS,
+    with_refs: bool = False, max_rounds: int = MAX_ROUNDS, platforms: tuple[str, ...] = ("all",),
 ) -> DataFrame:
     """Composite findings (file_id, rule_id, crit, conf), with trait_refs if asked for.
 
     Rules without a `none` clause run in rounds: each sees what earlier rounds found, so
     rules may refer to each other in a circle, and an `unless` does not yet see a rule
     that fires in the same round. After the first round only rules that refer to
-    something new run again, and it ends when nothing is new or after `max_rounds`
+    something new run again, and a file is done when nothing is new or after `max_rounds`
     (a chain deeper than that stays open). Rules with `none` run once on the outcome and
     do not see each other. Downgrades are decided last, on everything found.
 
-    A round is one join with the catalog and one aggregation. The rule graph, whose size
-    is that of the catalog, is read on the driver.
+    The findings of a file meet in one row and all rounds are expressions over it (see
+    `rounds`); a rule with proximity adds a join. The rule graph, whose size is that of the
+    catalog, is read on the driver. Rules may have `platforms`; those for none of the given
+    ones do not fire.
     """
-    spark = findings.sparkSession
-    known = findings.select("rule_id").unionByName(rules.select("rule_id")).distinct()
-    found_refs = resolve_references(conds, known).collect()
-    resolved = local_table(spark, found_refs, "rule_id string, clause string, idx int, ref_id string, target_id string")
-    catalog = clause_sizes(rules, conds)
-    catalog_rows = catalog.collect()
-    sized = local_table(spark, catalog_rows, ", ".join(f"{n} {t}" for n, t in catalog.dtypes))
-
-    blocks = mask_blocks(max((r["idx"] for r in found_refs), default=0))
-
-    negative = {r["rule_id"] for r in catalog_rows if r["size_none"] > 0}
-    positive = {r["rule_id"] for r in catalog_rows} - negative
-    built_on: dict[str, set[str]] = {r: set() for r in positive}
-    for row in found_refs:
-        rule, target = row["rule_id"], row["target_id"]
-        if row["clause"] in ("all", "any") and rule in positive and target in positive and rule != target:
-            built_on[rule].add(target)
-    near = {r["rule_id"]: r for r in catalog_rows if r["near_lines"] is not None or r["near_bytes"] is not None}
-
-    targets = resolved.select(F.col("target_id").alias("rule_id")).distinct()
-    if is_small(targets):
-        targets = F.broadcast(targets)
-    seen = cut_lineage(findings.join(targets, "rule_id", "left_semi").select("file_id", "rule_id").distinct())
-    located = evidence.join(targets, "rule_id", "left_semi").select("file_id", "rule_id", "line_no", "offset")
-    if near:
-        located = cut_lineage(located)
-
-    # Composites whose evidence a rule with proximity can reach.
-    carried, reached = set(near), set(near)
-    while reached:
-        reached = {t for r in reached for t in built_on.get(r, ())} - carried
-        carried |= reached
-
-    usable = resolved.filter(~F.col("target_id").isin(sorted(negative))) if negative else resolved
-    parts: list[DataFrame] = []
-    names, ran = sorted(positive), set()
-    for _ in range(max_rounds):
-        if not names:
-            break
-        fired, hits = fire(files, seen, located, sized.filter(F.col("rule_id").isin(names)), usable.filter(F.col("rule_id").isin(names)), [near[n] for n in names if n in near], blocks)
-        if ran & set(names):  # only what this round adds
-            fired = fired.join(seen.select("file_id", F.col("rule_id").alias("comp")), ["file_id", "comp"], "left_anti")
-        fired = cut_lineage(matched_refs(hits, fired) if with_refs else fired)
-        fresh = {r["comp"] for r in fired.select("comp").distinct().collect()}
-        ran |= set(names)
-        if not fresh:
-            break
-        parts.append(fired)
-        seen = seen.unionByName(fired.select("file_id", F.col("comp").alias("rule_id")))
-        if near and carried & fresh:
-            passed = hits.filter(F.col("clause").isin("all", "any")).join(fired.select("file_id", "comp"), ["file_id", "comp"], "left_semi")
-            inherited = located.withColumnRenamed("rule_id", "target_id").join(
-                passed.select("file_id", "comp", "target_id").distinct(), ["file_id", "target_id"]
-            )
-            located = located.unionByName(inherited.select("file_id", F.col("comp").alias("rule_id"), "line_no", "offset"))
-        names = sorted(r for r in positive if built_on[r] & fresh)
-    if negative:
-        mine = usable.filter(F.col("rule_id").isin(sorted(negative)))
-        sized_negative = sized.filter(F.col("rule_id").isin(sorted(negative)))
-        fired, hits = fire(files, seen, located, sized_negative, mine, [near[n] for n in sorted(negative) if n in near], blocks)
-        none_rules = [r for r in catalog_rows if r["size_none"] > 0 and not r["size_all"] and not r["size_any"]]
-        last = fired.unionByName(fire_none_only(files, hits, none_rules)) if none_rules else fired
-        last = cut_lineage(matched_refs(hits, last) if with_refs else last)
-        parts.append(last)
-        seen = seen.unionByName(last.select("file_id", F.col("comp").alias("rule_id")))
-    if not parts:
-        return findings.limit(0).select("file_id", "rule_id", F.lit(0).alias("crit"), F.lit(0.0).alias("conf"))
-    fired = reduce(lambda a, b: a.unionByName(b), parts)
-    return apply_downgrades(fired, seen, sized, resolved, blocks)
-
-
-def downgrade_counts(seen: DataFrame, resolved: DataFrame, blocks: int = 1) -> DataFrame:
-    down = clause_hits(seen, resolved.filter(F.col("clause").startswith("down_")))
-    return down.groupBy("file_id", "comp").agg(*[_hit(f"down_{c}", blocks).alias(f"d_{c}") for c in ("all", "any", "none")])
-
-
-def is_downgraded() -> Column:
-    """`all` decides if given, then `any`, then `none`."""
-    n = lambda c: F.coalesce(F.col(f"d_{c}"), F.lit(0))
-    return (
-        F.when(F.col("size_down_all") > 0, n("all") == F.col("size_down_all"))
-        .when(F.col("size_down_any") > 0, n("any") >= 1)
-        .when(F.col("size_down_none") > 0, n("none") == 0)
-        .otherwise(F.lit(False))
-    )
+    conditions = [r.asDict() for r in conds.select("rule_id", "clause", "idx", "ref_id").collect()]
+    members, stands_for = _members(findings, rules, conds, with_refs)
+    resolved = [{**c, "target_id": target} for c in conditions for target in (*stands_for.get(c["ref_id"], ()), None)]
+    catalog = rounds.Catalog(_on_platform(rules.collect(), platforms), resolved, with_refs)
+    return rounds.run(files, findings, evidence, members, catalog, max_rounds, with_refs)
 
 
-def apply_downgrades(fired: DataFrame, seen: DataFrame, sized: DataFrame, resolved: DataFrame, blocks: int = 1) -> DataFrame:
-    """Fired rules with criticality and confidence; a rule with proximity is certain."""
-    rules = F.broadcast(sized.withColumnRenamed("rule_id", "comp"))
-    counted = fired.join(rules, "comp").join(downgrade_counts(seen, resolved, blocks), ["file_id", "comp"], "left")
-    boosted = F.when(F.col("near_lines").isNotNull() | F.col("near_bytes").isNotNull(), F.lit(1.0)).otherwise(F.col("conf"))
-    return counted.select(
-        "file_id",
-        F.col("comp").alias("rule_id"),
-        F.when(is_downgraded(), ids.downgraded(F.col("crit"))).otherwise(F.col("crit")).alias("crit"),
-        F.least(boosted, F.lit(1.0)).alias("conf"),
-        *[c for c in fired.columns if c == "trait_refs"],
-    )
+def _members(findings: DataFrame, rules: DataFrame, conds: DataFrame, apart: bool) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(rule_id, target) of all ids that some condition stands for, and the targets of each reference.
+
+    Atomic ids that the same references stand for are one target, unless they are to be
+    kept `apart`: a directory of very many ids, as imports make, is one. So the targets are
+    in proportion to the catalog, and only they are read on the driver.
+    """
+    known = cut_lineage(findings.select("rule_id").unionByName(rules.select("rule_id")).distinct())
+    resolved = resolve_references(conds.select("ref_id").where("ref_id is not null").distinct(), known)
+    refs = resolved.groupBy("target_id").agg(F.array_sort(F.collect_set("ref_id")).alias("refs"))
+    own = rules.select(F.col("rule_id").alias("target_id"), F.lit(True).alias("composite")).distinct()
+    shared = F.concat(F.lit("of::"), F.sha2(F.to_json("refs"), 256))
+    target = F.col("target_id") if apart else F.coalesce(F.when(F.col("composite"), F.col("target_id")), shared)
+    placed = cut_lineage(refs.join(F.broadcast(own), "target_id", "left").select(F.col("target_id").alias("rule_id"), target.alias("target"), "refs"))
+    stands_for: dict[str, list[str]] = {}
+    for r in placed.select("target", "refs").distinct().collect():
+        for ref in r["refs"]:
+            stands_for.setdefault(ref, []).append(r["target"])
+    return placed.select("rule_id", "target"), stands_for
+
+
+def _on_platform(rules: list, platforms: tuple[str, ...]) -> list:
+    """The rules for any of the platforms; a rule that names none is for all."""
+
+    def fits(r) -> bool:
+        mine = r["platforms"] if "platforms" in r else None
+        return not mine or "all" in mine or "all" in platforms or bool({*mine} & {*platforms})
+
+    return [r for r in rules if fits(r)]
 
 
 def derived_findings(findings: DataFrame, rules: DataFrame) -> DataFrame:
