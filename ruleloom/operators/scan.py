@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import net, text as T
-from ruleloom.operators import matching, predicates as P
-from ruleloom.session import local_table
+from ruleloom.operators import composites, conditions as C, matching, predicates as P
+from ruleloom.session import cut_lineage, local_table
 
 # So few rules are cheaper to test on every value than to look up by the grams it holds.
 MAX_DIRECT_RULES = 64
@@ -142,15 +142,26 @@ def raw_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def atomic_findings(files: DataFrame, strings: DataFrame, rules: DataFrame) -> DataFrame:
-    """findings(file_id, rule_id, crit, conf, hits, sample) of atomic rules."""
+    """findings(file_id, rule_id, crit, conf, hits, sample) of atomic rules on strings and content.
+
+    A rule of another kind is an error; `catalog_findings` takes all of them.
+    """
+    other = rules.filter(~F.col("ctype").isin("string", "raw") | F.col("ctype").isNull()).select("rule_id", "ctype").first()
+    if other is not None:
+        raise ValueError(f"{other['rule_id']} has a condition of kind {other['ctype']}; only string and raw are scanned here")
     hits = string_hits(strings, rules.filter(F.col("ctype") == "string")).unionByName(
         raw_hits(files, rules.filter(F.col("ctype") == "raw"))
     )
     gate = rules.drop("how", "pattern", "ctype", "case_insensitive")
     judged = hits.join(gate, "rule_id").join(files.select("file_id", "file_type", "size_bytes"), "file_id")
+    return judged.filter(_gated()).select("file_id", "rule_id", "crit", "conf", "hits", "sample")
+
+
+def _gated() -> Column:
+    """File types, size, count and density of a rule, on a row of its hits in a file."""
     c = F.col
     per_kb = c("hits") / F.nullif(c("size_bytes") / 1024.0, F.lit(0.0))
-    ok = (
+    return (
         (F.array_contains("for_types", "all") | F.array_contains(c("for_types"), c("file_type")))
         & P.size_ok(c("size_bytes"), c("size_min"), c("size_max"))
         & (c("hits") >= F.coalesce("count_min", F.lit(1)))
@@ -158,4 +169,96 @@ def atomic_findings(files: DataFrame, strings: DataFrame, rules: DataFrame) -> D
         & (c("per_kb_min").isNull() | (c("size_bytes") == 0) | (per_kb >= c("per_kb_min")))
         & (c("per_kb_max").isNull() | (c("size_bytes") == 0) | (per_kb <= c("per_kb_max")))
     )
-    return judged.filter(ok).select("file_id", "rule_id", "crit", "conf", "hits", "sample")
+
+
+CATALOG_SCHEMA = (
+    "rule_id string, crit int, conf double, for_types array<string>, platforms array<string>, size_min bigint, size_max bigint, "
+    "count_min bigint, count_max bigint, per_kb_min double, per_kb_max double"
+)
+COMPOSITE_SCHEMA = (
+    "rule_id string, crit int, conf double, needs int, near_lines int, near_bytes int, for_types array<string>, platforms array<string>, "
+    "size_min bigint, size_max bigint"
+)
+IF = "if"
+
+
+def _modified(files: DataFrame, hits: DataFrame, passed: DataFrame, rules: DataFrame, conds: DataFrame) -> DataFrame:
+    """Candidates (file_id, rule_id, crit, …) that no `unless` holds back, downgraded where told.
+
+    Such a rule is a composite of its own condition; both look at the conditions that hold
+    in the file and at the rules that passed their gates.
+    """
+    changed = conds.where(F.col("clause") != IF).select("rule_id").distinct()
+    mine = passed.join(F.broadcast(changed), "rule_id", "left_semi")
+    free = passed.join(F.broadcast(changed), "rule_id", "left_anti")
+    none = lambda kind: F.lit(None).cast(kind)
+    own = rules.join(F.broadcast(changed), "rule_id", "left_semi")
+    as_composites = own.select(
+        "rule_id", "crit", "conf", none("int").alias("needs"), none("int").alias("near_lines"), none("int").alias("near_bytes"),
+        F.array(F.lit("all")).alias("for_types"), none("bigint").alias("size_min"), none("bigint").alias("size_max"),
+    )
+    gate = F.concat(F.lit("gate::"), "rule_id")
+    clauses = conds.where(F.col("clause") != IF).select("rule_id", "clause", "idx", "ref_id").unionByName(own.select("rule_id", F.lit("all").alias("clause"), F.lit(0).alias("idx"), gate.alias("ref_id")))
+    seen = hits.select("file_id", F.col("cond_id").alias("rule_id")).unionByName(passed.select("file_id", "rule_id")).unionByName(mine.select("file_id", gate.alias("rule_id")))
+    places = seen.withColumns({"line_no": none("bigint"), "offset": none("bigint")})
+    told = composites.evaluate_composites(files, seen, places, as_composites, clauses, max_rounds=1)
+    kept = mine.drop("crit").join(told.select("file_id", "rule_id", "crit"), ["file_id", "rule_id"])
+    return free.unionByName(kept.select(*free.columns))
+
+
+def catalog_findings(
+    files: DataFrame, facts: DataFrame, rules: DataFrame, conds: DataFrame, sections: DataFrame | None = None,
+    platforms: tuple[str, ...] = ("all",), more: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, condition hits) of a catalog of atomic rules with conditions of every kind.
+
+    `files`: file_id, file_type, size_bytes. `rules` as CATALOG_SCHEMA; `conds` holds for
+    each rule one condition of clause `if`, and any of `unless`, `down_all`, `down_any` and
+    `down_none`, inline or by the id of an atomic rule. `more` are the named conditions of
+    composites, which are evaluated with them: equal ones once. A rule whose condition is
+    another rule (`if` with a ref_id) is derived from the findings of the others.
+    """
+    named = C.named(conds)
+    wanted = C.distinct_conditions(*[t for t in (named, more) if t is not None])
+    hits = cut_lineage(C.condition_hits(files, facts, wanted, sections))
+    mine = F.col("platforms")
+    fits = mine.isNull() | (F.size(mine) == 0) | P.platform_ok(mine, F.array(*map(F.lit, platforms)))
+    usable = cut_lineage(rules.where(fits))
+    own = named.where(F.col("clause") == IF).select("rule_id", "ref_id")
+    sized = F.broadcast(own.join(usable, "rule_id"))
+    judged = hits.join(sized, F.col("cond_id") == F.col("ref_id")).join(files.select("file_id", "file_type", "size_bytes"), "file_id").where(_gated())
+    passed = judged.select("file_id", "rule_id", "crit", "conf", "hits", "sample")
+    if named.where(F.col("clause") != IF).limit(1).count():
+        passed = cut_lineage(passed)
+        passed = _modified(files.select("file_id", "file_type", "size_bytes"), hits, passed, usable, named)
+    derived = named.where((F.col("clause") == IF) & ~F.col("ref_id").startswith(C.PREFIX)).select("rule_id", "ref_id").join(usable, "rule_id")
+    if derived.limit(1).count():
+        passed = cut_lineage(passed)
+        late = composites.derived_findings(passed, derived.select("rule_id", "ref_id", "crit", "count_min"))
+        gates = F.broadcast(derived.drop("ref_id", "crit", "count_min").withColumn("count_min", F.lit(None).cast("bigint")))
+        ok = late.join(gates, "rule_id").join(files.select("file_id", "file_type", "size_bytes"), "file_id").where(_gated())
+        passed = passed.unionByName(ok.select("file_id", "rule_id", "crit", "conf", "hits", F.lit(None).cast("string").alias("sample")))
+    return passed, hits
+
+
+def catalog_report(
+    files: DataFrame, facts: DataFrame, rules: DataFrame, conds: DataFrame, composite_rules: DataFrame, composite_conds: DataFrame,
+    sections: DataFrame | None = None, platforms: tuple[str, ...] = ("all",), evidence: DataFrame | None = None, with_refs: bool = False,
+) -> DataFrame:
+    """All findings (file_id, rule_id, crit, conf) of a catalog: atomic rules, then composites.
+
+    Conditions of composites may stand inline in every clause; they hold where they have a
+    hit. `evidence` (file_id, rule_id, line_no, offset) is for rules with proximity.
+    """
+    inline = C.named(composite_conds)
+    atomic, hits = catalog_findings(files, facts, rules, conds, sections, platforms, inline)
+    atomic = cut_lineage(atomic)
+    keep = ["file_id", "rule_id", "crit", "conf"]
+    held = hits.select("file_id", F.col("cond_id").alias("rule_id")).join(F.broadcast(inline.select(F.col("ref_id").alias("rule_id")).distinct()), "rule_id", "left_semi")
+    seen = atomic.select("file_id", "rule_id").unionByName(held.select("file_id", "rule_id"))
+    none = F.lit(None).cast("bigint")
+    places = evidence if evidence is not None else seen.withColumns({"line_no": none, "offset": none})
+    combined = composites.evaluate_composites(files.select("file_id", "file_type", "size_bytes"), seen, places, composite_rules, inline, with_refs, platforms=platforms)
+    if with_refs:
+        atomic, keep = atomic.withColumn("trait_refs", F.array().cast("array<string>")), [*keep, "trait_refs"]
+    return atomic.select(keep).unionByName(combined.select(keep))

@@ -11,6 +11,7 @@ from ruleloom.plans import (  # noqa: F401
     q_joins,
     q_manifests,
     q_catalog,
+    q_scan,
     q_streaming,
 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import net, text as T
-from ruleloom.operators import composites, containers, decode, diff, extract, joins, matching, precision, predicates, scan, windows
+from ruleloom.operators import composites, containers, decode, diff, extract, graph, joins, matching, precision, predicates, scan, windows
 from ruleloom.session import local_table
 from ruleloom.sources import catalog, files
 
@@ -154,6 +154,41 @@ def test_precision_of_nested_rules_and_circles(spark):
     assert got == {**{f"c{i}": 2.5 for i in range(5)}, "c5": 5.0, "x": 1.0, "y": 1.0}
 
 
+def test_rules_behind_a_circle_get_its_value(spark):
+    clauses = {
+        "d::a": [("all", "d::b"), ("all", "five")], "d::b": [("all", "d::a")], "d::c": [("all", "d::a")], "d::d": [("any", "d::c"), ("any", "d::b"), ("none", "d::a")],
+        "d::self": [("all", "d::self"), ("unless", "five"), ("all", None)], "e::a": [("all", "e::b")], "e::b": [("all", "e::c"), ("all", "d::c")], "e::c": [("any", "e::a"), ("any", "unknown")],
+        "f::bare": [], "g::a": [("all", "e::a"), ("all", "d::d")],
+    }
+    rules = local_table(spark, [(r, 2 if r == "d::d" else None, ["all"]) for r in clauses], "rule_id string, needs int, for_types array<string>")
+    conds = local_table(spark, [(r, clause, ref) for r, some in clauses.items() for clause, ref in some], "rule_id string, clause string, ref_id string")
+    known = local_table(spark, [("five", 5.0)], "rule_id string, precision double")
+    got = {r["rule_id"]: round(r["precision"], 6) for r in precision.composite_precision(rules, conds, known).collect()}
+    a, b, c = 6.0, 1.0, 6.0
+    d, ea = c + b + a + 0.3, 1.0
+    assert got == {"d::a": a, "d::b": b, "d::c": c, "d::d": d, "d::self": 1.0 + 5.0 + 0.3, "e::a": ea, "e::b": 1.0 + c, "e::c": 1.0, "f::bare": 0.0, "g::a": ea + d}
+
+
+def test_circle_edges_against_reachability(spark):
+    rng = random.Random(11)
+    for n, m in ((8, 10), (14, 22), (30, 36)):
+        edges = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)}
+        ahead = {}
+        for u, v in edges:
+            ahead.setdefault(u, set()).add(v)
+
+        def reach(u, seen):
+            for v in ahead.get(u, ()):
+                if v not in seen:
+                    seen.add(v)
+                    reach(v, seen)
+            return seen
+
+        want = {(u, v) for u, v in edges if u in reach(v, set()) or u == v}
+        got = graph.circle_edges(local_table(spark, sorted(edges), "u string, v string"), "u", "v")
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_samples_are_five_of_very_many(spark):
     facts = spark.range(3000).select((F.col("id") % 2).alias("file_id"), F.format_string("v%05d", "id").alias("symbol"))
     got = {r["file_id"]: (r["n"], r["sample"]) for r in predicates.counted_per_file(facts.select("file_id").distinct(), facts, "symbol").collect()}
