@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_BYTES = 1 << 20
+# Arrow batches by bytes, which the JVM holds twice; 10,000 long texts are far more.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 BROADCAST_ROWS = 400_000
 
 
@@ -20,8 +23,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[tuple[list, ...]]:
-    """The columns of a batch as lists, a few rows at a time.
+def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES, only: list[int] | None = None) -> Iterator[tuple[list, ...]]:
+    """The columns of a batch (or some of them) as lists, a few rows at a time.
 
     `text` is the column that holds the long values; a slice ends once it has `limit`
     bytes, so that memory does not follow the number of rows in an Arrow batch.
@@ -32,7 +35,7 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterat
         held += size
         if held >= limit or i == len(sizes):
             part = batch.slice(start, i - start)
-            yield tuple(c.to_pylist() for c in part.columns)
+            yield tuple(c.to_pylist() for c in (part.columns if only is None else map(part.column, only)))
             start, held = i, 0
 
 
@@ -71,11 +74,55 @@ def map_slices(df: DataFrame, work: Callable[..., dict], schema: str, text: int,
             for columns in slices(batch, text):
                 out = work(state, *columns)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()  # the worker goes on living
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, work: Callable[..., dict], schema: str, inputs: list[str], text: str, keep: str | None = None) -> DataFrame:
+    """`df` with the columns that `work(*inputs)` returns as lists, a slice of rows at a time.
+
+    The new columns come behind the others, which pass through as they are. With `keep`, a
+    new column of that name tells which rows stay, and is not returned.
+    """
+    names = df.columns
+    at, sized = [names.index(c) for c in inputs], names.index(text)
+    new = to_arrow_schema(T.StructType.fromDDL(schema))
+    out = T.StructType([*df.schema.fields, *[f for f in T.StructType.fromDDL(schema) if f.name != keep]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_state(None)
+        for batch in batches:
+            start = 0
+            for columns in slices(batch, sized, only=at):
+                part = batch.slice(start, len(columns[0]))
+                start += len(columns[0])
+                made = work(*columns)
+                arrays = [*part.columns, *[pa.array(made[f.name], f.type) for f in new if f.name != keep]]
+                done = pa.RecordBatch.from_arrays(arrays, names=out.names)
+                yield done if keep is None else done.filter(pa.array(made[keep], pa.bool_()))
+        hand_back()
+
+    return df.mapInArrow(run, out)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def hand_back() -> None:
+    """Give what a task no longer uses back to the system: its Python worker goes on living."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session does already."""
+    key, most = BATCH_BYTES
+    if int(spark.conf.get(key, str((1 << 31) - 1))) > 1 << 30:
+        spark.conf.set(key, str(most))
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if it has at most so many rows, else as it is.
 

@@ -10,14 +10,14 @@ removed; spans refer to the text as it was.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import fresh, map_slices
+from ruleloom.llm.common import fresh, map_slices, with_columns
 
 MIN_WORDS = 20
 # Anything up to a sentence or line end, with the signs and blanks behind it; then the rest.
@@ -76,18 +76,15 @@ def _digests(_: object, ids: list, keys: list, texts: list) -> dict:
     return out
 
 
-def _cut(min_words: int):
-    def cut(texts: pd.Series, ids: pd.Series, found: pd.Series) -> pd.DataFrame:
-        kept, removed = [], []
-        for text, own, repeats in zip(texts, ids, found):
-            first = {} if repeats is None else {r["low"]: r["first"] for r in repeats}
-            runs = repeated_runs(text, first, None if pd.isna(own) else int(own), min_words)
-            edges = [0, *(e for run in runs for e in run[:2]), len(text or "")]
-            kept.append(None if text is None else "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            removed.append([dict(zip(("start", "end", "words", "holder"), r)) for r in runs])
-        return pd.DataFrame({"text": pd.Series(kept, dtype=object), "removed": pd.Series(removed, dtype=object)})
-
-    return F.pandas_udf(cut, "text string, removed array<struct<start:long,end:long,words:long,holder:long>>")
+def _cut(texts: list, ids: list, found: list, min_words: int) -> dict:
+    kept, removed = [], []
+    for text, own, repeats in zip(texts, ids, found):
+        first = {} if repeats is None else {r["low"]: r["first"] for r in repeats}
+        runs = repeated_runs(text, first, own, min_words)
+        edges = [0, *(e for run in runs for e in run[:2]), len(text or "")]
+        kept.append(None if text is None else "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+        removed.append([dict(zip(("start", "end", "words", "holder"), r)) for r in runs])
+    return {"_kept": kept, "_removed": removed}
 
 
 def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed_col: str = "removed") -> DataFrame:
@@ -112,10 +109,14 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     later = digests.join(first, ["high", "low"]).where("rank > first")
     by_row = later.distinct().groupBy("rank", "row_key").agg(F.collect_list(F.struct("low", "first")).alias("repeats"))
     by_row = by_row.select(F.col("rank").alias(rank), F.col("row_key").alias(key), F.col("repeats").alias(found))
-    cut = fresh(df, "cut")
-    done = ranked.join(by_row, [rank, key], "left").withColumn(cut, _cut(min_words)(F.col(text_col), F.col(id_col).cast("bigint"), F.col(found)))
-    columns = [F.col(f"{cut}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != removed_col or c == text_col]
-    return done.select(*columns, F.col(f"{cut}.removed").alias(removed_col))
+    own = fresh(df, "own")
+    joined = ranked.join(by_row, [rank, key], "left").withColumn(own, F.col(id_col).cast("bigint"))
+    schema = "_kept string, _removed array<struct<start:long,end:long,words:long,holder:long>>"
+    named = joined.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(joined.columns)])
+    place = {c: f"_{i}" for i, c in enumerate(joined.columns)}
+    done = with_columns(named, partial(_cut, min_words=min_words), schema, [place[c] for c in (text_col, own, found)], place[text_col])
+    columns = [F.col("_kept" if c == text_col else place[c]).alias(c) for c in df.columns if c != removed_col or c == text_col]
+    return done.select(*columns, F.col("_removed").alias(removed_col))
 
 
 SPANS_SQL = f"""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import fresh, map_slices, small, utf8
+from ruleloom.llm.common import fresh, hand_back, kept_state, map_slices, small, utf8
 from ruleloom.llm.components import components
 from ruleloom.llm.hashing import mixed, span_hashes, word_spans
 from ruleloom.session import cut_lineage
@@ -113,6 +113,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A partition's first and last row are kept in any case, as their region may go on in
     the next one.
     """
+    kept_state(None)
     names = ["region", "content", "before"]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -135,16 +136,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows)
     if held is not None:
         yield out([(*held, previous)])
+    hand_back()
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree often enough to be compared on full sets."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_state(None)
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, HASHES) for c in ("sa", "sb"))
             good = (a == b).mean(axis=1) >= LEAST_AGREEMENT if len(a) else np.zeros(0, bool)
             yield batch.filter(pa.array(good)).select(["a", "b"])
+        hand_back()
 
     own, pairs = classes.select("content", "signature"), small(cut_lineage(pairs))
     left = own.select(F.col("content").alias("a"), F.col("signature").alias("sa"))

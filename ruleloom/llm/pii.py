@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ruleloom.llm.common import fresh, slices, small
+from ruleloom.llm.common import BROADCAST_ROWS, fresh, hand_back, kept_state, slices, small, with_columns
 from ruleloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -135,6 +134,7 @@ FACTS = "row long, doc_id long, text_hash long, base array<struct<kind:string,st
 
 def _facts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window: int | None, held: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows with the documents that each term occurs in."""
+    kept_state(None)
     number, counts = TaskContext.get().partitionId() << 33, Counter()
 
     def flushed() -> pa.RecordBatch:
@@ -163,6 +163,7 @@ def _facts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window: int | N
             if len(counts) > held:
                 yield flushed()
     yield flushed()
+    hand_back()
 
 
 def facts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW) -> DataFrame:
@@ -274,21 +275,26 @@ def sanitised(text: str | None, more: list[Span]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(T.StringType())
-def _replace(texts: pd.Series, more: pd.Series) -> pd.Series:
+def _replace(texts: list, more: list) -> dict:
     spans = ([] if m is None else [(s["kind"], s["start"], s["end"]) for s in m] for m in more)
-    return pd.Series([sanitised(t, m) for t, m in zip(texts, spans)], dtype=object)
+    return {"_clean": [sanitised(t, m) for t, m in zip(texts, spans)]}
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of `df` with personal data and the terms that disclose it replaced.
 
-    Other columns pass through; null texts stay null.
+    Other columns pass through; null texts stay null, empty ones empty; repeated rows get
+    the same; very long texts are read whole; an empty table stays empty.
     """
     spans = find_personal_data(df, id_col, text_col, **limits).where("more is not null").dropDuplicates(["doc_id", "text_hash"])
     ident, key, more = (fresh(df, n) for n in ("ident", "text_key", "more"))
-    spans = small(cut_lineage(spans.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(key), F.col("more").alias(more))))
+    spans = cut_lineage(spans.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(key), F.col("more").alias(more)))
+    # A row carries all spans of its document, so spans are counted and not rows.
+    few = (spans.agg(F.sum(F.size(more))).first()[0] or 0) <= BROADCAST_ROWS
+    spans = F.broadcast(spans) if few else spans
     keyed = df.withColumn(key, F.xxhash64(text_col))
     same = F.col(id_col).cast("bigint").eqNullSafe(spans[ident]) & (keyed[key] == spans[key])
-    joined = keyed.join(spans, same, "left")
-    return joined.select(*[_replace(F.col(f"`{c}`"), more).alias(c) if c == text_col else keyed[f"`{c}`"] for c in df.columns])
+    joined = keyed.join(spans, same, "left").select(*[keyed[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(df.columns)], more)
+    text = f"_{df.columns.index(text_col)}"
+    done = with_columns(joined, _replace, "_clean string", [text, more], text)
+    return done.select(*[F.col("_clean" if c == text_col else f"_{i}").alias(c) for i, c in enumerate(df.columns)])

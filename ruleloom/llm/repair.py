@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import kept_state, slices
+from ruleloom.llm.common import hand_back, kept_state, slices
 from ruleloom.session import cut_lineage
 
 RATE = 20
@@ -232,7 +232,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [_pairs([search(t)] if w else ways(t)) for t, w in zip(turns, whole)]
         yield pa.RecordBatch.from_arrays([pa.array(conv_ids, pa.int64()), pa.array(places, pa.int64()), pa.array(found, WAYS_TYPE)], names=["conv_id", "place", "ways"])
     ways.cache_clear()
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = []
     if now is not None:
         yield _table([now.row()], names, types)
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def _digest() -> Column:

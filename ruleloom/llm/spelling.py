@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import kept_state, slices, small
+from ruleloom.llm.common import hand_back, kept_state, slices, small
 from ruleloom.session import cut_lineage
 
 RATE = 199
@@ -79,7 +79,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from rows()
                 held.clear()
     yield from rows()
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
@@ -356,7 +356,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = held[end:]
     if held:
         yield from block(held)
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def near_words(words: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleloom.llm.common import fresh, kept_state, slices
+from ruleloom.llm.common import fresh, hand_back, kept_state, slices, with_columns
 from ruleloom.llm.hashing import span_hashes
 
 SAMPLE_ROWS = 10_000
@@ -167,6 +167,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, owner = words(texts)
             rows = [np.unique(hashes[owner == i]).tobytes() for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.binary())], names=["toxic", "words"])
+    hand_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
@@ -204,6 +205,15 @@ def severity(model: Ordinal, text: Column | str) -> Column:
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal, text_col: str = "text", toxic_from: float = TOXIC_FROM) -> DataFrame:
-    """The rows of `docs` whose severity is below `toxic_from`; all columns pass through."""
-    mark = fresh(docs, "severity")
-    return docs.withColumn(mark, severity(model, text_col)["severity"]).where(F.col(f"`{mark}`") < toxic_from).drop(mark)
+    """The rows of `docs` whose severity is below `toxic_from`; all columns pass through.
+
+    Null and empty texts have what the thresholds alone say; repeated rows are judged
+    alike; very long texts are read whole, a slice of rows at a time; an empty table stays
+    empty.
+    """
+    clean = fresh(docs, "clean")
+
+    def judge(texts: list[str | None]) -> dict:
+        return {clean: model.above(model.sums(texts)).sum(axis=1) < toxic_from}
+
+    return with_columns(docs, judge, f"`{clean}` boolean", [text_col], text_col, keep=clean)
