@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.llm import linededup, neardup, packing, pii, toxicity
+from ruleloom.llm.common import bound_batches
 from ruleloom.session import cut_lineage
 
 
@@ -60,6 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each stored before the next one reads it."""
+    bound_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
