@@ -261,19 +261,21 @@ RISK_IDS = ("execution/shell::a", "objectives/persistence/x::b", "net/http::c",
 
 
 def finding_versions(spark, sf_dir):
-    """Findings of orders in two versions; some rules come, some go."""
-    li = read_table(spark, sf_dir, "lineitem")
-    rows = li.select(
-        F.concat(F.lit("o/"), "l_orderkey").alias("path"), F.concat(pick(F.col("l_partkey"), RISK_IDS), F.col("l_linenumber")).alias("rule_id"), "l_suppkey"
-    )
-    return rows.filter(F.col("l_suppkey") % 3 != 0), rows.filter(F.col("l_suppkey") % 4 != 0)
+    """Findings of orders in two versions: every row is in both, under another rule where its key says so."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rule = lambda by: F.concat(pick(F.col("l_partkey") + by, RISK_IDS), F.col("l_linenumber"))
+    version = lambda changed, by: li.select(F.concat(F.lit("o/"), "l_orderkey").alias("path"), F.when(changed, rule(by)).otherwise(rule(0)).alias("rule_id"))
+    return version(F.col("l_suppkey") % 3 == 0, 1), version(F.col("l_suppkey") % 4 == 0, 2)
+
+
+def _sql_version(changed: str, by: int) -> str:
+    rule = f"CASE WHEN {changed} THEN {sql_pick(f'(l_partkey + {by})', RISK_IDS)} ELSE {sql_pick('l_partkey', RISK_IDS)} END"
+    return f"SELECT 'o/' || l_orderkey AS path, {rule} || l_linenumber AS rule_id FROM lineitem"
 
 
-view("finding_versions", f"SELECT 'o/' || l_orderkey AS path, {sql_pick('l_partkey', RISK_IDS)} || l_linenumber AS rule_id, l_suppkey FROM lineitem")
-view("finding_items", """
-(SELECT path, rule_id, 'added' AS change FROM (SELECT path, rule_id FROM finding_versions WHERE l_suppkey % 4 <> 0 EXCEPT SELECT path, rule_id FROM finding_versions WHERE l_suppkey % 3 <> 0))
-UNION ALL (SELECT path, rule_id, 'removed' FROM (SELECT path, rule_id FROM finding_versions WHERE l_suppkey % 3 <> 0 EXCEPT SELECT path, rule_id FROM finding_versions WHERE l_suppkey % 4 <> 0))""",
-     "finding_versions")
+view("finding_items", f"""
+(SELECT path, rule_id, 'added' AS change FROM ({_sql_version('l_suppkey % 4 = 0', 2)} EXCEPT {_sql_version('l_suppkey % 3 = 0', 1)}))
+UNION ALL (SELECT path, rule_id, 'removed' FROM ({_sql_version('l_suppkey % 3 = 0', 1)} EXCEPT {_sql_version('l_suppkey % 4 = 0', 2)}))""")
 _high = "regexp_matches(rule_id, '^(" + "|".join(K.RISK_PREFIXES) + ")')"
 view("finding_changes", f"""
 SELECT path, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'removed') AS removed,
