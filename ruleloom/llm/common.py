@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ruleloom.llm import hashing
+
 SLICE_BYTES = 1 << 20
 # Arrow batches by bytes, which the JVM holds twice; 10,000 long texts are far more.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 BROADCAST_ROWS = 400_000
 
 
@@ -111,6 +114,8 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 def hand_back() -> None:
     """Give what a task no longer uses back to the system: its Python worker goes on living."""
+    hashing.forget()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)

@@ -15,13 +15,18 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, POWER, np.uint64), np.full(size, INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def forget() -> None:
+    """Drop the powers kept for the next slice; those for long texts are large."""
+    _powers.cache_clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread over all 64 bits, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
