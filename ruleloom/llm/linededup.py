@@ -3,8 +3,8 @@
 A text is cut behind every sentence end and line end; whole lines would miss a passage
 that was pasted into the middle of one. Units are normalised and hashed, digests are
 grouped over all documents, and a unit that an earlier document holds (or the same
-document, further up) is repeated. Runs of repeated units that make up enough words are
-removed; spans refer to the text as it was.
+document, further up) is repeated. Runs of repeated units are removed from five words on,
+below which sentences are alike by chance; spans refer to the text as it was.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm.common import fresh, map_slices, with_columns
+from ruleloom.session import cut_lineage
 
-MIN_WORDS = 20
+MIN_WORDS = 5
 # Anything up to a sentence or line end, with the signs and blanks behind it; then the rest.
 UNIT = r"[^.!?\n]*[.!?\n][.!? \t\r\n]*|[^.!?\n]+"
 BLANK = r"[ \t\r\n]+"
@@ -98,13 +99,15 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     empty and blank ones have no units; other columns pass through; an empty table stays
     empty. A document may end up with an empty text.
 
-    A digest that a large part of the documents holds is counted before it is shuffled,
-    and is a skewed join key after, which Spark splits.
+    Digests are stored, so that texts are cut and hashed once for counting and joining, and
+    a second time for the cuts. A digest that a large part of the documents holds is counted
+    before it is shuffled, and is a skewed join key after, which Spark splits while adaptive
+    execution is on.
     """
     rank, key, found = (fresh(df, n) for n in ("rank", "row_key", "found"))
     text_hash: Column = F.xxhash64(text_col)
     ranked = df.withColumn(rank, F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))).withColumn(key, text_hash)
-    digests = map_slices(ranked.select(rank, key, text_col), _digests, "rank long, row_key long, high long, low long", 2)
+    digests = cut_lineage(map_slices(ranked.select(rank, key, text_col), _digests, "rank long, row_key long, high long, low long", 2))
     first = digests.groupBy("high", "low").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
     later = digests.join(first, ["high", "low"]).where("rank > first")
     by_row = later.distinct().groupBy("rank", "row_key").agg(F.collect_list(F.struct("low", "first")).alias("repeats"))
@@ -119,6 +122,7 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return done.select(*columns, F.col("_removed").alias(removed_col))
 
 
+# Five words are the least that is cut, as for shingles.
 SPANS_SQL = f"""
 WITH cut AS (SELECT doc_id, regexp_extract_all(text, '{UNIT}') AS units FROM documents),
 rows_ AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS k FROM cut),
@@ -134,5 +138,5 @@ again AS (SELECT *, words > 0 AND (doc_id > first_doc OR k > first_k) AS rep FRO
 runs AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM again WHERE rep)
 SELECT doc_id, CAST(min(stop - size) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS "end",
        CAST(sum(words) AS BIGINT) AS words, arg_min(first_doc, k) AS kept_doc_id
-FROM runs GROUP BY doc_id, run HAVING sum(words) >= {MIN_WORDS}
+FROM runs GROUP BY doc_id, run HAVING sum(words) >= 5
 """
