@@ -4,9 +4,11 @@ Four kinds are found by their form. Around them, corpus statistics tell which wo
 disclose an entity: the share of the entity's information that a word carries is its
 pointwise mutual information with the entity over the entity's information content, both
 from counts over all documents. Words above one threshold are replaced by what they are
-in general, those above a higher one are removed. A word is judged only where it stands
-near the entity, or with WHOLE anywhere in a document that holds the entity and from one
-such document on; texts without personal data stay as they are.
+in general, those above a higher one are removed. The share is shrunk by the number k of
+documents behind it, to k / (k + PRIOR): a word of one document is alone with the entity by
+chance, so one document can have a word generalised and two can have it removed. A word is
+judged anywhere in a document that holds the entity, or in a window around it; texts
+without personal data stay as they are.
 """
 
 from __future__ import annotations
@@ -30,12 +32,11 @@ from ruleloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("general", "remove")
-WINDOW = 10
-MIN_SUPPORT = 3
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.5, 0.8
 HELD_TERMS = 300_000
-# Every word of a document with an entity, judged from the first document on.
-WHOLE = {"window": None, "min_support": 1}
+# The share as counted, however few documents are behind it.
+UNSHRUNK = {"prior": 0.0}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The patterns of the four kinds, in forms that do not look at a sign twice: no match may
@@ -166,7 +167,7 @@ def _facts(batches: Iterator[pa.RecordBatch], schema: pa.Schema, window: int | N
     hand_back()
 
 
-def facts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW) -> DataFrame:
+def facts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None) -> DataFrame:
     """One pass over the texts, stored: spans and the words near them, and term counts.
 
     Without a window `near` has all words of a document with spans once, and `entities`
@@ -199,18 +200,18 @@ def meetings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return holders, words.drop("entity").join(small(holders), "row").select("row", "entity", "term", "start", "end")
 
 
-def disclosing(found: DataFrame, met: tuple[DataFrame, DataFrame], min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(found: DataFrame, met: tuple[DataFrame, DataFrame], prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, share, action): the terms that give an entity away.
 
     With N documents, d(e) and d(t) that hold entity and term, and d(e, t) where the term
-    is near the entity (or anywhere beside it, see `meetings`), share = log(N d(e,t) / (d(e) d(t))) / log(N / d(e)), 1 at most.
-    Terms near the entity in fewer than `min_support` documents are left alone: there is
-    no evidence. An entity in every document has nothing to disclose.
+    is near the entity (or anywhere beside it, see `meetings`), share = log(N d(e,t) / (d(e) d(t))) / log(N / d(e)), 1 at most,
+    times d(e, t) / (d(e, t) + `prior`). It is compared to nine digits, so that a share at a
+    threshold is not a matter of rounding. An entity in every document has nothing to disclose.
     """
     docs = found.where("term is null")
     total = docs.agg(F.count("*").cast("double")).first()[0]
     holders, near = met
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= min_support)
+    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
     entities = holders.groupBy("entity").agg(F.count("*").alias("with_entity"))
     terms = found.where("term is not null").groupBy("term").agg(F.sum("documents").alias("with_term"))
     known = cut_lineage(pairs.join(entities, "entity"))
@@ -220,7 +221,8 @@ def disclosing(found: DataFrame, met: tuple[DataFrame, DataFrame], min_support:
     joined = (terms if few is not known else cut_lineage(terms)).join(few, "term")
     most = F.greatest("with_term", "together")
     share = F.log(F.lit(total) * F.col("together") / (F.col("with_entity") * most)) / F.log(F.lit(total) / F.col("with_entity"))
-    judged = joined.where(F.col("with_entity") < total).select("entity", "term", share.alias("share"))
+    shrunk = F.round(share * F.col("together") / (F.col("together") + F.lit(float(prior))), 9)
+    judged = joined.where(F.col("with_entity") < total).select("entity", "term", shrunk.alias("share"))
     action = F.when(F.col("share") >= remove, "remove").otherwise("general")
     return judged.where(F.col("share") >= generalise).withColumn("action", action)
 
@@ -233,7 +235,7 @@ def term_spans(near: DataFrame, terms: DataFrame) -> DataFrame:
     return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
 
 
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW, **limits) -> DataFrame:
+def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None, **limits) -> DataFrame:
     """(doc_id, text_hash, base, more): all spans of each row; `more` is null without any.
 
     Null and empty texts have no spans. Every row is judged by itself, repeated ones

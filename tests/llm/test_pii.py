@@ -63,28 +63,31 @@ def documents():
     return [*rows, (900, None), (901, ""), (3, rows[0][1]), (None, rows[5][1])]
 
 
-def brute(rows):
+def brute(rows, window=None, prior=pii.PRIOR):
     base = [plain(t) for _, t in rows]
     near, with_term, with_entity, together = [], Counter(), Counter(), Counter()
     for (_, text), spans in zip(rows, base):
         text = text or ""
         with_term.update(set(re.findall(r"\w+", text.lower())))
         words = [m.span() for m in re.finditer(r"\w+", text) if not any(m.start() < b and a < m.end() for _, a, b in spans)]
-        found = set()
+        found, names = set(), set()
         for kind, a, b in spans:
             name = (kind, re.sub("[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower())
-            left, right = [w for w in words if w[0] < a][-10:], [w for w in words if w[0] >= b][:10]
-            found |= {(name, text[s:e].lower(), s, e) for s, e in left + right}
+            left, right = [w for w in words if w[0] < a], [w for w in words if w[0] >= b]
+            chosen = left + right if window is None else left[-window:] + right[:window]
+            found |= {(name, text[s:e].lower(), s, e) for s, e in chosen}
+            names.add(name)
         near.append(found)
-        with_entity.update({f[0] for f in found})
+        with_entity.update(names if window is None else {f[0] for f in found})
         together.update({f[:2] for f in found})
     n, out = len(rows), []
     for (doc_id, _), spans, found in zip(rows, base, near):
         more = {}
         for who, term, s, e in found:
             k = together[who, term]
-            if k >= 3 and with_entity[who] < n:
+            if with_entity[who] < n:
                 share = math.log(n * k / (with_entity[who] * max(with_term[term], k))) / math.log(n / with_entity[who])
+                share = round(share * k / (k + prior), 9)
                 if share >= 0.5:
                     more[s, e] = max(more.get((s, e), ""), "remove" if share >= 0.8 else "general")
         every = [*spans, *sorted((kind, s, e) for (s, e), kind in more.items())]
@@ -128,37 +131,25 @@ def test_overlapping_spans():
     assert pii.sanitised("x Bob 7", [("general", 2, 5), ("remove", 6, 7)]) == "x [NAME] "
 
 
-def brute_whole(rows):
-    base = [plain(t) for _, t in rows]
-    found, n, out = [], len(rows), []
-    for (_, text), spans in zip(rows, base):
-        names = {(k, re.sub("[^0-9]", "", text[a:b]) if k in ("card", "phone") else text[a:b].lower()) for k, a, b in spans}
-        words = [m.span() for m in re.finditer(r"\w+", text or "") if not any(m.start() < b and a < m.end() for _, a, b in spans)]
-        found.append((names, words))
-    with_term = Counter(t for _, text in rows for t in set(re.findall(r"\w+", (text or "").lower())))
-    with_entity = Counter(e for names, _ in found for e in names)
-    together = Counter((e, t) for (_, text), (names, words) in zip(rows, found) for t in {text[a:b].lower() for a, b in words} for e in names)
-    for (doc_id, text), spans, (names, words) in zip(rows, base, found):
-        more = []
-        for a, b in words:
-            t = text[a:b].lower()
-            shares = [math.log(n * together[e, t] / (with_entity[e] * max(with_term[t], together[e, t]))) / math.log(n / with_entity[e]) for e in names]
-            if max(shares, default=0) >= 0.5:
-                more.append(("remove" if max(shares) >= 0.8 else "general", a, b))
-        out.append((doc_id, pii.spans_text([*spans, *sorted(more)])))
-    return sorted(out, key=str)
+def test_words_in_a_window_match_brute_force(spark):
+    rows = documents()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pii.digest(pii.find_personal_data(df, window=10)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, window=10) != brute(rows)
 
 
 @pytest.mark.parametrize("most", [400_000, 0])
-def test_whole_documents_match_brute_force(spark, folder, monkeypatch, most):
+def test_evidence_of_one_document(spark, folder, monkeypatch, most):
     monkeypatch.setattr(pii, "small", lambda df: df if most == 0 else small(df))
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
     far = "alone.person@one.example.org " + "common " * 40 + "Quartermaine " + "common " * 40 + "10.9.8.7 10.9.8.6"
     rows = [*documents(), (700, far), (701, "nobody common here")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(((r.doc_id, r.spans) for r in RUN["op5_whole_documents"](spark, folder(documents=df)).collect()), key=str)
-    assert got == brute_whole(rows)
-    # One document, over ten words away: the windowed query with its least evidence has nothing.
-    at = far.index("Quartermaine")
-    assert f"remove:{at}:{at + 12}" in dict(got)[700] and ":" not in dict(got)[701]
-    clean = {r.doc_id: r.text for r in pii.sanitise(df, **pii.WHOLE).collect()}
-    assert "Quartermaine" not in clean[700] and clean[701] == "nobody common here"
+    at, where = far.index("Quartermaine"), folder(documents=df)
+    for name, prior, action in (("op5_personal_data", pii.PRIOR, "general"), ("op5_whole_documents", 0.0, "remove")):
+        got = sorted((tuple(r) for r in RUN[name](spark, where).collect()), key=str)
+        assert got == brute(rows, prior=prior)
+        spans = {r[0]: r[-1] for r in got}
+        assert f"{action}:{at}:{at + 12}" in spans[700] and ":" not in spans[701]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "[NAME]" in clean[700] and "Quartermaine" not in clean[700] and clean[701] == "nobody common here"
