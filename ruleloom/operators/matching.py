@@ -208,6 +208,18 @@ def applicable(files: DataFrame, rule_types: DataFrame) -> DataFrame:
     return files.join(F.broadcast(pairs) if is_small(pairs) else pairs, "file_type")
 
 
+def applicable_counts(files: DataFrame, rule_types: DataFrame) -> DataFrame:
+    """(file_id, n_rules, first_rule): how many rules apply to a file, and the least of them.
+
+    Files of one type share their rules: rules meet the types, are counted there, and files
+    join the counts of their type, so no file is paired with each of its rules.
+    """
+    by_type = applicable(files.select("file_type").distinct(), rule_types).groupBy("file_type")
+    counted = by_type.agg(F.count("*").alias("n_rules"), F.min("rule_id").alias("first_rule"))
+    each = files.join(F.broadcast(counted) if is_small(counted) else counted, "file_type")
+    return each.groupBy("file_id").agg(F.sum("n_rules").alias("n_rules"), F.min("first_rule").alias("first_rule"))
+
+
 def resolve_references(refs: DataFrame, known: DataFrame) -> DataFrame:
     """Adds `target_id` for every id a reference stands for.
 

@@ -91,8 +91,7 @@ def applicable_rules(spark, sf_dir):
     rules = read_table(spark, sf_dir, "part").select(
         F.concat(F.lit("r"), "p_partkey").alias("rule_id"), pick(F.col("p_partkey"), RULE_TYPES).alias("file_type")
     )
-    pairs = matching.applicable(files(spark, sf_dir).select("file_id", "file_type"), rules)
-    return pairs.groupBy("file_id").agg(F.count("*").alias("n_rules"), F.min("rule_id").alias("first_rule"))
+    return matching.applicable_counts(files(spark, sf_dir).select("file_id", "file_type"), rules)
 
 
 @query("join7_symbol_capability", """

@@ -280,6 +280,17 @@ def test_one_edit_pairs(spark):
     assert sorted(column(pairs, "a")) == ["preact", "reac", "reactt", "reakt"]
 
 
+def test_applicable_rules_are_counted_by_type(spark):
+    """Repeated files and rules, a file of two types, types without rules and none; rules are not paired with every file."""
+    files_ = local_table(spark, [(i, ["en", "de", None, "xx"][i % 4]) for i in range(2000)] + [(0, "de"), (4, "en")], "file_id bigint, file_type string")
+    rules = local_table(spark, [(f"r{i}", ["en", "de", "all", "fr", None][i % 5]) for i in range(3000)] + [("r2", "all"), ("r5", "en")], "rule_id string, file_type string")
+    got = {r["file_id"]: (r["n_rules"], r["first_rule"]) for r in matching.applicable_counts(files_, rules).collect()}
+    mine = {t: sorted({f"r{i}" for i in range(3000) if i % 5 == k or i % 5 == 2}) for k, t in enumerate(("en", "de"))}
+    mine["xx"] = sorted({f"r{i}" for i in range(3000) if i % 5 == 2})
+    want = {i: (len(mine[t]), mine[t][0]) for i in range(2000) if (t := ["en", "de", None, "xx"][i % 4])}
+    assert got == want | {0: (len(mine["en"]) + len(mine["de"]), "r0"), 4: (2 * len(mine["en"]), "r0")}
+
+
 def test_similar_names_against_brute_force(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcd") for _ in range(rng.choice([10, 21, 34]))) for _ in range(30)]
