@@ -101,54 +101,103 @@ def _allowed_edits(name: Column) -> Column:
     return F.floor(F.char_length(name) / 10).cast("int")
 
 
+# Names under this length differ by two edits at most and meet by the forms with as many characters left out.
+SPELLED_LENGTH = 30
+
+
+def _spelled(name: Column) -> Column:
+    """A name under SPELLED_LENGTH and its forms with up to as many characters left out as edits are allowed."""
+    n = F.char_length(name)
+    head, tail = (lambda i: F.substr(name, F.lit(1), i - 1)), (lambda i: F.substr(name, i + 1))
+    places = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places(F.lit(1), n), lambda i: F.concat(head(i), tail(i)))
+    two = F.transform(places(F.lit(1), n - 1), lambda i: F.transform(places(i + 1, n), lambda j: F.concat(head(i), F.substr(name, i + 1, j - i - 1), tail(j))))
+    own, k = F.array(name), _allowed_edits(name)
+    return F.array_distinct(F.when(k == 0, own).when(k == 1, F.concat(own, one)).otherwise(F.concat(own, one, F.flatten(two))))
+
+
+def _spelled_pairs(r: DataFrame, a: DataFrame) -> DataFrame:
+    """Pairs of rows in one directory whose names, both under SPELLED_LENGTH, may be similar.
+
+    Names within k edits hold a common subsequence that lacks at most k characters of the
+    longer one, so they share a form whatever the names of a directory have in common. Only
+    hashes of forms and paths are shuffled; equal hashes add candidates, which are tested.
+    The forms are merged: by the size of the names alone they would be sent to every task.
+    """
+
+    def keyed(df: DataFrame, path: str, name: str) -> DataFrame:
+        # Rows are short and forms many, so the few tasks of a list of names are spread.
+        short = df.filter(F.char_length(name).between(1, SPELLED_LENGTH - 1)).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+        forms = short.select(F.xxhash64(path).alias(f"_{path}"), "dir", F.explode(_spelled(F.col(name))).alias("_form"))
+        return forms.select(f"_{path}", F.xxhash64("dir", "_form").alias("_key"))
+
+    near = keyed(r, "baseline_path", "r_name").join(keyed(a, "target_path", "a_name").hint("merge"), "_key").select("_baseline_path", "_target_path").distinct()
+    found = near.join(r.withColumn("_baseline_path", F.xxhash64("baseline_path")), "_baseline_path")
+    both = found.join(a.withColumn("_target_path", F.xxhash64("target_path")).withColumnRenamed("dir", "_dir"), "_target_path")
+    return both.filter(F.col("dir") == F.col("_dir")).select("baseline_path", "r_name", "target_path", "a_name")
+
+
+def _piece_count(length: Column) -> Column:
+    """One more piece than edits allowed to a name and a partner that may be longer."""
+    return (F.floor(length / 10) + 2).cast("int")
+
+
 def _pieces(name: Column, length: Column) -> Column:
-    """(piece number, text, start) of a name cut into one more piece than allowed edits."""
-    k = F.floor(length / 10).cast("int")
-    step = F.floor(length / (k + 1)).cast("int")
+    """(piece number, text) of a name cut into pieces."""
+    last = _piece_count(length) - 1
+    step = F.floor(length / (last + 1)).cast("int")
     return F.transform(
-        F.sequence(F.lit(0), k),
+        F.sequence(F.lit(0), last),
         lambda i: F.struct(
             i.alias("i"),
-            (i * step + 1).alias("at"),
-            F.when(i == k, F.substr(name, i * step + 1)).otherwise(F.substr(name, i * step + 1, step)).alias("piece"),
+            F.when(i == last, F.substr(name, i * step + 1)).otherwise(F.substr(name, i * step + 1, step)).alias("piece"),
         ),
     )
 
 
-def similar_names(removed: DataFrame, added: DataFrame) -> DataFrame:
-    """Pairs in one directory whose names are at least 0.9 similar.
+def _piece_pairs(r: DataFrame, a: DataFrame) -> DataFrame:
+    """Pairs of rows in one directory that share a piece, one of the names at least SPELLED_LENGTH long.
 
-    Names within k edits share at least one of k + 1 pieces, shifted by at most k. Pairs
-    are found by an equi-join on directory, length, piece number and piece, and the edit
-    distance is tested inside the join, so pairs that fail are never written.
+    Names within k edits share at least one of k + 1 pieces, shifted by at most k. Pairs are
+    found by an equi-join on directory, length, piece number and piece.
     """
-    r, a = _sides(removed, added)
-    r = r.withColumns({"dir": directory(F.col("baseline_path")), "r_name": basename(F.col("baseline_path"))})
-    a = a.withColumns({"dir": directory(F.col("target_path")), "a_name": basename(F.col("target_path"))})
     n_r, n_a = F.char_length("r_name"), F.char_length("a_name")
     # The removed side is cut for each length its partner may have.
     probe = (
         r.withColumn("_len", F.explode(F.sequence(n_r - _allowed_edits(F.col("r_name")) - 1, n_r + _allowed_edits(F.col("r_name")) + 1)))
-        .filter(F.col("_len") >= 1)
+        .filter((F.col("_len") >= 1) & (F.greatest(n_r, F.col("_len")) >= SPELLED_LENGTH))
         .withColumn("_k", F.floor(F.greatest(n_r, F.col("_len")) / 10).cast("int"))
     )
-    step = F.floor(F.col("_len") / (F.floor(F.col("_len") / 10) + 1)).cast("int")
+    last_i = _piece_count(F.col("_len")) - 1
+    step = F.floor(F.col("_len") / (last_i + 1)).cast("int")
     shifts = (
-        probe.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(F.col("_len") / 10).cast("int"))))
+        probe.withColumn("_i", F.explode(F.sequence(F.lit(0), last_i)))
         .withColumn("_shift", F.explode(F.sequence(-F.col("_k"), F.col("_k"))))
         .withColumn("_at", F.col("_i") * step + 1 + F.col("_shift"))
         .filter(F.col("_at") >= 1)
     )
-    last = F.col("_i") == F.floor(F.col("_len") / 10)
-    size = F.when(last, F.col("_len") - F.col("_i") * step).otherwise(step)
+    size = F.when(F.col("_i") == last_i, F.col("_len") - F.col("_i") * step).otherwise(step)
     keyed = shifts.withColumn("_piece", F.substr("r_name", F.col("_at"), size.cast("int"))).select(
         "baseline_path", "r_name", "dir", "_len", "_i", "_piece"
     ).distinct()
     cut = a.withColumn("_len", n_a).withColumn("_p", F.explode(_pieces(F.col("a_name"), n_a)))
     cut = cut.select("target_path", "a_name", "dir", "_len", F.col("_p.i").alias("_i"), F.col("_p.piece").alias("_piece"))
+    return keyed.join(cut.hint("merge"), ["dir", "_len", "_i", "_piece"]).select("baseline_path", "r_name", "target_path", "a_name")
+
+
+def similar_names(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """Pairs in one directory whose names are at least 0.9 similar.
+
+    Short names meet by forms with characters left out, longer ones by pieces, both by
+    equi-joins; the edit distance is tested behind the join, so pairs that fail are never
+    written.
+    """
+    r, a = _sides(removed, added)
+    r = r.withColumns({"dir": directory(F.col("baseline_path")), "r_name": basename(F.col("baseline_path"))})
+    a = a.withColumns({"dir": directory(F.col("target_path")), "a_name": basename(F.col("target_path"))})
     score = T.normalized_similarity(F.col("r_name"), F.col("a_name"))
     return (
-        keyed.join(cut, ["dir", "_len", "_i", "_piece"])
+        _spelled_pairs(r, a).unionByName(_piece_pairs(r, a))
         .filter(score >= MIN_SIMILARITY)
         .select("baseline_path", "target_path", F.round(score, 6).alias("score"))
         .distinct()

@@ -314,6 +314,17 @@ def test_similar_names_against_brute_force(spark):
     assert {(r["baseline_path"][2:], r["target_path"][2:]) for r in got.collect()} == want
 
 
+def test_similar_names_of_one_template(spark):
+    """Lengths on both sides of the next allowed edit; names that share most pieces are not compared with each other."""
+    pairs = [("abcdefghij", "abcdefghi"), ("abcdefghijklmnopqrst", "bcdefghijklmnopqrsu"), ("abcdefghijklmnopqrstuvwxyz0123", "zabcdefghijklmnopqrstuvwxyz01"),
+             ("abcdefghijklmnopqrst", "cdefghijklmnopqrst"), ("a", "a"), ("abc", "abd"), ("abcdefghijklmnopqrstuvwxyz012", "abXdefghijklmnopqrstuvwXyz0123")]
+    got = diff.similar_names(values(spark, [f"{i}/{r}" for i, (r, _) in enumerate(pairs)], "path"), values(spark, [f"{i}/{a}" for i, (_, a) in enumerate(pairs)], "path"))
+    assert {r["baseline_path"][0]: r["score"] for r in got.collect()} == {"0": 0.9, "1": 0.9, "2": 0.9, "3": 0.9, "4": 1.0, "6": 0.9}
+    many = [f"d/long-report-name-{i * 7919 % 1000003:06d}.md" for i in range(3000)]
+    near = diff._spelled_pairs(*(df.withColumns({"dir": diff.directory(F.col(p)), n: diff.basename(F.col(p))}) for df, p, n in zip(diff._sides(values(spark, many[:1500], "path"), values(spark, many[1500:], "path")), ("baseline_path", "target_path"), ("r_name", "a_name"))))
+    assert near.count() < 40_000  # of 2,250,000 that share two of three pieces
+
+
 def test_container_tree_numbers_members(spark):
     members = local_table(spark, [(1, 70000, "b"), (1, 5, "a!!x"), (1, 200000, "c")], "container_id bigint, file_id bigint, path string")
     roots = local_table(spark, [(1, "r.zip")], "container_id bigint, root_path string")
