@@ -16,13 +16,13 @@ structure   key the feature
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
-from ruleloom.session import local_table
 
 COLUMNS = {"file_id": None, "kind": "string", "key": "string", "text": "string", "number": "double", "extra": "double", "offset": "bigint"}
 
@@ -99,36 +99,61 @@ def path_steps(path: str) -> list[str]:
     return [*out, part] if part else out
 
 
+def _below(values: Column, step: str) -> Column:
+    """What lies one step below some parsed values; a null is no value."""
+    none = F.array().cast("array<variant>")
+    if step == "[*]":
+        found = F.flatten(F.transform(values, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)))
+    elif step.startswith("["):
+        found = F.transform(values, lambda v: F.try_variant_get(v, f"${step}", "variant"))
+    else:
+        name = step.removeprefix(".")
+        plain = re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name)  # other names are no path of a parsed value
+        field = lambda v: F.try_variant_get(v, f"$.{name}", "variant") if plain else F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
+        found = F.transform(values, field)
+    return F.filter(found, lambda v: v.isNotNull() & ~F.is_variant_null(v))
+
+
+def _kv_fact(path: str, text: Column, number: Column) -> Column:
+    return F.struct(F.lit(path).alias("key"), text.alias("text"), number.cast("double").alias("number"))
+
+
+def _kv_text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+
+
+def _kv_values(values: Column, path: str) -> Column:
+    """The facts of the values at a path: each value, then the items of those that are arrays."""
+    kind, items, fields = F.schema_of_variant, "array<variant>", "map<string,variant>"
+    size = lambda v: F.when(kind(v).startswith("ARRAY"), F.size(F.try_variant_get(v, "$", items))).when(kind(v).startswith("OBJECT"), F.size(F.try_variant_get(v, "$", fields)))
+    own = F.transform(values, lambda v: _kv_fact(path, _kv_text(v), size(v)))
+    none = F.lit(None).cast("double")
+    return F.concat(own, F.transform(_below(values, "[*]"), lambda v: _kv_fact(path, _kv_text(v), none)))
+
+
 def kv_facts(data: DataFrame, paths: list[str]) -> DataFrame:
-    """Values at the given paths of data(file_id, json), each text parsed once.
+    """Values at the given paths of data(file_id, json), each text read and parsed once.
 
-    Levels of the parsed value are exploded one below the other, as deep as the longest
-    path; only what lies on the way to some path goes on, found by a join with the steps
-    of the catalog. `[*]` stands for every place of an array, `[n]` for one. Elements of an
-    array at a path are values of it too; a null is no value, and text that does not parse
-    has none.
+    The steps of the catalog's paths are taken as arrays of parsed values in the row, those
+    that paths have in common once, and one explode makes the facts. `[*]` stands for every
+    place of an array, `[n]` for one. Elements of an array at a path are values of it too; a
+    null is no value, and text that does not parse has none.
     """
-    parsed = data.select("file_id", F.try_parse_json("json").alias("v")).where("v is not null")
-    out = [_facts(parsed, "kv", key=F.lit(""))]
-    steps = [path_steps(p) for p in paths]
-    wanted = {"".join(s) for s in steps}
-    frontier = parsed.withColumn("at", F.lit(""))
-    spark = data.sparkSession
-    for depth in range(1, max(map(len, steps), default=0) + 1):
-        ways = sorted({("".join(s[: depth - 1]), s[depth - 1], "".join(s[:depth])) for s in steps if len(s) >= depth})
-        catalog = local_table(spark, [(*w, w[2] in wanted) for w in ways], "at string, step string, next string, is_path boolean")
-        below = spark.sql("SELECT f.file_id, f.at, e.pos, e.key, e.value AS v FROM {f} AS f, LATERAL variant_explode(f.v) AS e", f=frontier)
-        name = F.when(F.col("at") == "", F.col("key")).otherwise(F.concat(F.lit("."), "key"))
-        place = F.array(F.lit("[*]"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        stepped = below.withColumn("step", F.explode(F.when(F.col("key").isNull(), place).otherwise(F.array(name))))
-        known = stepped.join(F.broadcast(catalog), ["at", "step"]).where(~F.is_variant_null("v"))
-        frontier = known.select("file_id", F.col("next").alias("at"), "v")
-        found = known.where("is_path").select("file_id", F.col("next").alias("path"), "v")
-        text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v"))
-        kind = F.schema_of_variant("v")
-        size = F.when(kind.startswith("ARRAY"), F.json_array_length(F.to_json("v"))).when(kind.startswith("OBJECT"), F.size(F.json_object_keys(F.to_json("v"))))
-        out.append(_facts(found, "kv", key="path", text=text, number=size))
-        items = found.where(kind.startswith("ARRAY"))
-        each = spark.sql("SELECT f.file_id, f.path, e.value AS v FROM {f} AS f, LATERAL variant_explode(f.v) AS e", f=items).where(~F.is_variant_null("v"))
-        out.append(_facts(each, "kv", key="path", text=text))
-    return together(*out)
+    tasks = max(data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism)
+    # Parsing costs more than a shuffle of the texts, whose scan may have few row groups.
+    parsed = data.select("file_id", "json").repartition(tasks).select("file_id", F.try_parse_json("json").alias("v"))
+    at = {"": "v"}
+    steps = {"".join(some): some for path in paths if (some := path_steps(path))}
+    levels: dict[int, dict[str, tuple[str, str]]] = {}
+    for some in steps.values():
+        for depth in range(1, len(some) + 1):
+            levels.setdefault(depth, {})["".join(some[:depth])] = ("".join(some[: depth - 1]), some[depth - 1])
+    rows = parsed.withColumn("v", F.array_compact(F.array("v")))
+    for depth in sorted(levels):
+        new = {place: f"_at{len(at) + i}" for i, place in enumerate(sorted(levels[depth]))}
+        rows = rows.withColumns({column: _below(F.col(at[levels[depth][place][0]]), levels[depth][place][1]) for place, column in new.items()})
+        at |= new
+    root = F.transform("v", lambda v: _kv_fact("", F.lit(None).cast("string"), F.lit(None)))
+    every = F.concat(root, *[_kv_values(F.col(at[place]), place) for place in sorted(steps)])
+    facts = rows.select("file_id", F.explode(every).alias("f"))
+    return _facts(facts.select("file_id", F.col("f.key").alias("_key"), F.col("f.text").alias("_text"), F.col("f.number").alias("_number")), "kv", key="_key", text="_text", number="_number")

@@ -206,3 +206,17 @@ def test_a_directory_of_many_ids_is_one_target(spark):
     findings = [(f, f"metadata/import/npm::p{i}", None, None) for f in (1, 2) for i in range(f, 3000, 2)]
     rules = {"d::imports": {"all": ["metadata/import/npm"]}, "d::one": {"any": ["metadata/import/npm::p7"]}}
     assert {(r["file_id"], r["rule_id"]) for r in evaluate(spark, rules, findings).collect()} == {(1, "d::imports"), (2, "d::imports"), (1, "d::one")}
+
+
+def test_structured_facts_parse_each_text_once(spark):
+    """Steps over nulls, scalars and odd names; the plan reads its input in one place."""
+    texts = ['{"a":{"b c":1,"n":null},"d":[{"n":"x"},5,null,{"n":["y",null]}]}', "[[1,2],[3]]", "bad{", None, "null", '{"d":{"n":"z"},"a":[]}']
+    data = local_table(spark, list(enumerate(texts)), "file_id bigint, json string")
+    found = FA.kv_facts(data, ["a.b c", "a.n", "a", "d[*].n", "d[3].n", "[*]", "[0][1]"])
+    got = sorted((r["file_id"], r["key"], r["text"] or "", r["number"]) for r in found.collect())
+    assert got == sorted([
+        (0, "", "", None), (1, "", "", None), (4, "", "", None), (5, "", "", None), (0, "a.b c", "1", None), (0, "a", '{"b c":1,"n":null}', 2.0), (0, "d[*].n", "x", None),
+        (0, "d[*].n", '["y",null]', 2.0), (0, "d[*].n", "y", None), (0, "d[3].n", '["y",null]', 2.0), (0, "d[3].n", "y", None),
+        (1, "[*]", "[1,2]", 2.0), (1, "[*]", "1", None), (1, "[*]", "2", None), (1, "[*]", "[3]", 1.0), (1, "[*]", "3", None), (1, "[0][1]", "2", None), (5, "a", "[]", 0.0),
+    ])
+    assert found._jdf.queryExecution().executedPlan().toString().count("LocalTableScan") <= 2
