@@ -12,7 +12,8 @@ probability after discounting. The counts of all lower orders follow from the hi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -30,7 +31,7 @@ FOLDS = 5
 HELD_OUT = 0
 # The learning documents of this remainder are kept apart once, to calibrate on.
 CALIBRATION = 1
-CALIBRATION_ROWS = 4000
+TEMPERATURES = np.geomspace(1, 1000, 61)
 # Share of a language's own texts that rejection may refuse.
 REJECTED = 0.001
 # Models of so many n-grams at most are sent to the tasks; larger ones stay tables.
@@ -280,40 +281,81 @@ def _entropies_by_join(docs: DataFrame, models: Models, text_col: str, size: str
     return joined.withColumn(size, F.coalesce(size, F.lit(0)).cast("long")).withColumn(cost, F.coalesce(cost, none))
 
 
-def _calibrate(models: Models, sample: list[tuple[str, int, list[float]]]) -> None:
+def _sums(df: DataFrame, terms: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """What `terms` gives for the batches of a table, added up; a task hands over its sums alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = terms(batch) + (0.0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    rows = df.mapInArrow(work, "sums array<double>").collect()
+    return np.array([math.fsum(values) for values in zip(*(r["sums"] for r in rows))])
+
+
+def _scored(batch: pa.RecordBatch, languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language, characters counted and bits under each language of some texts."""
+    index = {name: i for i, name in enumerate(languages)}
+    truth = np.array([index[name] for name in batch.column(0).to_pylist()], np.int64)
+    cost = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(languages))
+    return truth, batch.column(1).to_numpy(zero_copy_only=False).astype(float), cost
+
+
+def _by_language(truth: np.ndarray, columns: list[np.ndarray], n: int) -> np.ndarray:
+    return np.stack([np.bincount(truth, c, n) for c in columns])
+
+
+def _losses(batch: pa.RecordBatch, languages: list[str]) -> np.ndarray:
+    """Loss at each temperature, then rows, weights and weighted bits of each language."""
+    truth, size, cost = _scored(batch, languages)
+    odds = -(cost - cost.min(axis=1, keepdims=True)) * size[:, None] * np.log(2)
+    mine = np.arange(len(truth))
+    loss = [np.sum(np.log(np.exp(odds / t).sum(axis=1)) - odds[mine, truth] / t) for t in TEMPERATURES]
+    weight = np.sqrt(size)
+    return np.concatenate([loss, _by_language(truth, [np.ones_like(size), weight, weight * cost[mine, truth]], len(languages)).ravel()])
+
+
+def _squares(batch: pa.RecordBatch, languages: list[str], means: np.ndarray) -> np.ndarray:
+    """The sums that a line through squared distances from the mean over 1 / length needs."""
+    truth, size, cost = _scored(batch, languages)
+    y, x = (cost[np.arange(len(truth)), truth] - means[truth]) ** 2, 1 / size
+    return _by_language(truth, [x, x * x, y, x * y], len(languages))
+
+
+def _calibrate(models: Models, seen: DataFrame) -> None:
     """Temperature of the scores and limits of rejection, from texts the models haven't seen.
 
-    A language's limit is on the distance of a text's bits from their mean, in units that
-    grow as the text gets shorter.
+    `seen` is a stored table (lang, characters, bits by language), read a few times; only
+    sums of it come here. A language's limit is on the distance of a text's bits from their
+    mean, in units that grow as the text gets shorter.
     """
     models.limits = {}
-    index = {name: i for i, name in enumerate(models.languages)}
-    rows = [(index[lang], n, b) for lang, n, b in sample if n and lang in index]
-    if not rows:
+    names = models.languages
+    seen = seen.where("_n > 0").select("lang", "_n", "_bits")
+    found = _sums(seen, partial(_losses, languages=names))
+    if not len(found):
         return
-    truth, size, cost = np.array([t for t, _, _ in rows]), np.array([n for _, n, _ in rows], float), np.array([b for _, _, b in rows])
-    odds = -(cost - cost.min(axis=1, keepdims=True)) * size[:, None] * np.log(2)
-    loss = {}
-    for t in np.geomspace(1, 1000, 61):
-        x = odds / t
-        loss[float(t)] = float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), truth]))
+    n, weights, weighted = found[len(TEMPERATURES) :].reshape(3, -1)
+    loss = dict(zip(TEMPERATURES.tolist(), found / n.sum()))
     models.temperature = min(loss, key=lambda t: (round(loss[t], 12), t))
-    own = cost[np.arange(len(cost)), truth]
-    for name, i in index.items():
-        mine = truth == i
-        if mine.sum() < 20:
+    means = weighted / np.where(weights > 0, weights, 1)
+    x, xx, y, xy = _sums(seen, partial(_squares, languages=names, means=means)).reshape(4, -1)
+    for i, name in enumerate(names):
+        if n[i] < 20:
             continue
-        b, n = own[mine], size[mine]
-        mean = float(np.average(b, weights=np.sqrt(n)))
         # The squared distance has a part that stays and a part that falls with the length.
-        design = np.stack([np.ones_like(n), 1 / n], axis=1)
-        stays, falls = np.maximum(np.linalg.lstsq(design, (b - mean) ** 2, rcond=None)[0], 0)
-        stays = max(float(stays), 1e-4)
-        z = (b - mean) / np.sqrt(stays + falls / n)
-        models.limits[name] = (mean, stays, float(falls), float(np.quantile(z, 1 - REJECTED, method="higher")))
+        stays, falls = np.maximum(np.linalg.lstsq([[n[i], x[i]], [x[i], xx[i]]], [y[i], xy[i]], rcond=1e-12)[0], 0)
+        mean, stays, falls = float(means[i]), max(float(stays), 1e-4), float(falls)
+        z = (F.get("_bits", F.lit(i)) - F.lit(mean)) / F.sqrt(F.lit(stays) + F.lit(falls) / F.col("_n"))
+        most = int(n[i]) - math.ceil((1 - REJECTED) * (int(n[i]) - 1))  # so many texts are at the limit or beyond
+        beyond = seen.where(F.col("lang") == name).select(z.alias("z")).orderBy(F.desc("z")).limit(most)
+        models.limits[name] = (mean, stays, falls, beyond.agg(F.min("z")).first()[0])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sent_ngrams: int = SENT_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Models:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sent_ngrams: int = SENT_NGRAMS) -> Models:
     """Models of all languages named in `docs`, from every document that isn't held out.
 
     Held out are ids whose crc32 is divisible by FOLDS, a null id among them; rows with a
@@ -322,8 +364,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n-grams of all learning documents are counted; the counts stay a table in the shared
     folder, and reach the tasks as arrays if they are at most `sent_ngrams` rows.
 
-    To calibrate, the counts without one further fold score at most `calibration_rows` of
-    that fold's documents, those whose ids hash lowest.
+    To calibrate, the counts without one further fold score every document of that fold.
     """
     rows = docs.select(fold(id_col).alias("fold"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     learning = rows.where((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -333,15 +374,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     letters = counts.select(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("c")).distinct().count()
     models = Models(languages, 1 / (letters + 1), counts.select("lang", "key", "n"))
     small = counts.limit(sent_ngrams + 1).count() <= sent_ngrams
-    known = learning.where(F.col("fold") == CALIBRATION).select("lang", "text", "id")
-    order = [F.xxhash64("id"), F.col("id")]
-    chosen = known.select("id").distinct().orderBy(*order).limit(calibration_rows)  # ids alone: texts stay where they are
-    sample = known.join(F.broadcast(chosen), "id")
+    known = learning.where(F.col("fold") == CALIBRATION).select("lang", "text")
     rest = Models(languages, models.base, counts.select("lang", "key", F.col("n_rest").alias("n")))
     if small:
         rest.sent = _sent(rest, counts, "n_rest")
-    seen = entropies(sample, rest).select("lang", "_n", "_bits", "id").orderBy(*order, "lang", "_n", "_bits").limit(calibration_rows).collect()
-    _calibrate(models, sorted((r["lang"], r["_n"], r["_bits"]) for r in seen))
+    _calibrate(models, cut_lineage(entropies(known, rest).select("lang", "_n", "_bits")))
     if small:
         if rest.sent is not None:
             rest.sent.unpersist()

@@ -116,6 +116,36 @@ def test_awkward_rows(spark, docs):
     assert langid.predict(docs.limit(0), models).count() == 0
 
 
+def test_calibration_reads_every_document_of_its_fold(spark):
+    """Temperature and limits are those of numpy over all texts of the fold, more than 4,000."""
+    words = {"de": ["hund", "katze", "garten", "haus", "größe"], "en": ["dog", "cat", "garden", "house", "size"]}
+    rows = []
+    for i in range(26_000):
+        if (fold := zlib.crc32(str(i).encode()) % langid.FOLDS) == langid.CALIBRATION or (fold != langid.HELD_OUT and i % 51 == 0):
+            lang = ("de", "en")[i % 2]
+            rows.append((i, " ".join(words[lang][(i * k + i // 7) % 5] for k in range(1, 2 + i % 6)) + "xq" * (i % 97 == 0), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.fit(docs)
+    apart = docs.where(langid.fold("doc_id") == langid.CALIBRATION)
+    rest = langid.fit(docs.where(langid.fold("doc_id") != langid.CALIBRATION))
+    rest.base = models.base
+    seen = langid.entropies(apart, rest).collect()
+    assert len(seen) > 5_000
+    truth = np.array([models.languages.index(r["lang"]) for r in seen])
+    size, cost = np.array([float(r["_n"]) for r in seen]), np.array([r["_bits"] for r in seen])
+    odds = -(cost - cost.min(axis=1, keepdims=True)) * size[:, None] * np.log(2)
+    at = np.arange(len(seen))
+    loss = {float(t): np.mean(np.log(np.exp(odds / t).sum(axis=1)) - odds[at, truth] / t) for t in langid.TEMPERATURES}
+    assert models.temperature == min(loss, key=lambda t: (round(loss[t], 12), t))
+    for i, name in enumerate(models.languages):
+        b, n = cost[truth == i, i], size[truth == i]
+        mean = np.average(b, weights=np.sqrt(n))
+        stays, falls = np.maximum(np.linalg.lstsq(np.stack([np.ones_like(n), 1 / n], axis=1), (b - mean) ** 2, rcond=None)[0], 0)
+        stays = max(stays, 1e-4)
+        limit = np.quantile((b - mean) / np.sqrt(stays + falls / n), 1 - langid.REJECTED, method="higher")
+        assert models.limits[name] == pytest.approx((mean, stays, falls, limit), rel=1e-6)
+
+
 def test_lang_is_no_input_of_a_prediction(spark):
     docs = table(spark, TEXTS)
     models = langid.fit(docs)
