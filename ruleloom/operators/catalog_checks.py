@@ -147,6 +147,20 @@ def alternative_subsets(rules: DataFrame) -> DataFrame:
     return anchor.join(wider, "alt").filter(within).groupBy("rule_id").agg(F.min("other_id").alias("other_id"))
 
 
+def literal_classes(same: DataFrame) -> DataFrame:
+    """(crit, pattern, other_id, _class, n): literals matched by the same patterns are one class of n.
+
+    `same` holds (pattern, crit, value, other_id) where a pattern matches a value. A class has
+    a row for each of its patterns, with the least other rule of that criticality.
+    """
+    met = F.array_sort(F.collect_set(F.struct("crit", "pattern")))
+    each = same.groupBy("value").agg(met.alias("_met"), F.collect_set(F.struct("crit", "other_id")).alias("_ids"))
+    each = each.select("_met", "_ids", F.sha2(F.to_json("_met"), 256).alias("_class"))
+    sized = each.groupBy("_class").agg(F.first("_met").alias("_met"), F.count("*").alias("n"))
+    least = each.select("_class", F.inline("_ids")).groupBy("_class", "crit").agg(F.min("other_id").alias("other_id"))
+    return sized.select("_class", "n", F.inline("_met")).join(least, ["_class", "crit"]).select("crit", "pattern", "other_id", "_class", "n")
+
+
 def regex_matches_literal(rules: DataFrame) -> DataFrame:
     """Regexes that match a literal of the same criticality; one other rule each.
 
@@ -158,9 +172,12 @@ def regex_matches_literal(rules: DataFrame) -> DataFrame:
     regexes = p.filter(F.col("how") == "regex").select("rule_id", "crit", F.explode(F.split("pattern", r"\|")).alias("pattern"))
     hits = matching.regex_hits(values, regexes.select("pattern", "crit").distinct(), ["value", "other_crit"])
     same = hits.filter(F.col("crit") == F.col("other_crit")).select("pattern", "crit", "value", "other_id")
-    return regexes.join(same, ["pattern", "crit"]).groupBy("rule_id").agg(
-        F.min("other_id").alias("other_id"), F.count_distinct("value").alias("n")
-    )
+    # Regexes with the same alternatives and literals that the same alternatives match meet once.
+    alternatives_of = F.array_sort(F.collect_set(F.struct("crit", "pattern")))
+    sets = regexes.groupBy("rule_id").agg(alternatives_of.alias("_alts")).select("rule_id", "_alts", F.sha2(F.to_json("_alts"), 256).alias("_set"))
+    members = sets.select("_set", "_alts").dropDuplicates(["_set"]).select("_set", F.inline("_alts"))
+    met = members.join(literal_classes(same), ["crit", "pattern"]).groupBy("_set", "_class").agg(F.min("other_id").alias("other_id"), F.max("n").alias("n"))
+    return sets.join(met.groupBy("_set").agg(F.min("other_id").alias("other_id"), F.sum("n").alias("n")), "_set").select("rule_id", "other_id", "n")
 
 
 def string_and_raw(rules: DataFrame) -> DataFrame:

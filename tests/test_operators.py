@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import net, text as T
-from ruleloom.operators import composites, containers, decode, diff, extract, graph, joins, matching, precision, predicates, scan, windows
+from ruleloom.operators import catalog_checks, composites, containers, decode, diff, extract, graph, joins, matching, precision, predicates, scan, windows
 from ruleloom.session import local_table
 from ruleloom.sources import catalog, files
 
@@ -330,3 +330,23 @@ def test_container_tree_numbers_members(spark):
     roots = local_table(spark, [(1, "r.zip")], "container_id bigint, root_path string")
     got = sorted((r["id"], r["depth"], r["path"]) for r in containers.container_tree(roots, members).collect())
     assert got == [(0, 0, "r.zip"), (1, 1, "a!!x"), (2, 1, "r.zip!!b"), (3, 1, "r.zip!!c")]
+
+
+def test_regexes_and_literals_meet_by_class(spark):
+    """Ids may repeat with another criticality; a literal counts once for each id."""
+    schema = "rule_id string, crit int, ctype string, for_types array<string>, case_insensitive boolean, exact string, substr string, regex string, word string"
+    rng = random.Random(2)
+    words = ["red", "green", "blue", "tan"]
+    rows = [(f"l{i % 40}", i % 2, "string", ["all"], False, f"{rng.choice(words)} {rng.choice(words)} {i % 50}", None, None, None) for i in range(300)]
+    rows += [(f"r{i % 9}", i % 3, "string", ["all"], False, None, None, "|".join(rng.sample(words, 2)), None) for i in range(24)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["rule_id"]: (r["other_id"], r["n"]) for r in catalog_checks.regex_matches_literal(df).collect()}
+    want = {}
+    for rule in {r[0] for r in rows if r[7]}:
+        hits = [(l[0], l[5]) for r in rows if r[7] and r[0] == rule for l in rows if l[5] and l[1] == r[1] and re.search(r[7], l[5])]
+        if hits:
+            want[rule] = (min(i for i, _ in hits), len({v for _, v in hits}))
+    assert got == want and len(want) > 5
+    same = spark.createDataFrame([(p, 1, f"red green {i}", f"l{i}") for i in range(500) for p in ("red", "green")], "pattern string, crit int, value string, other_id string")
+    classes = catalog_checks.literal_classes(same).collect()
+    assert sorted((r["pattern"], r["n"], r["other_id"]) for r in classes) == [("green", 500, "l0"), ("red", 500, "l0")]
