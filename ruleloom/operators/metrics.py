@@ -7,8 +7,11 @@ so a scan of the files is the whole plan. Only facts that arrive as rows of thei
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ruleloom import constants as K
 from ruleloom.functions import text as T
@@ -126,6 +129,43 @@ def text_metrics(files: DataFrame) -> DataFrame:
     return prepared(files).select("file_id", *columns)
 
 
+# Characters whose entropy is taken in one go; longer strings are counted in such parts.
+ENTROPY_CHARS = 1 << 18
+CODE_POINTS = 0x110000
+
+
+def _entropies(values: list[str]) -> np.ndarray:
+    """Bits per character of some strings together, 0 for an empty one."""
+    out = np.zeros(len(values))
+    sizes = np.array([len(v) for v in values], np.int64)
+    for i in np.flatnonzero(sizes > ENTROPY_CHARS).tolist():
+        parts = (values[i][at : at + ENTROPY_CHARS] for at in range(0, len(values[i]), ENTROPY_CHARS))
+        counts = sum(np.bincount(_points(part), minlength=CODE_POINTS) for part in parts)
+        p = counts[counts > 0] / sizes[i]
+        out[i] = 0.0 - (p * np.log2(p)).sum()
+    short = np.flatnonzero(sizes <= ENTROPY_CHARS)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes[short]) // ENTROPY_CHARS)) + 1
+    for group in np.split(short, cuts):
+        owner = np.repeat(np.arange(len(group)), sizes[group])
+        keys = np.sort(owner * CODE_POINTS + _points("".join(values[i] for i in group.tolist())))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+        mine = keys[first] // CODE_POINTS
+        p = np.diff(np.append(first, len(keys))) / sizes[group][mine]
+        out[group] = 0.0 - np.bincount(mine, p * np.log2(p), len(group))
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+@F.arrow_udf(DoubleType())
+def entropies(values: pa.Array) -> pa.Array:
+    """`T.char_entropy` of a column of many short strings, equal ones of a batch once."""
+    coded = values.dictionary_encode()
+    return pa.array(_entropies(coded.dictionary.to_pylist())).take(coded.indices)
+
+
 STRING_CLASSES = {
     "base64_candidates": T.is_base64_like,
     "hex_strings": T.is_hex_like,
@@ -140,6 +180,8 @@ STRING_CLASSES = {
     "shell_command_strings": T.has_shell_command,
     "sql_strings": T.has_sql,
 }
+# Classes that letters and digits alone can make; the others hold some other sign.
+WORD_CLASSES = ("base64_candidates", "hex_strings", "shell_command_strings")
 
 
 def string_metrics(strings: DataFrame) -> DataFrame:
@@ -151,8 +193,10 @@ def string_metrics(strings: DataFrame) -> DataFrame:
     size = F.octet_length(value)
     filled = value != ""
     counted = strings.groupBy("file_id", "value").agg(F.count("*").alias("_n"))
-    tests = [F.when(filled & test(value), n).otherwise(F.lit(0)).alias(name) for name, test in STRING_CLASSES.items()]
-    measured = counted.select("file_id", "value", "_n", F.when(filled, T.char_entropy(value)).alias("_entropy"), *tests)
+    tests = {name: F.when(test(value), n).otherwise(F.lit(0)).alias(name) for name, test in STRING_CLASSES.items()}
+    words = [F.when(filled, tests[name]).otherwise(F.lit(0)).alias(name) for name in WORD_CLASSES]
+    signs = F.when(value.rlike("[^A-Za-z0-9]"), F.struct(*[c for name, c in tests.items() if name not in WORD_CLASSES]))
+    measured = counted.select("file_id", "value", "_n", F.when(filled, entropies(value)).alias("_entropy"), *words, signs.alias("_signs"))
     e, filled_n = F.col("_entropy"), F.sum(F.when(filled, n))
     of = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
     mean = F.sum(e * n) / filled_n
@@ -169,7 +213,7 @@ def string_metrics(strings: DataFrame) -> DataFrame:
         "very_high_entropy_count": of(e > 6.5),
         "very_long_strings": of(size > 1000),
     }
-    columns.update({name: F.sum(name) for name in STRING_CLASSES})
+    columns.update({name: F.sum(name) if name in WORD_CLASSES else F.coalesce(F.sum(f"_signs.{name}"), F.lit(0)) for name in STRING_CLASSES})
     return measured.groupBy("file_id").agg(*[c.alias(name) for name, c in columns.items()])
 
 
@@ -179,7 +223,7 @@ def string_class_flags(strings: DataFrame) -> DataFrame:
 
 
 def string_entropy(strings: DataFrame) -> DataFrame:
-    return strings.withColumn("entropy", T.char_entropy(F.col("value")))
+    return strings.withColumn("entropy", entropies(F.col("value")))
 
 
 def _is_sequential(s: Column) -> Column:
@@ -200,8 +244,8 @@ IDENTIFIER_TESTS = {
     "double_underscore": lambda s: s.startswith("__") & s.endswith("__") & (F.octet_length(s) > 4),
     "numeric_suffix": lambda s: s.rlike(r"(?s)[A-Za-z].*[0-9]\z"),
     "hex_like": lambda s: (F.octet_length(s) >= 6) & (F.octet_length(s) % 2 == 0) & _mostly(s, "[0-9a-fA-F]", 0.9),
-    "base64_like": lambda s: (F.octet_length(s) >= 8) & _mostly(s, "[A-Za-z0-9+/=]", 0.95)
-    & s.rlike("[A-Z]") & s.rlike("[a-z]") & s.rlike("[0-9]"),
+    "base64_like": lambda s: (F.octet_length(s) >= 8) & s.rlike("[0-9]") & s.rlike("[A-Z]") & s.rlike("[a-z]")
+    & _mostly(s, "[A-Za-z0-9+/=]", 0.95),
     "sequential": _is_sequential,
     "keyboard": lambda s: T.contains_any(F.lower(s), K.KEYBOARD_RUNS),
     "repeated_char": lambda s: (F.octet_length(s) >= 3) & s.rlike(r"^(?s)(.)\1*$"),
@@ -213,13 +257,13 @@ def identifier_metrics(identifiers: DataFrame, names: str = "names") -> DataFram
 
     Repeats are dropped in the row, before one row per name is made.
     """
-    unique = identifiers.select(
-        "file_id", F.size(names).alias("_total"), F.explode(F.array_distinct(names)).alias("name")
-    )
+    # The whole array stays behind: beside each of its names it would be copied with every row.
+    listed = identifiers.select("file_id", F.size(names).alias("_total"), F.array_distinct(names).alias("_names"))
+    unique = listed.select("file_id", "_total", F.explode("_names").alias("name")).withColumn("_entropy", entropies(F.col("name")))
     # The generator keeps the tests out of the aggregation, whose code stays small.
     tested = F.struct(
         F.octet_length("name").alias("size"),
-        T.char_entropy(F.col("name")).alias("entropy"),
+        F.col("_entropy").alias("entropy"),
         *[test(F.col("name")).cast("int").alias(k) for k, test in IDENTIFIER_TESTS.items()],
     )
     unique = unique.select("file_id", "_total", F.explode(F.array(tested)).alias("t"))
@@ -278,7 +322,7 @@ def function_metrics(functions: DataFrame, total_lines: DataFrame) -> DataFrame:
     """Metrics of function rows, with densities from total_lines(file_id, total_lines)."""
     lines, name, params = F.col("line_count"), F.col("name"), F.col("param_names")
     # Names repeat, so the entropy of each is taken once.
-    odd = functions.select("name").filter(name.isNotNull()).distinct().filter(T.char_entropy(name) > 3.5).withColumn("_odd", F.lit(1))
+    odd = functions.select("name").filter(name.isNotNull()).distinct().filter(entropies(name) > 3.5).withColumn("_odd", F.lit(1))
     functions = functions.join(F.broadcast(odd) if is_small(odd) else odd, "name", "left")
     named = F.when(name != "", F.octet_length(name))
     flag = lambda c: F.count_if(c)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import constants as K
 from ruleloom.functions import net, text as T
-from ruleloom.operators import catalog_checks, composites, containers, decode, diff, extract, graph, joins, matching, precision, predicates, scan, windows
+from ruleloom.operators import catalog_checks, composites, containers, decode, diff, extract, graph, joins, matching, metrics, precision, predicates, scan, windows
 from ruleloom.session import local_table
 from ruleloom.sources import catalog, files
 
@@ -350,3 +350,22 @@ def test_regexes_and_literals_meet_by_class(spark):
     same = spark.createDataFrame([(p, 1, f"red green {i}", f"l{i}") for i in range(500) for p in ("red", "green")], "pattern string, crit int, value string, other_id string")
     classes = catalog_checks.literal_classes(same).collect()
     assert sorted((r["pattern"], r["n"], r["other_id"]) for r in classes) == [("green", 500, "l0"), ("red", 500, "l0")]
+
+
+def test_entropies_equal_the_expression(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "aaaa", "ab", "日本語🙂🙂", "x\0y", None, "qwerty" * 9, "".join(map(chr, range(33, 65))), "abc" * 200_000]
+    texts += ["".join(rng.choices("abcdeé𐐷", k=rng.randrange(30))) for _ in range(300)]
+    rows = values(spark, texts).select("value", metrics.entropies(F.col("value")).alias("got"), T.char_entropy(F.col("value")).alias("e")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["got"] == (None if r["e"] is None else pytest.approx(r["e"], rel=1e-9, abs=1e-12)), r["value"][:40]
+
+
+def test_string_classes_of_words_and_signs(spark):
+    words = ["netcat", "POWERSHELL", "deadbeef", "QUJDREVGR0hJSktM", "eval(x", "1=1--", "a@b.cc", "x.com", "http://x", "10.0.0.1", "a:b:c", "%41%42%43%44", "~", "plain", ""]
+    rows = [(i, w) for i, w in enumerate(words) for _ in range(2)]
+    got = {r["file_id"]: r for r in metrics.string_metrics(spark.createDataFrame(rows, "file_id int, value string")).collect()}
+    flags = {r["value"]: r for r in metrics.string_class_flags(values(spark, words)).collect()}
+    for i, w in enumerate(words):
+        assert {k: got[i][k] for k in metrics.STRING_CLASSES} == {k: 2 * (w != "" and flags[w][k]) for k in metrics.STRING_CLASSES}, w
