@@ -12,7 +12,8 @@ from ruleloom.functions import text as T
 from ruleloom.operators import findings as FD
 from ruleloom.operators import scan
 from ruleloom.operators.composites import evaluate_composites
-from ruleloom.sources.tables import files_from_documents
+from ruleloom.session import cut_lineage
+from ruleloom.sources.tables import files_from_documents, spread_small_scan
 
 
 def document_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
@@ -46,7 +47,7 @@ def alerts(hits: DataFrame, level: int) -> DataFrame:
 def scan_batch(files: DataFrame, rules: DataFrame, composites: DataFrame, conds: DataFrame) -> DataFrame:
     """All findings of one batch: a file's evidence arrives whole, so composites can run."""
     strings = files.select("file_id", F.explode(T.tokens(F.col("text"))).alias("value"))
-    atomic = scan.atomic_findings(files, strings, rules)
+    atomic = cut_lineage(scan.atomic_findings(files, strings, rules))  # read by several parts
     none = F.lit(None).cast("bigint")
     combined = evaluate_composites(
         files.select("file_id", "file_type", "size_bytes"), atomic, atomic.withColumns({"line_no": none, "offset": none}), composites, conds
@@ -66,7 +67,7 @@ def scan_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        found = scan_batch(batch, rules, composites, conds)
+        found = scan_batch(spread_small_scan(batch), rules, composites, conds)
         path = f"{out}/batch={number}"
         found.write.mode("overwrite").parquet(path)
         if fail_at is not None and batch.sparkSession.read.parquet(path).filter(F.col("crit") >= fail_at).limit(1).count():

@@ -369,3 +369,35 @@ def test_string_classes_of_words_and_signs(spark):
     flags = {r["value"]: r for r in metrics.string_class_flags(values(spark, words)).collect()}
     for i, w in enumerate(words):
         assert {k: got[i][k] for k in metrics.STRING_CLASSES} == {k: 2 * (w != "" and flags[w][k]) for k in metrics.STRING_CLASSES}, w
+
+
+def test_cheap_tests_lose_no_match(spark):
+    lengths = {"^[0-9]{16}$": 16, "[0-9a-f]{32,}": 32, "[a-z]{1,64}@[a-z.]{1,9}\\.[a-z]{2,3}": 6, "ab?c*d+": 2, "(abc)+x": 1, "a|bcd": 0, "[a[bc]d]e": 0, r"\bab\b": 2, r"\x41b": 0, "(?i)abc": 0}
+    assert {r: matching.least_length(r) for r in lengths} == lengths
+    texts = ["ab", "AB", "x@y.de", "@.de", "0" * 16, "0" * 15, "abcabcx", "acd", "be", "de", "x und y", "UND", "hund", "f" * 32, "1.2.3.4"]
+    facts = local_table(spark, [(v,) for v in texts], "value string")
+    plain = [r for r in lengths if r != "[a[bc]d]e"]
+    for regex in plain:
+        got = {r["value"] for r in facts.where(matching.tested(F.col("value"), regex)).collect()}
+        assert got == {v for v in texts if re.search(regex, v)}, regex
+    word = lambda folded: {r["value"] for r in facts.where(matching.word_tested(F.col("value"), "und", ("(?i)" if folded else "") + r"\b\Qund\E\b", folded)).collect()}
+    assert word(False) == {"x und y"} and word(True) == {"x und y", "UND"}
+
+
+def test_values_without_a_hit_build_no_keys(spark):
+    rules = [("ip", 1, 1.0, "string", "external_ip", None, False, ["all"], *[None] * 6), ("hex", 1, 1.0, "string", "regex", "[0-9a-f]{32,}", False, ["all"], *[None] * 6)]
+    facts = spark.range(10).select(F.col("id").alias("file_id"), F.col("id").cast("string").alias("value"))
+    plan = scan.hits_of(facts, local_table(spark, rules, scan.RULE_SCHEMA), "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("octet_length(cast(id")
+
+
+def test_a_batch_is_scanned_once(spark):
+    from ruleloom.streaming.scan import scan_batch
+
+    rules = local_table(spark, [("d::hex", 2, 1.0, "string", "regex", "[0-9a-f]{32,}", False, ["all"], *[None] * 6)], scan.RULE_SCHEMA)
+    comps = local_table(spark, [("c::both", 3, 0.5, None, None, None, ["all"], None, None)], "rule_id string, crit int, conf double, needs int, near_lines int, near_bytes int, for_types array<string>, size_min bigint, size_max bigint")
+    conds = local_table(spark, [("c::both", "all", 0, "d::hex")], "rule_id string, clause string, idx int, ref_id string")
+    files = local_table(spark, [(1, "text", 40, "x " + "a" * 32), (2, "text", 3, "abc")], "file_id bigint, file_type string, size_bytes bigint, text string")
+    found = scan_batch(files, rules, comps, conds)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["file_id"], r["rule_id"], r["crit"]) for r in found.collect()} == {(1, "d::hex", 2), (1, "c::both", 3)}
