@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ruleloom import constants as K
 from ruleloom.session import local_table
 
 # Pattern tables up to this many rows are sent to every task; larger ones are joined by
@@ -126,8 +127,8 @@ def regex_literal(regex: Column) -> Column:
     return F.when((F.char_length(plain) >= 3) & ~regex.contains("|") & ~regex.rlike(r"\(\?"), plain)
 
 
-def required_literal(regex: str) -> str | None:
-    """The longest run of plain characters that every match contains, if it has three.
+def required_literal(regex: str, least: int = 3) -> str | None:
+    """The longest run of plain characters that every match contains, if it has so many.
 
     Only what stands outside of groups and classes counts, and a choice outside of them
     leaves nothing that every match has.
@@ -163,7 +164,99 @@ def required_literal(regex: str) -> str | None:
             run = ""
         i += 1
     best = max([*runs, run], key=len)
-    return best if len(best) >= 3 else None
+    return best if len(best) >= least else None
+
+
+def least_length(regex: str) -> int:
+    """A number of characters that every match has at least; 0 where that is not plain to see.
+
+    Groups count for nothing, and a choice outside of them, a class in a class or an
+    unusual escape leaves nothing.
+    """
+    if "(?" in regex or "\\Q" in regex:
+        return 0
+    total, last, i, depth = 0, 0, 0, 0
+    while i < len(regex):
+        c = regex[i]
+        width = None
+        if c == "\\":
+            i += 1
+            kind = regex[i : i + 1]
+            if kind.isalnum() and kind not in "dDwWsSntrbB":
+                return 0
+            width = 0 if kind in ("b", "B", "") else 1
+        elif c == "[":
+            i += 1
+            first = i + (regex[i : i + 1] == "^")
+            while i < len(regex) and (regex[i] != "]" or i == first):
+                if regex[i] == "[":
+                    return 0
+                i += 2 if regex[i] == "\\" else 1
+            width = 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            width = 0
+        elif c == "|" and depth == 0:
+            return 0
+        elif c in "*?":
+            total, last = total - last, 0
+        elif c == "{":
+            end = regex.find("}", i)
+            low = regex[i + 1 : end].split(",")[0]
+            if end < 0 or not low.isdecimal():
+                return 0
+            total, last, i = total - last + last * int(low), last * int(low), end
+        elif c not in "|^$+":
+            width = 1
+        if width is not None:
+            last = width if depth == 0 else 0
+            total += last
+        i += 1
+    return total
+
+
+def may_match(value: Column, regex: str) -> Column | None:
+    """A cheap test that every value with a match passes, None if there is none.
+
+    It looks at bytes alone, so a short word costs no regex.
+    """
+    n = least_length(regex)
+    if n == 0:
+        return None
+    literal = required_literal(regex, 1)
+    long_enough = F.octet_length(value) >= n
+    return long_enough if literal is None else long_enough & value.contains(literal)
+
+
+def tested(value: Column, regex: str) -> Column:
+    """Whether a value has a match of the regex, where the cheap test does not rule it out."""
+    plain = regex.removeprefix("(?i)")
+    cheap = may_match(value, plain) if plain == regex else F.octet_length(value) >= least_length(plain)
+    return value.rlike(regex) if cheap is None else cheap & value.rlike(regex)
+
+
+def word_tested(value: Column, word: str, regex: str, case_insensitive: bool) -> Column:
+    """Whether a value has a word; `regex` is that of the word."""
+    if "\\E" in word:  # ends the quotation early
+        return value.rlike(regex)
+    if not case_insensitive:
+        return value.contains(word) & value.rlike(regex)
+    # Lower case of other letters depends on what stands beside them.
+    return F.lower(value).contains(word.lower()) & value.rlike(regex) if word.isascii() else value.rlike(regex)
+
+
+def holds_address(value: Column) -> Column:
+    """Whether a value has four numbers with dots between them."""
+    return (F.octet_length(value) >= 7) & value.contains(".") & value.rlike(K.IP_RE)
+
+
+def some(tests: list[Column]) -> Column:
+    """Whether any of some columns is not null.
+
+    Filtering an array of them is not compiled, so rows that no test holds for are dropped
+    by this before it.
+    """
+    return F.coalesce(*tests).isNotNull()
 
 
 def regex_hits(values: DataFrame, patterns: DataFrame, keys: list[str], column: str = "value") -> DataFrame:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom import constants as K
 from ruleloom.functions import net, text as T
 from ruleloom.operators import composites, conditions as C, matching, predicates as P
 from ruleloom.session import cut_lineage, local_table
@@ -38,9 +37,11 @@ def _marked(mark: str, grams: Column) -> Column:
 def _direct_test(value: Column, rule) -> Column:
     """One rule as a test of one value."""
     if rule["how"] == "external_ip":
-        return value.rlike(K.IP_RE) & net.contains_external_ip(value)
+        return matching.holds_address(value) & net.contains_external_ip(value)
+    if rule["how"] == "word" and rule["regex"] is not None:
+        return matching.word_tested(value, rule["pattern"], rule["regex"], rule["case_insensitive"])
     if rule["regex"] is not None:
-        return value.rlike(rule["regex"])
+        return matching.tested(value, rule["regex"])
     return P.matcher(value, case_insensitive=rule["case_insensitive"], **{rule["how"]: rule["pattern"]})
 
 
@@ -92,6 +93,8 @@ def _one_pass(values: DataFrame, rows: list, anchors: list[tuple], column: str)
         for k in sorted({len(a[5]) - 1 for a in anchors if a[5][0] == mark}):
             probes.append(_marked(mark, matching.grams(form, k)))
     tests = [F.when(_direct_test(value, r), F.lit(a[5])) for r, a in zip(rows, anchors) if a[5][0] == "!"]
+    if tests and not probes:
+        values = values.where(matching.some(tests))
     if tests:
         probes.append(F.array_compact(F.array(*tests)))
     keys = F.concat(*probes) if probes else F.array().cast("array<string>")
