@@ -140,8 +140,19 @@ def _anchors(conds: list[dict]) -> list[tuple[dict, str]]:
     return out
 
 
-def _probes(anchors: list[tuple[dict, str]]) -> Column:
-    """The keys a fact holds, of those that some condition asks for."""
+def _in_row(value: Column, c: dict, regex: str | None) -> Column:
+    """A condition's test of its pattern; what holds no address cannot hold an external one."""
+    folds = bool(c["case_insensitive"])
+    if c["kind"] != "hex" and c["how"] == "word" and c["pattern"]:
+        return matching.word_tested(value, c["pattern"], regex, folds)
+    if regex is not None:
+        return value.rlike(regex) if c["kind"] == "hex" else matching.tested(value, regex)
+    test = P.matcher(value, case_insensitive=folds, **({c["how"]: c["pattern"]} if c["how"] else {}))
+    return matching.holds_address(value) & test if c["external_ip"] else test
+
+
+def _probes(anchors: list[tuple[dict, str]]) -> tuple[Column, Column]:
+    """The keys a fact holds, of those that some condition asks for, and a test that facts with a key pass."""
     kind, value, low = F.col("kind"), F.col("text"), F.lower("text")
     none = F.array().cast("array<string>")
     asked: dict[str, set[str]] = {}
@@ -154,7 +165,7 @@ def _probes(anchors: list[tuple[dict, str]]) -> Column:
             lengths.setdefault((c["kind"], mark), set()).add(len(key) - len(c["kind"]) - 1)
         if mark == "!":
             regex = _regex(c)
-            test = value.rlike(regex) if regex is not None else P.matcher(value, case_insensitive=bool(c["case_insensitive"]), **({c["how"]: c["pattern"]} if c["how"] else {}))
+            test = _in_row(value, c, regex)
             tests.append(F.when((kind == c["kind"]) & test, F.lit(key)))
     probes = []
     for mark, form in (("=", value), ("~", low)):
@@ -173,7 +184,10 @@ def _probes(anchors: list[tuple[dict, str]]) -> Column:
         probes.append(F.when(kind == "syscall", F.array(F.lit("syscall*"))))
     if tests:
         probes.append(F.array_compact(F.array(*tests)))
-    return F.array_compact(F.concat(*[F.coalesce(p, none) for p in probes])) if probes else none
+    keyed = sorted(set().union(*[kinds for mark, kinds in asked.items() if mark != "!"]))
+    asked_for = [F.when(kind.isin(*keyed), F.lit(""))] if keyed else []
+    keys = F.array_compact(F.concat(*[F.coalesce(p, none) for p in probes])) if probes else none
+    return keys, matching.some([*asked_for, *tests]) if probes else F.lit(False)
 
 
 def _behind(mark: str, grams: Column) -> Column:
@@ -317,7 +331,8 @@ def _direct_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections
     for some in [keyed + chunks[0], *chunks[1:]]:
         rows = facts.where(F.col("kind").isin(*sorted({c["kind"] for c, _ in some})))
         catalog = F.broadcast(_catalog(facts.sparkSession, some)).select("_key", fields)
-        passes.append(rows.withColumn("_key", F.explode(_probes(some))).join(catalog, "_key").where(_matches()))
+        keys, asked = _probes(some)
+        passes.append(rows.where(asked).withColumn("_key", F.explode(keys)).join(catalog, "_key").where(_matches()))
     found = reduce(DataFrame.unionByName, passes)
     if any(c[name] is not None for c in conds for name in ("section", "at", "low", "high")):
         found = _placed(found, files, sections)
