@@ -126,10 +126,15 @@ def composite_precision(rules: DataFrame, conds: DataFrame, known: DataFrame) ->
     target = known.select(F.col("rule_id").alias("ref_id"), "precision")
     placed = conds.select("rule_id", "clause", "ref_id").join(names, "ref_id", "left").join(target, "ref_id", "left")
     value = F.when(F.col("ref_id").isNull(), F.lit(0.0)).when(F.col("composite"), F.lit(None)).otherwise(F.coalesce("precision", base))
-    sums = placed.withColumn("v", value).groupBy("rule_id").agg(F.count_if("composite").alias("n_open"), *_sums())
-    head = rules.select("rule_id", "needs", list_score(F.col("for_types")).alias("types"))
-    state = cut_lineage(head.join(sums, "rule_id", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)).cast("long")))
-    edges = cut_lineage(placed.where("composite").select("rule_id", "clause", "ref_id"))
+    # One row a rule: its sums, its heads (a rule may stand in the catalog twice) and its references
+    # to composites, so conditions are read and joined once.
+    head = F.struct("needs", list_score(F.col("for_types")).alias("types"))
+    heads = rules.select("rule_id", head.alias("head"))
+    rows = placed.where("rule_id is not null").select("rule_id", "clause", "ref_id", "composite", value.alias("v")).unionByName(heads, allowMissingColumns=True)
+    open_refs = F.collect_list(F.when(F.col("composite"), F.struct("clause", "ref_id"))).alias("refs")
+    sums = cut_lineage(rows.groupBy("rule_id").agg(F.count_if("composite").alias("n_open"), *_sums(), F.collect_list("head").alias("heads"), open_refs))
+    state = sums.select("rule_id", F.inline("heads"), "n_open", *SUMS)
+    edges = sums.where("n_open > 0").select("rule_id", F.inline("refs"))
     finished = state.where("n_open = 0").select("rule_id", _total().alias("precision"))
     done, state = [finished], state.where("n_open > 0")
     while not state.isEmpty():

@@ -401,3 +401,23 @@ def test_a_batch_is_scanned_once(spark):
     found = scan_batch(files, rules, comps, conds)
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["file_id"], r["rule_id"], r["crit"]) for r in found.collect()} == {(1, "d::hex", 2), (1, "c::both", 3)}
+
+
+def test_conditions_are_joined_once(spark, monkeypatch):
+    plans, cut = [], precision.cut_lineage
+    monkeypatch.setattr(precision, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    rules = local_table(spark, [("a", None, ["all"]), ("b", 1, ["elf"]), ("b", 2, ["elf"]), (None, None, ["elf"])], "rule_id string, needs int, for_types array<string>")
+    conds = spark.range(7).select(F.element_at(F.array(*map(F.lit, "aabbb")), F.least(F.col("id") + 1, F.lit(5)).cast("int")).alias("rule_id"), F.when(F.col("id") < 4, "all").otherwise("any").alias("clause"), F.when(F.col("id") % 2 == 0, "a").otherwise("atom").alias("ref_id"))
+    conds = conds.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("rule_id"), F.lit("all").alias("clause"), F.lit("a").alias("ref_id")))
+    known = local_table(spark, [("atom", 2.5)], "rule_id string, precision double")
+    got = sorted((str(r["rule_id"]), round(r["precision"], 6)) for r in precision.composite_precision(rules, conds, known).collect())
+    assert sum("Range (0, 7" in p for p in plans) == 1
+    assert got == [("None", 0.3), ("a", 3.5), ("b", 0.3 + 3.5 + 2.5 + 2.5), ("b", round(0.3 + 3.5 + 2.5 + 2.5 + 3.5, 6))]
+
+
+def test_conditions_are_distinct_before_they_are_named(spark):
+    from ruleloom.plans import catalog_tables as C
+
+    li = spark.sql("select if(r % 7 = 0, null, o) l_orderkey, case when r % 11 = 0 then null when r % 5 = 0 then -p else p end l_partkey, case when r % 13 = 0 then null when r % 3 = 0 then -s else s end l_suppkey, cast(if(r % 17 = 0, null, r % 9) as int) l_linenumber from (select id r, (id * 31) % 60 - 30 o, (id * 17) % 50 p, (id * 7) % 30 s from range(5000))")
+    named, plain = spark.sql(C.CONDS_ROWS, lineitem=li), spark.sql(C.CONDS, lineitem=li)
+    assert named.dtypes == plain.dtypes and named.exceptAll(plain).isEmpty() and plain.exceptAll(named).isEmpty()
