@@ -79,6 +79,21 @@ def proximity(
     return hit.groupBy(*keys).agg(F.max("_near").alias("near_count"))
 
 
+def near_pairs(evidence: DataFrame, keys: list[str], position: str, span: int) -> DataFrame:
+    """Groups with at least two rows whose positions, whole numbers, lie within `span`.
+
+    The groups are those of `proximity` with two needed, without the count. Two rows of one
+    bucket of width span + 1 are always near enough; where each bucket has one row, a bucket
+    is compared with the next. So rows are combined by bucket before they are shuffled.
+    """
+    located = evidence.filter(F.col(position).isNotNull())
+    bucket = F.floor(F.col(position) / (span + 1)).alias("_bucket")
+    buckets = located.groupBy(*keys, bucket).agg(F.count("*").alias("_n"), F.min(position).alias("_low"), F.max(position).alias("_high"))
+    following = F.lead("_low").over(W.partitionBy(*keys).orderBy("_bucket"))
+    near = buckets.withColumn("_next", following).filter((F.col("_n") > 1) | (F.col("_next") - F.col("_high") <= span))
+    return near.select(*keys).distinct()
+
+
 def unique_in(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """Rows whose key occurs once, found by counting instead of a window over the key."""
     agg = [F.count("*").alias("_n")] + [F.min(c).alias(c) for c in keep if c != key]
