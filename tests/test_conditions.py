@@ -196,6 +196,15 @@ def test_rules_against_plain_rounds(spark, monkeypatch, columns):
         assert got == want
 
 
+def test_a_small_catalog_is_written_out(spark):
+    """No condition is looked up row by row, and a circle of rules does not make the plan grow from round to round."""
+    rules = {"d::a": {"any": ["d::b", "x::1"]}, "d::b": {"any": ["d::a", "d::c"]}, "d::c": {"all": ["d::b"], "down_any": ["x::1"]}, "d::none": {"none": ["d::c"]}}
+    out = evaluate(spark, rules, [(1, "x::1", 1, 1), (2, "x::2", 1, 1)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and "aggregate(" not in plan and len(plan) < 200_000
+    assert {(r["file_id"], r["rule_id"], r["crit"]) for r in out.collect()} == {(1, "d::a", 2), (1, "d::b", 2), (1, "d::c", 1), (2, "d::none", 2), (99, "d::none", 2)}
+
+
 def test_matched_ids_are_those_met_when_a_rule_fires(spark):
     rules = {"d::a": {"any": ["x", "d::b"], "all": ["x::1"]}, "d::b": {"all": ["d::a"]}, "d::none": {"none": ["x::9"], "any": ["x::2", "x::3"]}}
     got = {(r["file_id"], r["rule_id"]): r["trait_refs"] for r in evaluate(spark, rules, [(1, "x::1", 1, 1), (1, "x::2", 1, 1), (1, "y/x", 1, 1)], with_refs=True).collect()}

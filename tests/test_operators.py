@@ -249,6 +249,15 @@ def test_many_conditions_need_several_masks(spark):
     assert column(composites.clause_counts(hits, composites.mask_blocks(129)), "n_any") == [130]
 
 
+def test_near_pairs_are_those_of_proximity(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *range(-50, 400)])) for _ in range(110)] + [(50, 8), (50, 8), (51, 9), (51, 19), (52, 9), (52, 18)]
+    table = local_table(spark, rows, "k int, p int")
+    got = sorted(column(windows.near_pairs(table, ["k"], "p", 9), "k"), key=str)
+    assert got == sorted(column(windows.proximity(table, ["k"], "p", 9, 2), "k"), key=str)
+    assert {50, 52} <= {*got} and 51 not in got
+
+
 def test_proximity_against_brute_force(spark):
     rng = random.Random(7)
     rows = [(rng.randrange(4), rng.randrange(300)) for _ in range(200)]
