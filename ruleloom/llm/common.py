@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ruleloom.llm import hashing
 
 SLICE_BYTES = 1 << 20
+# Where each row has its own result, smaller slices cost nothing and a worker needs less at a time.
+ROW_SLICE_BYTES = 1 << 18
 # Arrow batches by bytes, which the JVM holds twice; 10,000 long texts are far more.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 BROADCAST_ROWS = 400_000
@@ -74,7 +76,7 @@ def map_slices(df: DataFrame, work: Callable[..., dict], schema: str, text: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = kept_state(start)
         for batch in batches:
-            for columns in slices(batch, text):
+            for columns in slices(batch, text, ROW_SLICE_BYTES):
                 out = work(state, *columns)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         hand_back()
@@ -97,7 +99,7 @@ def with_columns(df: DataFrame, work: Callable[..., dict], schema: str, inputs:
         kept_state(None)
         for batch in batches:
             start = 0
-            for columns in slices(batch, sized, only=at):
+            for columns in slices(batch, sized, ROW_SLICE_BYTES, at):
                 part = batch.slice(start, len(columns[0]))
                 start += len(columns[0])
                 made = work(*columns)

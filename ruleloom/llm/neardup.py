@@ -36,7 +36,7 @@ TAIL = 4
 LEAST_AGREEMENT = 0.55
 # Components in one region up to which its members are compared directly.
 DENSE = 16
-PART = 1 << 13
+PART = 1 << 11
 
 _RNG = np.random.default_rng(20240229)
 FOLD = np.uint64(0xD6E8FEB86659FD93)
