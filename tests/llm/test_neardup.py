@@ -141,12 +141,11 @@ def test_near_copies_without_id_are_linked(spark, folder):
     assert sum(r.component_id == 9 for r in got) == 3
 
 
-def _held(_, ids, texts):
-    return {"doc_id": ids, "held": [sum(map(len, texts))] * len(ids)}
-
-
 def test_a_worker_holds_few_rows_at_a_time(spark):
+    def held(_, ids, texts):
+        return {"doc_id": ids, "held": [sum(map(len, texts))] * len(ids)}
+
     rows = spark.range(0, 64, 1, 1).selectExpr("id as doc_id", "repeat('word ', 13000) as text")
-    got = common.map_slices(rows, _held, "doc_id long, held long", 1).collect()
+    got = common.map_slices(rows, held, "doc_id long, held long", 1).collect()
     assert sorted(r["doc_id"] for r in got) == [*range(64)]
     assert max(r["held"] for r in got) < common.ROW_SLICE_BYTES + 65_000 <= 1 << 19
