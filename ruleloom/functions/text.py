@@ -254,7 +254,9 @@ def preview(s: Column) -> Column:
 
 
 def normalize_symbol(s: Column) -> Column:
-    return F.regexp_replace(s, r"^(?:sym\.imp\.)*(?:sym\.)*(?:fcn\.)*_*", "")
+    """The name without prefixes; most have none, which costs no regex."""
+    prefixed = s.startswith("sym.") | s.startswith("fcn.") | s.startswith("_")
+    return F.when(prefixed, F.regexp_replace(s, r"^(?:sym\.imp\.)*(?:sym\.)*(?:fcn\.)*_*", "")).otherwise(s)
 
 
 def normalize_import_name(s: Column) -> Column:

@@ -27,9 +27,9 @@ from ruleloom.functions import text as T
 COLUMNS = {"file_id": None, "kind": "string", "key": "string", "text": "string", "number": "double", "extra": "double", "offset": "bigint"}
 
 
-def _facts(df: DataFrame, kind: str, **given: Column | str) -> DataFrame:
+def _facts(df: DataFrame, kind: Column | str, **given: Column | str) -> DataFrame:
     """Rows of one kind; columns not given are null."""
-    columns = [F.col("file_id"), F.lit(kind).alias("kind")]
+    columns = [F.col("file_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind")]
     for name in list(COLUMNS)[2:]:
         value = given.get(name)
         value = F.lit(None) if value is None else F.col(value) if isinstance(value, str) else value
@@ -58,10 +58,13 @@ def basename_facts(files: DataFrame) -> DataFrame:
 
 def symbol_facts(symbols: DataFrame) -> DataFrame:
     """From symbols(file_id, symbol, kind); the names of imports and exports are strings too."""
-    name = T.normalize_symbol(F.col("symbol"))
-    both = symbols.where(F.col("kind").isin("import", "export"))
-    own = _facts(symbols.withColumn("_kind", F.col("kind")), "symbol", key="_kind", text=name)
-    return own.unionByName(_facts(both, "string", key=F.lit("symbol"), text=name))
+    named = symbols.select("file_id", F.col("kind").alias("_kind"), T.normalize_symbol(F.col("symbol")).alias("_name"))
+    fact = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    own, string = fact("symbol", F.col("_kind")), fact("string", F.lit("symbol"))
+    # One pass for both, as the symbols may come from a join.
+    both = F.when(F.col("_kind").isin("import", "export"), F.array(own, string)).otherwise(F.array(own))
+    each = named.select("file_id", "_name", F.explode(both).alias("f"))
+    return _facts(each.select("file_id", F.col("f.kind").alias("_kind"), F.col("f.key").alias("_key"), "_name"), F.col("_kind"), key="_key", text="_name")
 
 
 def encoded_facts(strings: DataFrame) -> DataFrame:
@@ -99,61 +102,85 @@ def path_steps(path: str) -> list[str]:
     return [*out, part] if part else out
 
 
-def _below(values: Column, step: str) -> Column:
-    """What lies one step below some parsed values; a null is no value."""
-    none = F.array().cast("array<variant>")
-    if step == "[*]":
-        found = F.flatten(F.transform(values, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)))
-    elif step.startswith("["):
-        found = F.transform(values, lambda v: F.try_variant_get(v, f"${step}", "variant"))
-    else:
-        name = step.removeprefix(".")
-        plain = re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name)  # other names are no path of a parsed value
-        field = lambda v: F.try_variant_get(v, f"$.{name}", "variant") if plain else F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
-        found = F.transform(values, field)
-    return F.filter(found, lambda v: v.isNotNull() & ~F.is_variant_null(v))
+ITEMS, FIELDS, KV_FACTS = "array<variant>", "map<string,variant>", "array<struct<key:string,v:variant,own:boolean>>"
 
 
-def _kv_fact(path: str, text: Column, number: Column) -> Column:
-    return F.struct(F.lit(path).alias("key"), text.alias("text"), number.cast("double").alias("number"))
+def _step(value: Column, step: str) -> Column:
+    """The value one step below a parsed value."""
+    if step.startswith("["):
+        return F.try_variant_get(value, f"${step}", "variant")
+    name = step.removeprefix(".")
+    plain = re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name)  # other names are no path of a parsed value
+    return F.try_variant_get(value, f"$.{name}", "variant") if plain else F.element_at(F.try_variant_get(value, "$", FIELDS), F.lit(name))
+
+
+def _present(values: Column) -> Column:
+    """Some parsed values without the nulls, which are no values."""
+    return F.filter(values, lambda v: v.isNotNull() & ~F.is_variant_null(v))
+
+
+def _items(value: Column) -> Column:
+    """The items of a parsed array, null for what is none."""
+    return F.try_variant_get(value, "$", ITEMS)
+
+
+def _kv_fact(path: Column, value: Column, own: bool) -> Column:
+    """A value found at a path: that of the path itself, or an item of it."""
+    return F.struct(path.alias("key"), value.alias("v"), F.lit(own).alias("own"))
 
 
 def _kv_text(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
 
 
-def _kv_values(values: Column, path: str) -> Column:
-    """The facts of the values at a path: each value, then the items of those that are arrays."""
-    kind, items, fields = F.schema_of_variant, "array<variant>", "map<string,variant>"
-    size = lambda v: F.when(kind(v).startswith("ARRAY"), F.size(F.try_variant_get(v, "$", items))).when(kind(v).startswith("OBJECT"), F.size(F.try_variant_get(v, "$", fields)))
-    own = F.transform(values, lambda v: _kv_fact(path, _kv_text(v), size(v)))
-    none = F.lit(None).cast("double")
-    return F.concat(own, F.transform(_below(values, "[*]"), lambda v: _kv_fact(path, _kv_text(v), none)))
+def _kv_number(value: Column, own: Column) -> Column:
+    """The items or keys of a path's own value; an item of it counts nothing."""
+    fields, items = F.try_variant_get(value, "$", FIELDS), _items(value)
+    return F.when(own & items.isNotNull(), F.size(items)).when(own & fields.isNotNull(), F.size(fields))
 
 
 def kv_facts(data: DataFrame, paths: list[str]) -> DataFrame:
     """Values at the given paths of data(file_id, json), each text read and parsed once.
 
-    The steps of the catalog's paths are taken as arrays of parsed values in the row, those
-    that paths have in common once, and one explode makes the facts. `[*]` stands for every
-    place of an array, `[n]` for one. Elements of an array at a path are values of it too; a
-    null is no value, and text that does not parse has none.
+    The steps of the catalog's paths are taken in the row, those that paths have in common
+    once, and one explode makes the facts. `[*]` stands for every place of an array, `[n]`
+    for one. What a path without `[*]` leads to is one value, whose expressions Spark
+    compiles; else it is an array of values. Elements of an array at a path are values of
+    it too; a null is no value, and text that does not parse has none.
     """
     tasks = max(data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism)
     # Parsing costs more than a shuffle of the texts, whose scan may have few row groups.
-    parsed = data.select("file_id", "json").repartition(tasks).select("file_id", F.try_parse_json("json").alias("v"))
-    at = {"": "v"}
+    rows = data.select("file_id", "json").repartition(tasks).select("file_id", F.try_parse_json("json").alias("v"))
+    at, several = {"": "v"}, set()
     steps = {"".join(some): some for path in paths if (some := path_steps(path))}
     levels: dict[int, dict[str, tuple[str, str]]] = {}
     for some in steps.values():
         for depth in range(1, len(some) + 1):
             levels.setdefault(depth, {})["".join(some[:depth])] = ("".join(some[: depth - 1]), some[depth - 1])
-    rows = parsed.withColumn("v", F.array_compact(F.array("v")))
+    none = F.array().cast(ITEMS)
     for depth in sorted(levels):
-        new = {place: f"_at{len(at) + i}" for i, place in enumerate(sorted(levels[depth]))}
-        rows = rows.withColumns({column: _below(F.col(at[levels[depth][place][0]]), levels[depth][place][1]) for place, column in new.items()})
-        at |= new
-    root = F.transform("v", lambda v: _kv_fact("", F.lit(None).cast("string"), F.lit(None)))
-    every = F.concat(root, *[_kv_values(F.col(at[place]), place) for place in sorted(steps)])
-    facts = rows.select("file_id", F.explode(every).alias("f"))
-    return _facts(facts.select("file_id", F.col("f.key").alias("_key"), F.col("f.text").alias("_text"), F.col("f.number").alias("_number")), "kv", key="_key", text="_text", number="_number")
+        new = {}
+        for i, place in enumerate(sorted(levels[depth])):
+            above, step = levels[depth][place]
+            value, column = F.col(at[above]), f"_at{len(at) + i}"
+            if above in several:
+                below = F.flatten(F.transform(value, lambda v: F.coalesce(_items(v), none))) if step == "[*]" else F.transform(value, lambda v: _step(v, step))
+            else:
+                below = F.coalesce(_items(value), none) if step == "[*]" else _step(value, step)
+            if above in several or step == "[*]":
+                several.add(place)
+                new[place] = (column, _present(below))
+            else:
+                new[place] = (column, F.when(~F.is_variant_null(below), below))
+        rows = rows.withColumns(dict(new.values()))
+        at |= {place: column for place, (column, _) in new.items()}
+    own = [F.array(*[_kv_fact(F.lit(place), F.col(at[place]), True) for place in sorted(steps) if place not in several]).cast(KV_FACTS)]
+    own += [F.transform(at[place], lambda v: _kv_fact(F.lit(place), v, True)) for place in sorted(several & {*steps})]
+    root = F.when(F.col("v").isNotNull(), F.array(_kv_fact(F.lit(""), F.lit(None).cast("variant"), False))).otherwise(F.array().cast(KV_FACTS))
+    rows = rows.select("file_id", root.alias("_root"), F.filter(F.concat(*own), lambda f: f["v"].isNotNull()).alias("_own"))
+    items = F.flatten(F.transform("_own", lambda f: F.transform(_present(F.coalesce(_items(f["v"]), none)), lambda v: _kv_fact(f["key"], v, False))))
+    # As a column of its own it is compiled, which it would not be inside of `explode`; what a value
+    # says is taken behind that, so a condition on a path takes it for the facts of that path alone.
+    whole = rows.select("file_id", F.concat("_root", "_own", items).alias("_every"))
+    facts = whole.select("file_id", F.explode_outer("_every").alias("f")).where("f is not null").select("file_id", F.col("f.key").alias("_key"), F.col("f.v").alias("v"), F.col("f.own").alias("own"))
+    return _facts(facts, "kv", key="_key", text=_kv_text(F.col("v")), number=_kv_number(F.col("v"), F.col("own")))
