@@ -41,6 +41,7 @@ HOWS = ("exact", "substr", "regex", "word")
 # So few text conditions are cheaper to test on every fact than to look up by grams.
 MAX_DIRECT = 64
 PREFIX = "cond::"
+ROOT = "root::"
 
 
 def condition(**fields) -> dict:
@@ -212,8 +213,7 @@ def _catalog(spark, anchors: list[tuple[dict, str]]) -> DataFrame:
     names = [part.split()[0] for part in ANCHOR_SCHEMA.split(", ")]
     rows = []
     for c, key in anchors:
-        folded = c["pattern"].lower() if c["pattern"] is not None and c["case_insensitive"] and c["how"] in ("exact", "substr") else c["pattern"]
-        row = {**c, "_key": key, "regex": _regex(c), "pattern": folded, "case_insensitive": bool(c["case_insensitive"])}
+        row = {**c, "_key": key, "regex": _regex(c), "pattern": _folded(c), "case_insensitive": bool(c["case_insensitive"])}
         rows.append([row[name] for name in names])
     return local_table(spark, rows, ANCHOR_SCHEMA)
 
@@ -273,24 +273,38 @@ def _slice(text: Column, low: Column, high: Column) -> Column:
     return F.substr(text.cast("binary"), (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).cast("string")
 
 
-def _placed(hits: DataFrame, files: DataFrame, sections: DataFrame | None) -> DataFrame:
-    """Hits whose fact lies where the condition says; imports and exports lie nowhere and pass.
+def _places(wanted: list[str] | None, sections: DataFrame | None, hits: DataFrame) -> DataFrame:
+    """Hits with `_b`, where the section that their condition names lies; `wanted` are all those named, if they are known."""
+    none = F.lit(None).cast("bigint")
+    if sections is None or wanted == []:
+        return hits.withColumn("_b", F.struct(none.alias("lo"), none.alias("hi")))
+    name = F.col("c.section")
+    bounds = F.struct(F.col("start").alias("lo"), F.col("end").alias("hi"))
+    aliases = P.section_aliases(sections.sparkSession)
+    if wanted is not None and len(wanted) <= MAX_DIRECT:
+        # A row a file, so that hits meet it where they meet their file.
+        first: dict[tuple[str, str], int] = {(w, w): 0 for w in wanted}
+        for r in aliases.where(F.col("wanted").isin(wanted)).collect():
+            first[r["wanted"], r["name"]] = min(r["prio"], first.get((r["wanted"], r["name"]), r["prio"]))
+        prio = lambda w: reduce(lambda out, x: out.when(F.col("name") == x[0], x[1]), [(n, p) for (own, n), p in first.items() if own == w], F.when(F.lit(False), 0))
+        some = sections.where(F.col("name").isin(sorted({n for _, n in first}))).select("file_id", "name", "start", "end")
+        by_file = some.groupBy("file_id").agg(*[F.min_by(bounds, F.when(prio(w).isNotNull(), F.struct(prio(w), "start", "end"))).alias(f"_b{i}") for i, w in enumerate(wanted)])
+        mine = reduce(lambda out, iw: out.when(name == iw[1], F.col(f"_b{iw[0]}")), enumerate(wanted), F.when(F.lit(False), F.col("_b0")))
+        return hits.join(by_file.hint("shuffle_hash"), "file_id", "left").withColumn("_b", mine)
+    own = sections.select("file_id", F.col("name").alias("wanted"), F.lit(0).alias("prio"), "start", "end")
+    by_name = sections.join(F.broadcast(aliases), "name").select("file_id", "wanted", "prio", "start", "end").unionByName(own)
+    first = by_name.groupBy("file_id", "wanted").agg(F.min_by(bounds, F.struct("prio", "start", "end")).alias("_b"))
+    return hits.withColumn("wanted", name).join(first, ["file_id", "wanted"], "left").drop("wanted")
+
+
+def _placed(hits: DataFrame, files: DataFrame, sections: DataFrame | None, content: Column, free: Column, wanted: list[str] | None = None) -> DataFrame:
+    """Hits whose fact lies where the condition says; imports and exports (`free`) lie nowhere and pass.
 
     A place in a section is relative to the section a name means, and to the file else.
-    Content is cut to the place. Adds `_text`, the content to count in.
+    Adds `_lo` and `_hi`, to which `content` is to be cut, and `_anywhere`.
     """
     c = lambda name: F.col(f"c.{name}")
-    sized = hits.join(files.select("file_id", F.col("size_bytes").alias("_size")), "file_id")
-    none = F.lit(None).cast("bigint")
-    if sections is None:
-        bounds = sized.withColumn("_b", F.struct(none.alias("lo"), none.alias("hi")))
-    else:
-        wanted = F.broadcast(P.section_aliases(sections.sparkSession))
-        own = sections.select("file_id", F.col("name").alias("wanted"), F.lit(0).alias("prio"), "start", "end")
-        by_name = sections.join(wanted, "name").select("file_id", "wanted", "prio", "start", "end").unionByName(own)
-        first = by_name.groupBy("file_id", "wanted").agg(F.min_by(F.struct(F.col("start").alias("lo"), F.col("end").alias("hi")), F.struct("prio", "start", "end")).alias("_b"))
-        named_ = sized.withColumn("wanted", c("section"))
-        bounds = named_.join(first, ["file_id", "wanted"], "left").drop("wanted")
+    bounds = _places(wanted, sections, hits.join(files.select("file_id", F.col("size_bytes").alias("_size")).hint("shuffle_hash"), "file_id"))
     inside = c("section").isNotNull()
     base = F.when(inside, F.col("_b.lo")).otherwise(F.lit(0))
     size = F.when(inside, F.col("_b.hi") - F.col("_b.lo")).otherwise(F.col("_size"))
@@ -299,11 +313,12 @@ def _placed(hits: DataFrame, files: DataFrame, sections: DataFrame | None) -> Da
     end = F.when(c("at").isNotNull(), P.absolute(c("at"), size) + 1).otherwise(F.when(c("high").isNotNull(), P.absolute(c("high"), size)).otherwise(size))
     hi = base + F.least(end, size)
     anywhere = c("section").isNull() & c("at").isNull() & c("low").isNull() & c("high").isNull()
-    content = F.col("kind") == "raw"
     in_range = (F.col("offset") >= lo) & (F.col("offset") < hi)
-    free = anywhere | ((F.col("kind") == "string") & (F.col("key") == "symbol"))
-    kept = bounds.withColumns({"_lo": lo, "_hi": hi}).where(free | (content & F.col("_lo").isNotNull()) | F.coalesce(in_range, F.lit(False)))
-    return kept.withColumn("_text", F.when(content & ~anywhere, _slice(F.col("text"), F.col("_lo"), F.col("_hi"))).otherwise(F.col("text")))
+    return bounds.withColumns({"_lo": lo, "_hi": hi, "_anywhere": anywhere}).where(anywhere | free | (content & F.col("_lo").isNotNull()) | F.coalesce(in_range, F.lit(False)))
+
+
+def _is_placed(c: dict) -> bool:
+    return any(c[name] is not None for name in ("section", "at", "low", "high"))
 
 
 def _times() -> Column:
@@ -319,8 +334,158 @@ def _times() -> Column:
     return F.when(F.col("kind").isin("raw", "hex") & c("pattern").isNotNull(), counted).otherwise(F.lit(1).cast("bigint"))
 
 
-def _direct_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections: DataFrame | None) -> DataFrame:
-    """(file_id, cond_id, hits, sample) by one keyed join of facts and conditions."""
+def _or_false(test: Column) -> Column:
+    return F.coalesce(test, F.lit(False))
+
+
+def _in_bounds(value: Column, low: float | None, high: float | None) -> Column:
+    tests = [t for t, bound in ((value >= F.lit(low), low), (value <= F.lit(high), high)) if bound is not None]
+    return _or_false(reduce(Column.__and__, tests)) if tests else F.lit(True)
+
+
+def _key_test(c: dict) -> Column:
+    """Whether a fact of a keyed kind has the key of a condition."""
+    key = F.col("key")
+    if c["kind"] == "structure":
+        return (key == f"{c['key']}") | key.startswith(f"{c['key']}/")
+    return F.lit(True) if c["kind"] == "syscall" else key == f"{c['key']}"
+
+
+def _written_out(c: dict) -> tuple[Column, Column]:
+    """(test, rest): what a fact of its kind must pass for a condition, as constants that Spark compiles.
+
+    `rest` looks at what was matched and is for the facts that pass `test`.
+    """
+    value, number, regex = F.col("text"), F.col("number"), _regex(c)
+    if c["how"] in ("exact", "substr") and c["kind"] != "hex" and c["pattern"] is None:
+        text = F.lit(False)
+    else:
+        text = _in_row(value, c, regex)
+    bounds = _in_bounds(number, c["n_min"], c["n_max"])
+    kind = c["kind"]
+    if kind == "section":
+        flags = [_or_false(F.col("key").contains(letter) == c[flag]) for flag, letter in (("readable", "r"), ("writable", "w"), ("executable", "x")) if c[flag] is not None]
+        text = reduce(Column.__and__, [bounds, _in_bounds(F.col("extra"), c["e_min"], c["e_max"]), *flags, text])
+    elif kind == "syscall":
+        tests = [F.lit(True)]
+        if c["names"]:
+            tests.append(value.isin(*c["names"]))
+        if c["numbers"]:
+            tests.append(number.cast("bigint").isin(*c["numbers"]))
+        if c["others"]:
+            tests.append(reduce(Column.__or__, [_or_false(F.lower("key").contains(a.lower())) for a in c["others"] if a is not None] or [F.lit(False)]))
+        text = reduce(Column.__and__, tests)
+    elif kind == "encoded" and c["names"]:
+        text = F.arrays_overlap(F.split("key", ","), F.array(*map(F.lit, c["names"]))) & text
+    elif kind == "metrics":
+        text = bounds
+    elif kind == "kv" and (c["n_min"] is not None or c["n_max"] is not None):
+        text = number.isNotNull() & bounds
+    elif kind == "structure":
+        text = F.lit(True)
+    elif kind == "string" and c["e_min"] is not None:
+        text = (F.octet_length(value) >= F.lit(c["e_min"])) & text
+    if kind in KEYED_KINDS:
+        text = _key_test(c) & text
+    hit = value if regex is None else F.regexp_substr(value, F.lit(regex))
+    rest = []
+    for e in c["exceptions"] or []:
+        low, pattern = F.lower(hit), e["pattern"]
+        if pattern is not None:
+            rest.append(~_or_false(low == F.lower(F.lit(pattern)) if e["how"] == "exact" else low.contains(F.lower(F.lit(pattern))) if e["how"] == "substr" else F.regexp(hit, F.lit(pattern))))
+    if c["external_ip"]:
+        rest.append(matching.holds_address(hit) & net.contains_external_ip(hit))
+    return _or_false(text), _or_false(reduce(Column.__and__, rest)) if rest else F.lit(True)
+
+
+def _folded(c: dict) -> str | None:
+    """The pattern as it is compared with lower case."""
+    return c["pattern"].lower() if c["pattern"] is not None and c["case_insensitive"] and c["how"] in ("exact", "substr") else c["pattern"]
+
+
+def _times_of(c: dict, value: Column) -> Column:
+    """`_times` of one condition."""
+    if c["kind"] not in ("raw", "hex") or c["pattern"] is None:
+        return F.lit(1).cast("bigint")
+    regex = _regex(c)
+    form = F.lower(value) if c["case_insensitive"] else value
+    if regex is not None:
+        return F.regexp_count(value, F.lit(regex)).cast("bigint")
+    return (form == _folded(c)).cast("bigint") if c["how"] == "exact" else T.count_literal(form, F.lit(_folded(c)))
+
+
+def _head(c: dict) -> Column:
+    """The bytes of content that a placed condition can look at, without knowing the file's size."""
+    data = F.col("text").cast("binary")
+    ends = [c["at"] + 1] if c["at"] is not None else [c["high"]]
+    if c["section"] is not None or ends[0] is None or ends[0] < 1 or (c["low"] or 0) < 0:
+        return data
+    return F.substr(data, F.lit(1), F.lit(min(ends[0], 2**31 - 1)))
+
+
+def _by_condition(conds: list[dict], i: Column, of) -> Column:
+    """What `of` says of the condition with the number `i`."""
+    return reduce(lambda out, ic: out.when(i == ic[0], of(ic[1])), enumerate(conds), F.when(F.lit(False), of(conds[0])))
+
+
+def _summed(hits: DataFrame, sampled: bool, *keys: str) -> DataFrame:
+    """Hits of each key; without samples, which are strings, Spark sums them up without sorting."""
+    if sampled:
+        return hits.groupBy(*keys).agg(F.sum("n").alias("hits"), F.min("sample").alias("sample"))
+    return hits.groupBy(*keys).agg(F.sum("n").alias("hits")).withColumn("sample", F.lit(None).cast("string"))
+
+
+def _written_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections: DataFrame | None, sampled: bool) -> DataFrame:
+    """`_direct_hits` of few conditions, whose tests are written out.
+
+    Facts that pass no test are dropped by compiled tests; the others leave one narrow row
+    for each condition they meet, which carries content only where it is to be cut later.
+    """
+    kind = F.col("kind")
+    pairs = [_written_out(c) for c in conds]
+    asked = matching.some([F.when((kind == c["kind"]) & test, F.lit(True)) for c, (test, _) in zip(conds, pairs)])
+    placed = [c for c in conds if _is_placed(c)]
+    cells: dict[str, list[Column]] = {}
+    for i, (c, (test, rest)) in enumerate(zip(conds, pairs)):
+        content = c["kind"] in ("raw", "hex")
+        cut = c["kind"] == "raw" and _is_placed(c)
+        sample = F.lit(_regex(c) or _folded(c)) if content and c["pattern"] is not None else F.lit(_regex(c)) if content else F.coalesce("text", "key")
+        fields = [F.lit(i).alias("i"), (F.lit(1).cast("bigint") if cut else _times_of(c, F.col("text"))).alias("n")]
+        fields += [sample.cast("string").alias("sample")] if sampled else []
+        if placed:
+            lies = _is_placed(c)
+            fields += [
+                (F.col("offset") if lies else F.lit(None).cast("bigint")).alias("offset"),
+                (_or_false(F.col("key") == "symbol") if lies and c["kind"] == "string" else F.lit(False)).alias("free"),
+                (_head(c) if cut else F.lit(None).cast("binary")).alias("head"),
+            ]
+        cells.setdefault(c["kind"], []).append(F.when(test & rest, F.struct(*fields)))
+    by_kind = reduce(lambda out, some: out.when(kind == some[0], F.array(*some[1])), list(cells.items())[1:], F.when(kind == conds[0]["kind"], F.array(*cells[conds[0]["kind"]])))
+    held = facts.where(asked).select("file_id", by_kind.alias("_held"))
+    # Not `explode`, which would test the array once more before it.
+    each = held.select("file_id", F.explode_outer("_held").alias("h")).where("h.n > 0").select("file_id", "h.*")
+    i, cond_id = F.col("i"), F.element_at(F.array(*[F.lit(c["cond_id"]) for c in conds]), F.col("i") + 1).alias("cond_id")
+    if not placed:
+        return _summed(each, sampled, "file_id", "i").select("file_id", cond_id, "hits", "sample")
+    none = F.lit(None)
+    place = lambda c: F.struct(*[(none if c[name] is None else F.lit(c[name])).cast(kind).alias(name) for name, kind in (("section", "string"), ("at", "bigint"), ("low", "bigint"), ("high", "bigint"))])
+    cut = [j for j, c in enumerate(conds) if c["kind"] == "raw" and _is_placed(c)]
+    content = i.isin(cut) if cut else F.lit(False)
+    wanted = sorted({c["section"] for c in placed if c["section"] is not None})
+    found = _placed(each.withColumn("c", _by_condition(conds, i, place)), files, sections, content, F.col("free"), wanted)
+    if cut:
+        text = F.substr("head", (F.col("_lo") + 1).cast("int"), F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0)).cast("int")).cast("string")
+        found = found.withColumn("_text", F.when(content, text)).withColumn("n", F.when(content, F.col("n") * _by_condition(conds, i, lambda c: _times_of(c, F.col("_text")))).otherwise(F.col("n"))).where("n > 0")
+    return _summed(found, sampled, "file_id", "i").select("file_id", cond_id, "hits", "sample")
+
+
+def _direct_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections: DataFrame | None, sampled: bool = True) -> DataFrame:
+    """(file_id, cond_id, hits, sample): written out tests of few conditions, else one keyed join of facts and conditions."""
+    return (_written_hits if len(conds) <= MAX_DIRECT else _keyed_hits)(files, facts, conds, sections, sampled)
+
+
+def _keyed_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections: DataFrame | None, sampled: bool) -> DataFrame:
+    """`_direct_hits` by one keyed join of facts and conditions."""
     anchors = _anchors(conds)
     fields = F.struct(*[p.split()[0] for p in ANCHOR_SCHEMA.split(", ")[1:]]).alias("c")
     in_row = [key == f"{c['kind']}!{c['cond_id']}" for c, key in anchors]
@@ -334,21 +499,23 @@ def _direct_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections
         keys, asked = _probes(some)
         passes.append(rows.where(asked).withColumn("_key", F.explode(keys)).join(catalog, "_key").where(_matches()))
     found = reduce(DataFrame.unionByName, passes)
-    if any(c[name] is not None for c in conds for name in ("section", "at", "low", "high")):
-        found = _placed(found, files, sections)
+    if any(map(_is_placed, conds)):
+        raw = F.col("kind") == "raw"
+        found = _placed(found, files, sections, raw, (F.col("kind") == "string") & (F.col("key") == "symbol"))
+        # Content is cut to the place.
+        found = found.withColumn("_text", F.when(raw & ~F.col("_anywhere"), _slice(F.col("text"), F.col("_lo"), F.col("_hi"))).otherwise(F.col("text")))
     else:
         found = found.withColumn("_text", F.col("text"))
     content = F.col("kind").isin("raw", "hex")
     sample = F.when(content, F.coalesce("c.regex", "c.pattern")).otherwise(F.coalesce("text", "key"))
     counted = found.select("file_id", F.col("c.cond_id").alias("cond_id"), _times().alias("n"), sample.alias("sample")).where("n > 0")
-    return counted.groupBy("file_id", "cond_id").agg(F.sum("n").alias("hits"), F.min("sample").alias("sample"))
+    return _summed(counted, sampled, "file_id", "cond_id").select("file_id", "cond_id", "hits", "sample")
 
 
-def _complement(files: DataFrame, facts: DataFrame, hits: DataFrame, conds: list[dict]) -> DataFrame:
-    """Hits of `exists: false`: files with structured data and nothing at the path."""
+def _complement(hits: DataFrame, roots: DataFrame, conds: list[dict]) -> DataFrame:
+    """Hits of `exists: false`: files with structured data (`roots`) and nothing at the path."""
     absent = [c["cond_id"] for c in conds]
-    roots = facts.where((F.col("kind") == "kv") & (F.col("key") == "")).select("file_id").distinct()
-    pairs = roots.withColumn("cond_id", F.explode(F.array(*map(F.lit, absent))))
+    pairs = roots.select("file_id").distinct().withColumn("cond_id", F.explode(F.array(*map(F.lit, absent))))
     return pairs.join(hits, ["file_id", "cond_id"], "left_anti").select("file_id", "cond_id", F.lit(1).cast("bigint").alias("hits"), F.lit(None).cast("string").alias("sample"))
 
 
@@ -370,63 +537,92 @@ def _counts(files: DataFrame, counted: DataFrame, conds: list[dict]) -> DataFram
 
 def _ratios(facts: DataFrame, conds: list[dict]) -> DataFrame:
     """Files whose matching sections have a share of all bytes, or of other sections', in bounds."""
-    listed = F.array(*[F.struct(F.lit(c["cond_id"]).alias("cond_id"), F.lit(c["pattern"]).alias("mine"), F.lit(c["key"] or "total").alias("base"), F.lit(c["n_min"]).cast("double").alias("n_min"), F.lit(c["n_max"]).cast("double").alias("n_max")) for c in conds])
-    rows = facts.where("kind = 'section'").select("file_id", "text", "number", F.explode(listed).alias("c"))
-    mine = F.when(F.regexp("text", F.col("c.mine")), F.col("number"))
-    base = F.when((F.col("c.base") == "total") | F.regexp("text", F.col("c.base")), F.col("number"))
-    sums = rows.groupBy("file_id", F.col("c.cond_id").alias("cond_id")).agg(F.sum(mine).alias("part"), F.sum(base).alias("whole"), F.first("c.n_min").alias("n_min"), F.first("c.n_max").alias("n_max"))
-    ratio = F.col("part") / F.nullif(F.col("whole"), F.lit(0.0))
-    return _one_hit(sums.where(ratio.isNotNull() & _bounded(ratio, F.col("n_min"), F.col("n_max"))), F.lit(None))
+    number, sums, out = F.col("number"), [], []
+    for i, c in enumerate(conds):
+        base = c["key"] or "total"
+        matched = lambda p: F.when(F.col("text").rlike(p), number) if p is not None else F.lit(None).cast("double")
+        sums += [F.sum(matched(c["pattern"])).alias(f"_part{i}"), F.sum(number if base == "total" else matched(base)).alias(f"_whole{i}")]
+        ratio = F.col(f"_part{i}") / F.nullif(F.col(f"_whole{i}"), F.lit(0.0))
+        out.append(F.when(ratio.isNotNull() & _in_bounds(ratio, c["n_min"], c["n_max"]), F.lit(c["cond_id"])))
+    shares = facts.where("kind = 'section'").groupBy("file_id").agg(*sums)
+    return _one_hit(_each_held(shares, out, F.lit(None).cast("string")), F.col("_of"))
+
+
+def _each_held(sums: DataFrame, conds: list[Column], of: Column) -> DataFrame:
+    """(file_id, cond_id, _of): a row for each of some conditions that is not null in a row of sums."""
+    held = sums.select("file_id", of.alias("_of"), F.array(*conds).alias("_conds"))
+    return held.select("file_id", "_of", F.explode_outer(F.array_compact("_conds")).alias("cond_id")).where("cond_id is not null")
+
+
+def _name_sums(facts: DataFrame, conds: list[dict]) -> DataFrame:
+    """Of every file with imports or exports their numbers, and what `_combinations` asks of the imports."""
+    imported = F.col("key") == "import"
+    test = lambda p: imported & _or_false(F.col("text").rlike(p) if p is not None else F.lit(False))
+    sums = [F.count_if(imported).alias("_imports"), F.count_if(F.col("key") == "export").alias("n")]
+    for i, c in enumerate(conds):
+        sums += [F.max(test(p)).alias(f"_met{i}_{j}") for j, p in enumerate(c["names"] or [])]
+        odd = [test(p).cast("bigint") for p in c["others"] or []]
+        sums.append(F.sum(reduce(Column.__add__, odd, F.lit(0).cast("bigint"))).alias(f"_odd{i}"))
+    return facts.where("kind = 'symbol' and key in ('import', 'export')").groupBy("file_id").agg(*sums)
+
+
+def _combinations(sums: DataFrame, conds: list[dict]) -> DataFrame:
+    """Files importing every required pattern, enough suspicious ones (n_min) and not too many in all (n_max)."""
+    out = []
+    for i, c in enumerate(conds):
+        tests = [F.col(f"_met{i}_{j}") for j, _ in enumerate(c["names"] or [])]
+        tests += [F.col(f"_odd{i}") >= F.lit(c["n_min"])] if c["n_min"] is not None else []
+        tests += [F.col("_imports") <= F.lit(c["n_max"])] if c["n_max"] is not None else []
+        out.append(F.when(reduce(Column.__and__, tests, F.lit(True)), F.lit(c["cond_id"])))
+    return _one_hit(_each_held(sums.where("_imports > 0"), out, F.col("_imports")), F.col("_of"))
 
 
-def _combinations(facts: DataFrame, conds: list[dict]) -> DataFrame:
-    """Files importing every required pattern, enough suspicious ones (n_min) and not too many in all (n_max)."""
-    texts = "array<string>"
-    listed = F.array(*[F.struct(F.lit(c["cond_id"]).alias("cond_id"), F.array(*map(F.lit, c["names"] or [])).cast(texts).alias("required"), F.array(*map(F.lit, c["others"] or [])).cast(texts).alias("suspicious")) for c in conds])
-    rows = facts.where("kind = 'symbol' and key = 'import'").select("file_id", "text", F.explode(listed).alias("c"))
-    met = F.transform("c.required", lambda p, i: F.when(F.regexp("text", p), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    bits = F.aggregate(met, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
-    odd = F.size(F.filter("c.suspicious", lambda p: F.regexp("text", p)))
-    sums = rows.groupBy("file_id", F.col("c.cond_id").alias("cond_id")).agg(F.count("*").alias("total"), F.bit_or(bits).alias("met"), F.sum(odd).alias("odd"))
-    bounds = local_table(facts.sparkSession, [(c["cond_id"], (1 << len(c["names"] or [])) - 1, c["n_min"], c["n_max"]) for c in conds], "cond_id string, all_met bigint, n_min double, n_max double")
-    ok = (F.col("met") == F.col("all_met")) & (F.col("n_min").isNull() | (F.col("odd") >= F.col("n_min"))) & (F.col("n_max").isNull() | (F.col("total") <= F.col("n_max")))
-    return _one_hit(sums.join(F.broadcast(bounds), "cond_id").where(ok), F.col("total"))
-
-
-def condition_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections: DataFrame | None = None) -> DataFrame:
+# So many conditions that sum up facts of a file are columns of one aggregation.
+SUMS_A_PASS = 16
+
+
+def condition_hits(files: DataFrame, facts: DataFrame, conds: list[dict], sections: DataFrame | None = None, sampled: bool = True) -> DataFrame:
     """(file_id, cond_id, hits, sample): how often each condition holds in each file.
 
     `files`: file_id, size_bytes. `conds` as `distinct_conditions` returns them. Kinds on
     text, keys and numbers meet the facts in one join; counts, ratios and combinations
-    aggregate what they need. Conditions that hold nowhere have no row.
+    aggregate what they need. Conditions that hold nowhere have no row. All of it is written
+    once, so it can be read several times. Unless `sampled`, a sample may be null.
     """
     kind = lambda *names: [c for c in conds if c["kind"] in names]
-    parts = []
+    parts, hits = [], None
     counted = [{**c, "kind": "string"} for c in kind("string_count")]
     joined = kind(*TEXT_KINDS, *KEYED_KINDS) + counted
     if joined:
-        hits = cut_lineage(_direct_hits(files, facts, joined, sections))  # read by several parts
         absent = [c for c in kind("kv") if c["exists"] is False]
-        counting = {c["cond_id"] for c in counted} | {c["cond_id"] for c in kind("structure")}
-        special = counting | {c["cond_id"] for c in absent}
-        parts.append(hits.where(~F.col("cond_id").isin(sorted(special))) if special else hits)
+        features = kind("structure")
+        # Every file with structured data has a fact with an empty key.
+        roots = [{**condition(kind="kv", key=""), "cond_id": ROOT}] if absent else []
+        hits = cut_lineage(_direct_hits(files, facts, joined + roots, sections, sampled))  # read by several parts
+        special = {c["cond_id"] for c in (*counted, *features, *absent, *roots)}
+        of = lambda some: hits.where(F.col("cond_id").isin([c["cond_id"] for c in some]))
         if absent:
-            parts.append(_complement(files, facts, hits, absent))
+            parts.append(_complement(of(absent), of(roots), absent))
         if counted:
-            parts.append(_counts(files, hits.where(F.col("cond_id").isin([c["cond_id"] for c in counted])).withColumnRenamed("hits", "n"), counted))
-        features = kind("structure")
+            parts.append(_counts(files, of(counted).withColumnRenamed("hits", "n"), counted))
         if features:
             least = local_table(facts.sparkSession, [(c["cond_id"], int(c["n_min"] or 1)) for c in features], "cond_id string, least bigint")
-            parts.append(hits.join(F.broadcast(least), "cond_id").where("hits >= least").select("file_id", "cond_id", "hits", "sample"))
-    exports = kind("exports_count")
-    if exports:
-        rows = facts.where("kind = 'symbol' and key = 'export'").groupBy("file_id").agg(F.count("*").alias("n"))
-        each = rows.withColumn("cond_id", F.explode(F.array(*[F.lit(c["cond_id"]) for c in exports])))
-        parts.append(_counts(files, each, exports))
-    if kind("section_ratio"):
-        parts.append(_ratios(facts, kind("section_ratio")))
-    if kind("import_combination"):
-        parts.append(_combinations(facts, kind("import_combination")))
-    if not parts:
+            parts.append(of(features).join(F.broadcast(least), "cond_id").where("hits >= least").select("file_id", "cond_id", "hits", "sample"))
+        hits = hits.where(~F.col("cond_id").isin(sorted(special))) if special else hits
+    exports, mixed, shares = kind("exports_count"), kind("import_combination"), kind("section_ratio")
+    chunks = [mixed[i : i + SUMS_A_PASS] for i in range(0, len(mixed), SUMS_A_PASS)] or ([[]] if exports else [])
+    for i, some in enumerate(chunks):
+        sums = _name_sums(facts, some)
+        sums = cut_lineage(sums) if exports and i == 0 else sums  # read for both
+        if some:
+            parts.append(_combinations(sums, some))
+        if exports and i == 0:
+            each = sums.where("n > 0").select("file_id", "n", F.explode(F.array(*[F.lit(c["cond_id"]) for c in exports])).alias("cond_id"))
+            parts.append(_counts(files, each, exports))
+    parts += [_ratios(facts, shares[i : i + SUMS_A_PASS]) for i in range(0, len(shares), SUMS_A_PASS)]
+    if parts:
+        more = cut_lineage(reduce(DataFrame.unionByName, parts))
+        return more if hits is None else hits.unionByName(more)
+    if hits is None:
         return files.select("file_id", F.lit("").alias("cond_id"), F.lit(0).cast("bigint").alias("hits"), F.lit("").alias("sample")).limit(0)
-    return reduce(DataFrame.unionByName, parts)
+    return hits

@@ -229,3 +229,79 @@ def test_structured_facts_parse_each_text_once(spark):
         (1, "[*]", "[1,2]", 2.0), (1, "[*]", "1", None), (1, "[*]", "2", None), (1, "[*]", "[3]", 1.0), (1, "[*]", "3", None), (1, "[0][1]", "2", None), (5, "a", "[]", 0.0),
     ])
     assert found._jdf.queryExecution().executedPlan().toString().count("LocalTableScan") <= 2
+
+
+# -- conditions that are written out ------------------------------------------------------------
+
+EVERY = [
+    dict(kind="kv", key="a.b", how="exact", pattern="X", case_insensitive=True), dict(kind="kv", key="a", n_min=1.0, n_max=2.0), dict(kind="kv", key="l", how="regex", pattern="^p"),
+    dict(kind="kv", key="a.b", exists=False), dict(kind="metrics", key="text.size_bytes", n_min=2.0), dict(kind="structure", key="x/y", n_min=1.0), dict(kind="structure", key="x/y/"),
+    dict(kind="syscall", names=["open", "exec"], others=["ARM"]), dict(kind="syscall", numbers=[3, 5]), dict(kind="syscall"), dict(kind="encoded", names=["hex"], how="substr", pattern="b"),
+    dict(kind="section", how="substr", pattern="te", n_min=5.0, e_max=6.0, readable=True, writable=False), dict(kind="section_ratio", pattern="^t", n_min=0.2, n_max=0.9),
+    dict(kind="section_ratio", pattern="^t", key="^[td]", n_min=0.1), dict(kind="import_combination", names=["re", "op"], others=["x$", "^o"], n_min=1.0, n_max=3.0),
+    dict(kind="exports_count", n_min=1.0, n_max=1.0), dict(kind="exports_count", n_max=0.0), dict(kind="string", how="substr", pattern="b", section="text", low=1, high=-1),
+    dict(kind="string", how="regex", pattern="[a-z]", low=0, high=3), dict(kind="raw", how="substr", pattern="b", low=1, high=4), dict(kind="raw", how="regex", pattern="b.", low=-4, high=-1),
+    dict(kind="raw", how="exact", pattern="ABABéb", case_insensitive=True), dict(kind="raw", how="substr", pattern="b", section="text"), dict(kind="basename", how="word", pattern="f"),
+    dict(kind="string_count", how="substr", pattern="b", n_min=0.0, n_max=1.0),
+]
+
+
+def mixed_facts(spark):
+    """Facts of all kinds with nulls, of which file 1 is in the file table twice and file 4 not at all."""
+    files = local_table(spark, [(i, "text", 6) for i in (0, 1, 1, 2, 3, None)], FILES)
+    content = local_table(spark, [(0, "ababéb"), (1, "xbbb"), (2, None), (3, ""), (4, "bb")], "file_id bigint, text string")
+    strings = local_table(spark, [(i, v, o) for i in (0, 1, 4, None) for v, o in (("b", 1), ("ab", 0), (None, 2), ("bb", None), ("b", 9))], "file_id bigint, value string, offset bigint")
+    symbols = local_table(spark, [(0, "sym.read", "import"), (0, "_openx", "import"), (0, "b", "export"), (1, "__re", "import"), (2, None, "export"), (2, "fcn.b", "function")], "file_id bigint, symbol string, kind string")
+    parts = local_table(spark, [(i, n, s, s + 6, 6, 5.0, p) for i in (0, 1, 2) for n, s, p in (("text", 1, "r-x"), (".text", 0, "r--"), ("data", 7, None))], 'file_id bigint, name string, `start` bigint, `end` bigint, size bigint, entropy double, permissions string')
+    data = local_table(spark, [(0, '{"a": {"b": "x"}, "l": ["p", "q"]}'), (1, '{"a": [1, {"b": 2}], "l": "p"}'), (2, "{"), (3, '{"a": {"b": null}}')], "file_id bigint, json string")
+    calls = local_table(spark, [(0, "arm64", "open", 3), (0, "x86", "exec", 5), (1, None, None, 5), (2, "ARM", "exec", None)], "file_id bigint, arch string, name string, number int")
+    facts = FA.together(
+        FA.string_facts(strings), FA.content_facts(content), FA.symbol_facts(symbols), FA.section_facts(parts), FA.kv_facts(data, ["a", "a.b", "l"]), FA.syscall_facts(calls),
+        FA.structure_facts(local_table(spark, [(0, "x/y"), (0, "x/y/z"), (1, "x/yy"), (2, "x/y//z"), (3, None)], "file_id bigint, feature_id string")),
+        FA.metric_facts(local_table(spark, [(0, "text.size_bytes", 2.0), (1, "text.size_bytes", 1.0), (2, "other", 9.0)], "file_id bigint, field string, value double")),
+        FA.encoded_facts(local_table(spark, [(0, "b", ["hex"]), (1, "b", ["base64", "hex"]), (2, "b", ["base64"]), (3, None, ["hex"])], "file_id bigint, value string, encoding_chain array<string>")),
+        FA.basename_facts(local_table(spark, [(0, "d/f.txt"), (1, "f/d.txt")], "file_id bigint, path string")),
+    )
+    return files, facts, parts
+
+
+@pytest.mark.parametrize("placed", [True, False])
+def test_conditions_written_out_and_looked_up_agree(spark, monkeypatch, placed):
+    files, facts, parts = mixed_facts(spark)
+    some = [c for c in EVERY if placed or not {"section", "low", "high"} & {*c}]
+    wanted = C.distinct_conditions(C.named(conds(spark, *[(str(i), c) for i, c in enumerate(some)])))
+    found = []
+    for most in (64, 0):
+        monkeypatch.setattr(C, "MAX_DIRECT", most)
+        hits = C.condition_hits(files, facts, wanted, parts)
+        found.append(sorted(map(tuple, hits.join(files.select("file_id").distinct(), "file_id").select("file_id", "cond_id", "hits", "sample").collect()), key=repr))
+    assert found[0] == found[1] and len({cond for _, cond, *_ in found[0]}) >= len(wanted) - 3
+
+
+def test_content_is_cut_before_it_meets_its_file(spark, monkeypatch):
+    carried, placed = [], C._placed
+    monkeypatch.setattr(C, "_placed", lambda hits, *more, **named: carried.append(hits.columns) or placed(hits, *more, **named))
+    files = local_table(spark, [(0, "text", 9)], FILES)
+    facts = FA.content_facts(local_table(spark, [(0, "abc" * 3)], "file_id bigint, text string"))
+    wanted = C.distinct_conditions(C.named(conds(spark, ("a", dict(kind="raw", how="substr", pattern="abc", low=0, high=5)), ("b", dict(kind="raw", how="substr", pattern="c")))))
+    hits = C.condition_hits(files, facts, wanted)
+    assert sorted(r["hits"] for r in hits.collect()) == [1, 3]
+    assert len(carried) == 1 and "text" not in carried[0]
+    assert C._head({**C.condition(kind="raw", low=0, high=5)})._jc.toString().lower().startswith("substr")
+
+
+def test_structured_facts_are_made_once(spark):
+    """Files with nothing at a path are found without a second pass over all facts."""
+    read = spark.sparkContext.accumulator(0)
+    files = local_table(spark, [(0, "json", 2), (1, "json", 2)], FILES)
+    data = local_table(spark, [(0, "{}"), (1, '{"a": 1}')], "file_id bigint, json string")
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    facts = FA.kv_facts(data.mapInArrow(counted, data.schema), ["a"])
+    wanted = C.distinct_conditions(C.named(conds(spark, ("a", dict(kind="kv", key="a", exists=False)))))
+    assert [(r["file_id"], r["hits"]) for r in C.condition_hits(files, facts, wanted).collect()] == [(0, 1)]
+    assert read.value == 2
